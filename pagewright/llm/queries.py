@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import license_scan, ngram_join, packing, pii, quality, token_count, url_filter
+from . import decontam, license_scan, line_dedup, ngram_join, packing, pii, quality, token_count, toxicity, url_filter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
@@ -36,11 +44,26 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op1_url_filter, op2_best_fit_packing, op5_license_scan, op6_token_counts, op7_ngram_jaccard_join, op8_pii, op10_quality_rules)
+QUERIES = (
+    op1_url_filter,
+    op2_best_fit_packing,
+    op3_toxicity,
+    op4_line_dedup,
+    op5_license_scan,
+    op6_token_counts,
+    op7_ngram_jaccard_join,
+    op8_pii,
+    op9_benchmark_decontamination,
+    op10_quality_rules,
+)
 
 
 def queries() -> dict[str, Query]:
