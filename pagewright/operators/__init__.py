@@ -1 +1 @@
-
+"""Operators over the document tables."""

@@ -1 +1 @@
-
+"""Staged batch runs."""

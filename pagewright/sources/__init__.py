@@ -1 +1 @@
-
+"""Where tables and files come from, and where they go."""
