@@ -1,0 +1,349 @@
+"""The corpus operators against brute force, on rows with nulls, empties, ties, repeats and clashing columns."""
+
+import hashlib
+import random
+import re
+import zlib
+from array import array
+from collections import Counter
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from pagewright.llm import decontam, license_scan, line_dedup, ngram_join, packing, pii, quality, token_count, toxicity, url_filter
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, host string, keeper long, salt string, component_id long, rows int"
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def sample():
+    rng = random.Random(5)
+    vocabulary = ["the", "of", "and", "Zürich", "maße", "1954", "x", "river", "stone", "light", "épée", "paper", "door", "salt"]
+    texts = [None, "", " ", "\n\n", "one", "Two words", "a b c"]
+    for _ in range(20):
+        lines = [" ".join(rng.choice(vocabulary) + str(rng.randrange(400)) for _ in range(rng.randrange(3, 40))) for _ in range(rng.randrange(1, 6))]
+        texts.append("\n".join(lines))
+    base = texts[10]
+    words = base.split(" ")
+    for k in range(4):  # near copies
+        w = list(words)
+        w[k % len(w)] = f"changed{k}"
+        texts.append(" ".join(w))
+    texts += [base, base, texts[11]]
+    texts.append("mail a.b@c.example.com_x@y.z.org ip 10.0.0.1 and 300.1.1.1, card 4111 1111 1111 1111, call +1 (555) 555-0199 now 😀 last@home.org")
+    texts.append("Licensed under the Apache License, Version 2.0.\nGNU General\nPublic License; CC BY-NC 4.0 mit  license")
+    texts.append("same words again " * 30 + "<|endoftext|> tail  \t\r\n é")
+    texts.append(" ".join(f"w{i}" for i in range(9000)))  # very long
+    return [(i, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t or ""), "clash", 1, "s", 7, 9) for i, t in enumerate(texts)]
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return sample()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def groups(rows, k, percent):
+    sets = {}
+    for d, t, *_ in rows:
+        w = WORDS.findall((t or "").translate(LOWER))
+        sets[d] = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
+    root = {d: d for d in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    return {d: (len(s), top(d)) for d, s in sets.items()}
+
+
+@pytest.mark.parametrize(("k", "percent"), [(3, 90), (5, 80)])
+def test_join_is_brute_force(docs, rows, k, percent):
+    got = ngram_join.ngram_groups(docs, ngram_join.JoinParams(words=k, percent=percent)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows, k, percent)
+    assert len(got) == len(rows)
+
+
+def test_join_without_broadcast_and_repeated_rows(spark, docs, rows):
+    params = ngram_join.JoinParams(words=3, percent=90, broadcast_keys=0)
+    got = ngram_join.ngram_groups(docs.union(docs), params).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, *v) for d, v in groups(rows, 3, 90).items()}
+    kept = {r.doc_id for r in ngram_join.keep_one(docs, params).collect()}
+    assert kept == {d for d, v in groups(rows, 3, 90).items() if v[1] == d}
+
+
+def test_join_sketch_bounds_the_difference():
+    params = ngram_join.JoinParams()
+    a, b = ngram_join.shingles(" ".join(map(str, range(200))), 5), ngram_join.shingles(" ".join(map(str, range(20, 220))), 5)
+    distance = sum(int(x ^ y).bit_count() for x, y in zip(ngram_join.folded(a, params).view("u8").tolist(), ngram_join.folded(b, params).view("u8").tolist(), strict=True))
+    assert distance <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)]
+    got = {r.node: r.component for r in ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)}
+
+
+def test_quality_counts(docs, rows):
+    got = {r.doc_id: r for r in quality.quality_rules(docs).collect()}
+    assert len(got) == len(rows)
+    for d, t, *_ in rows:
+        t, r = t or "", got[d]
+        w = WORDS.findall(t)
+        windows = {}
+        for i in range(len(w) - 2):
+            windows.setdefault(tuple(w[i : i + 3]), []).append(i)
+        repeated = {i + j for at in windows.values() if len(at) > 1 for i in at for j in range(3)}
+        lines = [x for x in t.split("\n") if WORDS.search(x)]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(repeated)), d
+        assert r.base_failed == (len(w) < 50 or 100 * len(repeated) > 50 * len(w))
+        assert not (r.kept and r.base_failed)
+
+
+def test_quality_rejects_documents_of_boilerplate(spark):
+    body = " ".join(f"boiler{i}" for i in range(60))
+    rows = [(i, body + f"\nown line {i}", "s") for i in range(30)] + [(100 + i, " ".join(f"own{i}x{j}" for j in range(60)), "s") for i in range(5)]
+    rows += [(200, body + "\nelsewhere", "other")]
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), quality.QualityParams(max_texts_per_host=20)).collect()}
+    assert [d for d, k in got.items() if k] and {d for d, k in got.items() if k} == {0, 200} | {100 + i for i in range(5)}
+
+
+def test_quality_takes_copies_for_one_text(spark):
+    body = " ".join(f"word{i}" for i in range(60))
+    got = quality.quality_filter(spark.createDataFrame([(i, body, "s") for i in range(30)], "doc_id long, text string, source string"), quality.QualityParams(max_texts_per_host=20))
+    assert got.count() == 30
+
+
+def luhn(s):
+    return sum(v if i % 2 == 0 else (v * 2 - 9 if v > 4 else v * 2) for i, v in enumerate(map(int, reversed(s)))) % 10 == 0
+
+
+def base_spans(t):
+    found = [("email", m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    found += [("ip", m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(x) <= 255 for x in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        digits = re.sub("[ -]", "", m[0])
+        if 13 <= len(digits) <= 19 and luhn(digits):
+            found.append(("card", m.span()))
+    return found + [("phone", m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(re.sub("[^0-9]", "", m[0])) <= 15]
+
+
+def test_pii_base(spark, docs, rows):
+    odd = ["@a@b.c.d", "1.2.3.4.5.6.7.8 999.1.1.1 000255.0.0.001", "4111-1111 1111--1111 5500000000000004 0" * 2, "+1 2 3 +12 (34) 567-89.01 23+4", "a@b.c@d.e f@g-.h", "9" * 5000 + " x@y.zz", "😀+33 1 23 45 67 89"]
+    more = [(1000 + i, t, "", "", 0, "", 0, "", 0, 0) for i, t in enumerate(odd)]
+    got = {r.doc_id: r for r in pii.pii_digest(docs.union(spark.createDataFrame(more, SCHEMA))).collect()}
+    for d, t, *_ in [*rows, *more]:
+        spans = base_spans(t or "")
+        text = ",".join(f"{k}:{a}:{b}" for k, (a, b) in spans)
+        counts = Counter(k for k, _ in spans)
+        assert got[d].base_sha256 == hashlib.sha256(text.encode()).hexdigest(), (d, t[:80])
+        assert [got[d].n_email, got[d].n_ip, got[d].n_card, got[d].n_phone] == [counts[k] for k in ("email", "ip", "card", "phone")]
+        assert got[d].spans.startswith(text)
+
+
+def test_pii_method_kinds(spark):
+    texts = ["pay to IBAN DE89 3704 0044 0532 0130 00 today", "code GB82 WEST 1234 5698 7654 33 is wrong", "my ssn is 123-45-6789", "order 123-45-6789 shipped", "call me at (415) 555-2671", "password=abcdef123456"]
+    got = [r.spans for r in pii.pii_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["iban:12:39", "", "ssn:10:21", "", "local_phone:11:25", "secret:0:21"]
+
+
+def test_token_counts(docs, rows):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(token_count.ranks_path()[1])
+    got = {r.doc_id: r for r in token_count.token_counts(docs).collect()}
+    for d, t, *_ in rows:
+        n = len(own.encode(t or "", add_special_tokens=False).ids)
+        assert (got[d].n_bytes, got[d].n_tokens, got[d].over_limit) == (len((t or "").encode()), n, n > 1024)
+
+
+def test_token_prefixes():
+    from tokenizers import Tokenizer
+
+    own, counter = Tokenizer.from_file(token_count.ranks_path()[1]), token_count.PrefixCounter(table_size=500)
+    parts = ["a", "b", " ", "  ", "\n", "\t", "é", "'s", "'ll", "1", "23", "!", "...", "<|endoftext|>", "漢字", "😀", "\u00a0", "The", " the", "\r\n", "ﬁ", "Ⅷ"]
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(25)))
+        assert counter.count(text) == len(own.encode(text, add_special_tokens=False).ids), repr(text)
+    word = " internationalisation"
+    assert [counter.word_count(word[:i]) for i in range(len(word) + 1)] == [len(own.encode(word[:i]).ids) for i in range(len(word) + 1)]
+    assert counter.truncate("one two three four", 2) == "one two"
+
+
+def check_packing(packed, rows, capacity=1024):
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(token_count.ranks_path()[1])
+    frame = packed.toPandas().sort_values(["sequence_id", "offset"])
+    assert (frame.groupby("sequence_id").length.sum() <= capacity).all()
+    assert (frame.groupby("sequence_id").length.cumsum() - frame.length == frame.offset).all()
+    by_doc = {d: g.sort_values("piece") for d, g in frame.groupby("doc_id")}
+    assert set(by_doc) == {r[0] for r in rows}
+    for d, t, *_ in rows:
+        ids, at = [*own.encode(t or "", add_special_tokens=False).ids, 2], 0
+        for k, p in enumerate(by_doc[d].itertuples()):
+            assert (p.piece, p.start) == (k, at)
+            assert zlib.crc32(array("I", ids[at : at + p.length]).tobytes()) == p.ids_crc32
+            at += p.length
+        assert at == len(ids) and (by_doc[d].length[1:] == capacity).all()
+    return frame
+
+
+def test_packing(docs, rows):
+    frame = check_packing(packing.packed(docs), rows)
+    assert frame.sequence_id.nunique() <= -(-frame.length.sum() // 1024) + 1
+
+
+def test_packing_on_several_islands(docs, rows):
+    check_packing(packing.packed(docs, packing.PackParams(island_size=8)), rows)
+
+
+def test_packing_finds_full_bins():
+    lengths = [600, 424, 700, 324, 512, 512, 1000, 24, 300, 300, 424]
+    best = packing.evolve(lengths, [], [], packing.PackParams(), 1)
+    assert len(best.bins) == 5 and sorted(i for b in best.bins for i in b) == list(range(len(lengths)))
+    child = packing.crossed(best, [[0, 1]])
+    assert sorted(i for b in child.bins for i in b) == list(range(len(lengths)))
+
+
+def test_license_base(docs, rows):
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    got = {r.doc_id: r for r in license_scan.license_scan(docs).collect()}
+    for d, t, *_ in rows:
+        w = pattern.findall((t or "").translate(LOWER))
+        at = [(i, label) for phrase, label in license_scan.PHRASES for i in range(len(w)) if w[i : i + len(phrase.split())] == phrase.split()]
+        starts = [i for i, _ in at]
+        r = got[d]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(at), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in at})))
+        assert set(r.base_labels.split(",")) <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
+def test_license_rules():
+    assert len(license_scan.rules()) >= 300
+    gate = license_scan.gates()
+    labels = lambda t: license_scan.scan(t, gate)[5]
+    assert labels("Licensed under CC BY-NC 4.0.") == "cc-by,cc-by-nc"
+    assert labels("under the terms of the GNU Lesser General Public License, version 2.1") == "lgpl"
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy") == "mit"
+    assert labels("a permit to fish") == ""
+
+
+def test_line_dedup(spark):
+    notice, passage = "short notice here", " ".join(f"passage{i % 7}word{i}" for i in range(60)).replace("1", "x")
+    rows = [(i, f"document text alpha beta gamma delta epsilon {chr(97 + i)}{chr(98 + i)} zeta\n{notice}", 3, "k") for i in range(12)]
+    rows += [(20, f"first unique opening line of twenty with many words\n{passage}", 3, "k"), (21, f"{passage}\nsecond unique opening line of its own with more words", 3, "k"), (22, None, 3, "k"), (23, "", 3, "k"), (24, "\n \n", 3, "k")]
+    rows += [(30, "user 1234 logged in from host 10.1.1.7 at port 99 today", 3, "k"), (31, "user 77 logged in from host 10.9.9.9 at port 1 today", 3, "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, template string")
+    got = {r.doc_id: r for r in line_dedup.deduped(docs).collect()}
+    assert got[20].text.endswith(passage) and got[21].text == "second unique opening line of its own with more words" and got[21].n_chars == len(got[21].text)
+    assert notice in got[0].text and all(notice not in got[i].text for i in range(1, 12))
+    assert (got[22].text, got[23].text, got[24].text) == (None, "", "\n \n")
+    assert got[30]._dropped == 0 and got[31]._dropped == 1 and got[0].template == "k"
+    exact = line_dedup.recurring_lines(docs, line_dedup.LineParams(max_leaf=1)).filter("doc_id = 21").count()
+    assert exact == 1
+
+
+def test_leaks(spark):
+    item = "Where does the heron keep its seventh lantern in winter? Behind the copper weir of old Marlow town."
+    items = spark.createDataFrame([(1, item), (2, "An unrelated item about glass bells and their keepers. They ring."), (3, None), (4, "")], "item_id long, text string")
+    filler = " ".join(f"filler{i}" for i in range(300))
+    question = item.split("?")[0]
+    docs = spark.createDataFrame([(1, f"{filler} {item} {filler}"), (2, filler), (3, None), (4, f"{filler} {question.upper()} {filler}"), (5, f"{filler[:500]}\n{item.upper()}"), (6, "")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == {(1, 1), (5, 1)}
+    assert {r.doc_id for r in decontam.clean(docs, items).collect()} == {2, 3, 4, 6}
+    small = decontam.LeakParams(shard_words=5)
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items, small).collect()} == {(1, 1), (5, 1)}
+
+
+def test_leaks_of_verbatim_items(spark, sf_dir):
+    docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    want = {(r[0], r[1]) for r in docs.join(items.withColumnRenamed("text", "t"), F.contains("text", "t")).select("doc_id", "item_id").collect()}
+    assert want and want <= {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()}
+
+
+def test_toxicity(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "bcdfgl" for b in ("ame", "ilo", "oru", "une")]
+    rows, labels = [], []
+    for i in range(600):
+        own = [rng.choice(words) for _ in range(60)]
+        toxic = int(i % 5 == 0)
+        if toxic:
+            for _ in range(4):
+                own[rng.randrange(60)] = rng.choice(["vileword", "nastyone", "grimthing" + rng.choice("abc")])
+        rows.append((i, " ".join(own), "x"))
+        labels.append((i, 1, toxic))
+    rows += [(1000, None, "x"), (1001, "", "x")]
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string, toxic string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.toxicity(docs, known).collect()}
+    for i, _, toxic in labels:
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 3 == 1)
+        assert got[i].predicted == toxic, i
+    assert got[1000].score == got[1001].score <= 0.3
+    none = toxicity.toxicity(docs, known.filter("toxic = 0")).agg(F.max("score")).first()[0]
+    assert none < 0.01
+
+
+def test_segments_are_maximal():
+    assert toxicity.segments([1, -2, 3, 1, -1, 2, -9, 4]) == [(0, 1, 1), (2, 6, 5), (7, 8, 4)]
+    assert toxicity.segments([-1, -2]) == [] and toxicity.segments([]) == []
+
+
+def test_urls(spark):
+    urls = ["http://A.Example.COM/en/1?x=/fr/", "https://www.example.com/en/2#a", "https://m.net/es/3", "http://net/fr/", "http://example.com", "https://xcom/en/1", "no scheme", None, "http://h.org/a/1", "http://h.org?x", "a://b://c/d"]
+    got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, template string")).collect()}
+    assert [(got[i].host, got[i].path, got[i].rule) for i in range(len(urls))] == [
+        ("a.example.com", "/en/1", "example.com/en/"), ("www.example.com", "/en/2", "www.example.com/en/"), ("m.net", "/es/3", "net/es/"), ("net", "/fr/", "net/fr/"),
+        ("example.com", "", None), ("xcom", "/en/1", None), ("", "", None), ("", "", None), ("h.org", "/a/1", None), ("h.org", "", None), ("b:", "//c/d", None),
+    ]
+    assert [got[i].verdict for i in range(4)] == ["block", "allow", "block", "block"] and got[8].verdict == "allow"
+
+
+def test_url_templates_reject(spark):
+    seen = [(i, f"http://net/es/{i}/x") for i in range(40)] + [(100 + i, f"http://net/de/{i}") for i in range(40)]
+    shapes = spark.createDataFrame([("h", ["bad", "<n>"], 40, 38), ("h", ["good", "<n>"], 40, 1), ("h", ["new", "<n>"], 0, 0)], "host string, shape array<string>, labelled long, bad long")
+    got = {tuple(r["shape"]): r.purity for r in url_filter.templates(shapes, url_filter.UrlParams()).collect()}
+    assert got[("bad", "<n>")] > 0.8 and got[("good", "<n>")] < 0.1 and got[("new", "<n>")] == pytest.approx(0.2)
+    rows = url_filter.url_filter(spark.createDataFrame(seen, "page_id long, url string"))
+    assert rows.filter("verdict = 'block'").count() == 40
+
+
+def test_empty_tables(spark, empty):
+    no_pages = spark.createDataFrame([], "page_id long, url string, html string")
+    no_labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    for df in (quality.quality_rules(empty), pii.pii_digest(empty), token_count.token_counts(empty), packing.packed(empty), license_scan.license_scan(empty), line_dedup.line_dedup(empty), toxicity.toxicity(empty, no_labels), url_filter.url_filter(no_pages), decontam.leaks(empty, spark.createDataFrame([], "item_id long, text string")), ngram_join.ngram_groups(empty)):
+        assert df.count() == 0
+
+
+def test_pipeline(spark, sf_dir, tmp_path):
+    import corpus_pipeline as p
+
+    assert [n for n, _ in p.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "best-fit packing"]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for k, (_, stage) in enumerate(p.STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        docs = spark.read.parquet(str(tmp_path / str(k)))
+        assert docs.columns == columns and 0 < docs.count() <= before
+        before = docs.count()
+    texts = docs.select("doc_id", "text").collect()
+    check_packing(p.STAGES[-1][1](spark, docs, sf_dir), [tuple(r) for r in texts])
