@@ -1,8 +1,10 @@
 """N-gram Jaccard join: pairs of texts whose sets of word shingles are alike, and the groups that they link.
 
 Every shingle toggles one bit of its text's sketch. A sketch has blocks; for each block a 64-bit digest (XOR of the
-hashes of its shingles) says whether two blocks are the same, and a folded copy of the whole sketch, 512 bits, is
-kept too. The Hamming distance of two folded sketches never exceeds the symmetric difference of the sets.
+hashes of its shingles) says whether two blocks are the same, and folded copies of the whole sketch are kept too: a
+narrow one of 512 bits, a wide one that grows with the set (a power of two, at least two bits a shingle). Folding a
+sketch in half is the XOR of its halves, so sketches of different widths compare at the narrower one. The Hamming
+distance of two folded sketches never exceeds the symmetric difference of the sets.
 
 Sets with Jaccard >= t differ in at most d = (1-t)/(1+t) * (|A|+|B|) shingles. Pairs are banded by the size of their
 smaller set; a band's sketches have d + 1 + SPARE blocks, so alike sets agree on more than SPARE of them, and at least
@@ -40,7 +42,7 @@ class JoinParams:
     spare: int = 2
     #: Up to so many digests that several sets share go to all executors; more meet the sets in a shuffle.
     broadcast_keys: int = 500_000
-    #: 64-bit words of the folded sketch.
+    #: 64-bit words of the narrow folded sketch, a power of two.
     folded: int = 8
 
     @property
@@ -104,11 +106,16 @@ def keys(h: np.ndarray, params: JoinParams) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def folded(h: np.ndarray, params: JoinParams) -> np.ndarray:
-    bits = mixed(h + MIX) % np.uint64(64 * params.folded)
-    words = np.zeros(params.folded, np.uint64)
-    np.bitwise_xor.at(words, (bits >> np.uint64(6)).astype(np.intp), np.uint64(1) << (bits & np.uint64(63)))
-    return words.view(np.int64)
+def folded(h: np.ndarray, words: int) -> np.ndarray:
+    bits = mixed(h + MIX) & np.uint64(64 * words - 1)
+    out = np.zeros(words, np.uint64)
+    np.bitwise_xor.at(out, (bits >> np.uint64(6)).astype(np.intp), np.uint64(1) << (bits & np.uint64(63)))
+    return out.view(np.int64)
+
+
+def width(n: int, params: JoinParams) -> int:
+    """Words of the wide sketch of a set of this size."""
+    return max(params.folded, 1 << (-(-n // 32) - 1).bit_length())
 
 
 def sketches(docs: DataFrame, params: JoinParams) -> DataFrame:
@@ -120,12 +127,12 @@ def sketches(docs: DataFrame, params: JoinParams) -> DataFrame:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 h = shingles(text, params.words)
                 if len(h):
-                    rows.append((doc_id, len(h), int(np.bitwise_xor.reduce(h).view(np.int64)), int(mixed(h).sum(dtype=np.uint64).view(np.int64)), folded(h, params), keys(h, params)))
+                    rows.append((doc_id, len(h), int(np.bitwise_xor.reduce(h).view(np.int64)), int(mixed(h).sum(dtype=np.uint64).view(np.int64)), folded(h, params.folded), folded(h, width(len(h), params)), keys(h, params)))
                 else:
-                    rows.append((doc_id, 0, 0, 0, [], []))
-            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print1", "print2", "sketch", "keys"])
+                    rows.append((doc_id, 0, 0, 0, [], [], []))
+            yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print1", "print2", "sketch", "wide", "keys"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, print1 long, print2 long, sketch array<long>, keys array<long>")
+    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, print1 long, print2 long, sketch array<long>, wide array<long>, keys array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
@@ -180,37 +187,53 @@ def allowed(a: str, b: str, params: JoinParams) -> Column:
     return F.expr(f"100 * least({a}_n, {b}_n) >= {p} * greatest({a}_n, {b}_n) and {100 + p} * ({distance}) <= {100 - p} * ({a}_n + {b}_n)")
 
 
+def allowed_wide(params: JoinParams) -> Column:
+    """The same of the wide sketches; the wider one is folded down first."""
+    p = params.percent
+    halved = "transform(sequence(1, size({0}) div 2), i -> {0}[i - 1] ^ {0}[size({0}) div 2 + i - 1])"
+    a, b = (f"if(size({x}) > size({y}), {halved.format(x)}, {x})" for x, y in (("a_wide", "b_wide"), ("b_wide", "a_wide")))
+    distance = f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    same = "greatest(size(a_wide), size(b_wide)) <= 2 * least(size(a_wide), size(b_wide))"
+    return F.expr(f"not ({same}) or {100 + p} * ({distance}) <= {100 - p} * (a_n + b_n)")
+
+
 def ngram_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
     rows = written(sketches(docs, params), "sketches")
-    sets = rows.filter("n_shingles > 0").groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("set_id"))
+    # Written, so that a set of very many copies meets its rows in a join that can be split.
+    sets = written(rows.filter("n_shingles > 0").groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("set_id")), "sets")
     member = written(rows.filter("n_shingles > 0").select("doc_id", "print1", "print2", "n_shingles").join(sets, ["print1", "print2", "n_shingles"]).select("doc_id", "set_id").distinct(), "members")
     # One row for each distinct set stands for it from here on.
     doubles = member.filter("doc_id != set_id").select("doc_id")
     own = rows.filter("n_shingles > 0").join(doubles, "doc_id", "left_anti").withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
-    small = written(own.select("id", "n", "sketch").dropDuplicates(["id"]), "sets")
+    small = written(own.select("id", "n", "sketch", "wide").dropDuplicates(["id"]), "sets")
     stands = own.select("id", F.explode("keys").alias("key"))
     shared = written(stands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a != z").select("key", "a"), "shared")
     if shared.count() <= params.broadcast_keys:
         shared = F.broadcast(shared)
     met = written(stands.join(shared, "key").select("key", "a", F.col("id").alias("b")), "met")
 
-    def with_sketch(pairs: DataFrame, side: str) -> DataFrame:
-        return pairs.join(small.select(F.col("id").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
+    def with_sketch(pairs: DataFrame, side: str, *columns: str) -> DataFrame:
+        return pairs.join(small.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
+
+    def sifted(pairs: DataFrame) -> DataFrame:
+        """The pairs that their wide sketches allow."""
+        return with_sketch(with_sketch(pairs, "a", "n", "wide"), "b", "n", "wide").filter(allowed_wide(params)).select("a", "b")
 
     stars = met.filter("a != b").select("a", "b").distinct()
-    stars = with_sketch(with_sketch(stars, "a"), "b").filter(allowed("a", "b", params)).select("a", "b")
-    links = written(verified(docs, stars, params), "links")
+    stars = with_sketch(with_sketch(stars, "a", "n", "sketch"), "b", "n", "sketch").filter(allowed("a", "b", params)).select("a", "b")
+    stars = written(stars, "stars")
+    links = written(verified(docs, sifted(stars), params), "links")
     # Buckets that still hold several groups: pairs of different groups, as far as the sketches allow a link.
     group = written(components(links), "groups")
     named = met.join(group, F.col("b") == F.col("node"), "left").select("key", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
     open_ = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("key")
-    named = named.join(open_, "key").join(small, "id")
+    named = named.join(open_, "key").join(small.drop("wide"), "id")
     named = written(named, "open")
     a, b = (named.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "sketch")]) for side in "ab")
     more = a.join(b, "key").filter("a_id < b_id and a_component != b_component").filter(allowed("a", "b", params)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    more = more.join(stars, ["a", "b"], "left_anti")
-    late = written(verified(docs, more, params), "links")
+    more = written(more.join(stars, ["a", "b"], "left_anti"), "more")
+    late = written(verified(docs, sifted(more), params), "links")
     final = written(components(links.union(late)), "groups")
     classes = member.join(final, F.col("set_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "set_id").alias("component_id"))
     return rows.select("doc_id", "n_shingles").join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -7,7 +7,6 @@ import zlib
 from array import array
 from collections import Counter
 
-import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,10 +89,12 @@ def test_join_without_broadcast_and_repeated_rows(spark, docs, rows):
 
 
 def test_join_sketch_bounds_the_difference():
-    params = ngram_join.JoinParams()
     a, b = ngram_join.shingles(" ".join(map(str, range(200))), 5), ngram_join.shingles(" ".join(map(str, range(20, 220))), 5)
-    distance = sum(int(x ^ y).bit_count() for x, y in zip(ngram_join.folded(a, params).view("u8").tolist(), ngram_join.folded(b, params).view("u8").tolist(), strict=True))
-    assert distance <= len(set(a.tolist()) ^ set(b.tolist()))
+    for words in (1, 8, 64):
+        distance = sum(int(x ^ y).bit_count() for x, y in zip(ngram_join.folded(a, words).view("u8").tolist(), ngram_join.folded(b, words).view("u8").tolist(), strict=True))
+        assert distance <= len(set(a.tolist()) ^ set(b.tolist()))
+    wide = ngram_join.folded(a, 16)
+    assert (wide[:8] ^ wide[8:] == ngram_join.folded(a, 8)).all()
 
 
 def test_components_of_a_chain_and_a_star(spark):
