@@ -141,7 +141,7 @@ def skew(image: np.ndarray) -> float:
     sharp = []
     for degrees in angles:
         a = np.deg2rad(degrees)
-        rows = np.rint(y * np.cos(a) - x * np.sin(a)).astype(int) + reach
+        rows = np.floor(y * np.cos(a) - x * np.sin(a)).astype(int) + reach
         sharp.append(float((np.diff(np.bincount(rows, minlength=2 * reach + 1).astype(float)) ** 2).sum()))
     best = int(np.argmax(sharp))
     return float(angles[best]) if sharp[best] >= PEAK * np.median(sharp) else 0.0

@@ -96,7 +96,8 @@ def first_expected_rank(hits: DataFrame, questions: DataFrame) -> DataFrame:
 
 def recall_at(ranks: DataFrame, at: tuple[int, ...] = RANKS) -> DataFrame:
     """k, recall: the share of questions with a rank up to k; no question is an error."""
-    totals = ranks.agg(F.assert_true(F.count(F.lit(1)) > 0, "recall over no question").alias("checked"), *[F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"r{k}") for k in at])
+    none = F.count(F.lit(1)) == 0
+    totals = ranks.agg(*[F.when(none, F.raise_error(F.lit("recall over no question")).cast("double")).otherwise(F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0))).alias(f"r{k}") for k in at])
     return totals.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"r{k}").alias("recall")) for k in at])).alias("x")).select("x.k", "x.recall")
 
 
