@@ -43,6 +43,12 @@ def texts(docs: DataFrame, *others: str) -> DataFrame:
     return docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *others)
 
 
+def mapped(docs: DataFrame, run, schema: str) -> DataFrame:
+    """mapInPandas over doc_id and text. Ids travel as strings: pandas would make floats of whole numbers beside nulls."""
+    rows = texts(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return rows.mapInPandas(run, schema.replace("doc_id long", "doc_id string")).withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
 def ascii_lower(column):
     """Lower-case A to Z and nothing else."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

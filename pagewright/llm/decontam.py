@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import mapped
 
 
 @dataclass(frozen=True)
@@ -162,10 +162,9 @@ def leaks(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams())
 
         return run
 
-    rows = texts(docs)
     found = docs.sparkSession.createDataFrame([], LEAKS)
     for shard in shards(items, params):
-        found = found.unionByName(rows.mapInPandas(against(Index(shard, params)), LEAKS))
+        found = found.unionByName(mapped(docs, against(Index(shard, params)), LEAKS))
     return found
 
 

@@ -21,7 +21,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import mapped
 
 # The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -174,4 +174,4 @@ def license_scan(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
             yield out.astype({"first_word": "Int64", "last_word": "Int64"})
 
-    return texts(docs).mapInPandas(run, SCHEMA)
+    return mapped(docs, run, SCHEMA)

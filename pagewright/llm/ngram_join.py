@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import mapped, texts, written
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def sketches(docs: DataFrame, params: JoinParams) -> DataFrame:
                     rows.append((doc_id, 0, 0, 0, [], [], []))
             yield pd.DataFrame(rows, columns=["doc_id", "n_shingles", "print1", "print2", "sketch", "wide", "keys"])
 
-    return texts(docs).mapInPandas(run, "doc_id long, n_shingles long, print1 long, print2 long, sketch array<long>, wide array<long>, keys array<long>")
+    return mapped(docs, run, "doc_id long, n_shingles long, print1 long, print2 long, sketch array<long>, wide array<long>, keys array<long>")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:

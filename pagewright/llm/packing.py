@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import mapped, written
 from .token_count import VOCABULARY, counter
 
 
@@ -72,7 +72,7 @@ def pieces(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
                     at = end
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return texts(docs).mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return mapped(docs, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 class Packing:
@@ -172,7 +172,7 @@ def evolve(lengths: list[int], start: list[Packing], elite: list[tuple[int, ...]
     return max(people, key=Packing.fitness)
 
 
-COLUMNS = "rid long, doc_id long, piece int, start long, length long, ids_crc32 long, island long, bin long"
+COLUMNS = "rid long, doc_id string, piece int, start long, length long, ids_crc32 long, island long, bin long"
 
 
 def placed(items: pd.DataFrame, best: Packing) -> pd.DataFrame:
@@ -186,7 +186,7 @@ def placed(items: pd.DataFrame, best: Packing) -> pd.DataFrame:
 def packed(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """The pieces with sequence_id and offset."""
     size = params.capacity
-    cut = written(pieces(docs, params).withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    cut = written(pieces(docs, params).withColumns({"rid": F.monotonically_increasing_id(), "doc_id": F.col("doc_id").cast("string")}), "pieces")
     full = cut.filter(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.filter(F.col("length") < size)
 
@@ -228,4 +228,5 @@ def packed(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
 
     placed_rows = done.groupBy("round", "island").applyInPandas(offsets, COLUMNS + ", round int, offset long")
     number = (F.col("round").cast("long") * (1 << 40) + F.col("island")) * (1 << 22) + F.col("bin")
-    return placed_rows.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset").unionByName(full)
+    out = placed_rows.select("doc_id", "piece", "start", "length", "ids_crc32", number.alias("sequence_id"), "offset").unionByName(full)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))

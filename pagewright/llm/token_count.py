@@ -26,7 +26,7 @@ from functools import lru_cache
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .common import texts
+from .common import mapped
 
 VOCABULARY = "byte_bpe_50k"
 #: Entries that a worker's tables keep before they start anew: bounds its memory, changes no result.
@@ -181,4 +181,4 @@ def token_counts(docs: DataFrame, limit: int = 1024, vocabulary: str = VOCABULAR
             n = [own.count(t) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "n_bytes": [len(t.encode()) for t in batch["text"]], "n_tokens": n, "over_limit": [x > limit for x in n]})
 
-    return texts(docs).mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return mapped(docs, count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

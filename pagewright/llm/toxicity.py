@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import mapped, texts, written
 
 
 @dataclass(frozen=True)
@@ -249,7 +249,7 @@ def scored(docs: DataFrame, model: Model, params: ToxicityParams = ToxicityParam
             best = [max(scorer.passages(t), key=lambda s: s[2], default=None) for t in batch["text"]]
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [scorer.score(t) for t in batch["text"]], "first_word": pd.array([b and b[0] for b in best], "Int64"), "end_word": pd.array([b and b[1] for b in best], "Int64")})
 
-    return texts(docs).mapInPandas(run, "doc_id long, score double, first_word long, end_word long")
+    return mapped(docs, run, "doc_id long, score double, first_word long, end_word long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:

@@ -335,6 +335,23 @@ def test_empty_tables(spark, empty):
         assert df.count() == 0
 
 
+def test_null_and_large_ids(spark):
+    big, text = 2**60 + 1, "x y z w v u " * 20
+    rows = [(None, text), (big, None), (None, None), (3, "a line of words that two documents share today\nown"), (4, "a line of words that two documents share today"), (None, text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("source", F.lit(None).cast("string")).coalesce(1)
+    items = spark.createDataFrame([(None, "abc def"), (1, None), (big, "a line of words that two documents share")], "item_id long, text string")
+    labels = spark.createDataFrame([(None, 1, 1), (3, None, None), (4, 1, 0), (big, 1, 1)], "doc_id long, quality int, toxic int")
+    ids = lambda df: sorted((r.doc_id for r in df.select("doc_id").collect()), key=str)
+    everyone = sorted((r[0] for r in rows), key=str)
+    for df in (quality.quality_rules(docs), pii.pii_digest(docs), token_count.token_counts(docs), packing.packed(docs), license_scan.license_scan(docs), line_dedup.line_dedup(docs), toxicity.toxicity(docs, labels), ngram_join.ngram_groups(docs)):
+        assert ids(df) == everyone
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == {(3, big), (4, big)}
+    assert ids(decontam.clean(docs, items)) == sorted([None, None, None, big], key=str)
+    assert big in ids(ngram_join.keep_one(docs))
+    pages = spark.createDataFrame([(None, None, None), (big, "http://a.net/es/1", None)], "page_id long, url string, html string")
+    assert {r.page_id for r in url_filter.url_filter(pages).collect()} == {None, big}
+
+
 def test_pipeline(spark, sf_dir, tmp_path):
     import corpus_pipeline as p
 
