@@ -13,22 +13,22 @@ from pyspark.sql import functions as F
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet") -> DataFrame:
-    """Events of a folder, one file a trigger; event time as an instant, which watermarks need."""
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet", late: str = "1 day") -> DataFrame:
+    """Events of a folder, one file a trigger, with the watermark that everything after it shares."""
     raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", name).option("maxFilesPerTrigger", 1).parquet(folder)
-    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # watermarks need an instant
 
 
-def deduplicated(events: DataFrame, late: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
+def deduplicated(events: DataFrame) -> DataFrame:
+    return events.dropDuplicatesWithinWatermark(["event_id"])
 
 
-def tumbling_counts(events: DataFrame, width: str = "1 day", late: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+def tumbling_counts(events: DataFrame, width: str = "1 day") -> DataFrame:
+    return events.groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
 
 
-def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
-    return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+def session_counts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    return events.groupBy(F.session_window("ts", gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], mode: str = "append", seconds: int = 300) -> None:
