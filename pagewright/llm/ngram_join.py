@@ -7,8 +7,11 @@ sketch in half is the XOR of its halves, so sketches of different widths compare
 distance of two folded sketches never exceeds the symmetric difference of the sets.
 
 Sets with Jaccard >= t differ in at most d = (1-t)/(1+t) * (|A|+|B|) shingles. Pairs are banded by the size of their
-smaller set; a band's sketches have d + 1 + SPARE blocks, so alike sets agree on more than SPARE of them, and at least
-one that isn't empty (texts with more than SPARE empty blocks index those too). Texts meet on equal digests in a band: first each with
+smaller set; a band's sketches have d + 1 + EMPTY + COMMON blocks, so alike sets agree on more than EMPTY + COMMON of
+them. Texts with at most EMPTY empty blocks leave those out. A digest that many sets share (a passage that stands in
+many documents fills a small block) is common; whether it is doesn't depend on the text. Texts with at most COMMON
+common digests in a band leave those out too: whatever they are alike to still meets them on another one. Only texts
+with more, the members of large groups of near copies, meet on common digests. Texts meet on equal digests in a band: first each with
 the smallest of its bucket, then, for buckets that still hold several groups, the pairs of different groups whose
 Hamming distance allows a link. Each candidate is verified on the shingles themselves. That finds every link that
 changes a group, without all pairs of a group of copies; equal sets were one row from the start.
@@ -38,8 +41,11 @@ class JoinParams:
     words: int = 5
     #: The threshold, as percent, so that the verdict is exact in whole numbers.
     percent: int = 80
-    #: Blocks that alike sets share beyond the one that the pigeonhole promises.
-    spare: int = 2
+    #: Blocks that alike sets share beyond the one that the pigeonhole promises: for empty ones, and a share for common ones.
+    empty: int = 2
+    common: float = 0.1
+    #: A digest of more sets than this is common.
+    common_sets: int = 8
     #: Up to so many digests that several sets share go to all executors; more meet the sets in a shuffle.
     broadcast_keys: int = 500_000
     #: 64-bit words of the narrow folded sketch, a power of two.
@@ -50,7 +56,16 @@ class JoinParams:
         """Sizes of a band reach from one power of this to the next."""
         return 1 + 3 * (100 - self.percent) / 100
 
+    def geometry(self, band: int) -> tuple[int, int]:
+        """Blocks of a band's sketches, and how many common digests a text may leave out there."""
+        top = int(np.ceil(self.band ** (band + 1))) - 1
+        least = bound(top + top * 100 // self.percent, self.percent) + 1
+        spare = int(self.common * least) + 1
+        return least + self.empty + spare, spare
 
+
+#: Sets are of at most so many shingles (a text of tens of GB).
+LARGEST = 10**10
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -90,19 +105,22 @@ def band_of(n: int, params: JoinParams) -> int:
     return k
 
 
+#: Bits of a key that hold the digest; the band stands above them.
+DIGEST_BITS = 56
+
+
 def keys(h: np.ndarray, params: JoinParams) -> np.ndarray:
     """The digests under which a set stands: in its own band, and in those that smaller alike sets can be in."""
     n, out = len(h), []
     spread = mixed(h ^ MIX) >> np.uint64(32)
     for band in range(band_of(-(-n * params.percent // 100), params), band_of(n, params) + 1):
-        top = int(np.ceil(params.band ** (band + 1))) - 1
-        blocks = bound(top + top * 100 // params.percent, params.percent) + 1 + params.spare
+        blocks, _ = params.geometry(band)
         block = (spread % np.uint64(blocks)).astype(np.intp)
         digest = np.zeros(blocks, np.uint64)
         np.bitwise_xor.at(digest, block, h)
         full = np.bincount(block, minlength=blocks) > 0
-        key = mixed(digest ^ mixed(np.arange(blocks, dtype=np.uint64) + np.uint64((band + 1) << 40)))
-        out.append(key if (~full).sum() > params.spare else key[full])
+        key = mixed(digest ^ mixed(np.arange(blocks, dtype=np.uint64))) >> np.uint64(64 - DIGEST_BITS) | np.uint64(band << DIGEST_BITS)
+        out.append(key if (~full).sum() > params.empty else key[full])
     return np.concatenate(out).view(np.int64)
 
 
@@ -208,10 +226,18 @@ def ngram_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFram
     own = rows.filter("n_shingles > 0").join(doubles, "doc_id", "left_anti").withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
     small = written(own.select("id", "n", "sketch", "wide").dropDuplicates(["id"]), "sets")
     stands = own.select("id", F.explode("keys").alias("key"))
-    shared = written(stands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z")).filter("a != z").select("key", "a"), "shared")
+    shared = written(stands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("sets")).filter("a != z").select("key", "a", (F.col("sets") > params.common_sets).alias("common")), "shared")
     if shared.count() <= params.broadcast_keys:
         shared = F.broadcast(shared)
-    met = written(stands.join(shared, "key").select("key", "a", F.col("id").alias("b")), "met")
+    held = written(stands.join(shared, "key").select("key", "a", F.col("id").alias("b"), "common"), "met")
+    # Texts with more common digests in a band than they may leave out keep those; among them the smallest counts anew.
+    band = F.shiftright("key", DIGEST_BITS)
+    allowance = F.element_at(F.array(*[F.lit(params.geometry(k)[1]) for k in range(band_of(LARGEST, params) + 1)]), band.cast("int") + 1)
+    common = held.filter("common").select("key", "b", band.alias("band"), allowance.alias("allowance"))
+    crowded = common.groupBy("b", "band").agg(F.count(F.lit(1)).alias("n"), F.first("allowance").alias("allowance")).filter("n > allowance").select("b", "band")
+    dense = written(common.join(crowded, ["b", "band"]).select("key", "b"), "dense")
+    least = dense.groupBy("key").agg(F.min("b").alias("a"))
+    met = held.filter("not common").select("key", "a", "b").unionByName(dense.join(least, "key").select("key", "a", "b"))
 
     def with_sketch(pairs: DataFrame, side: str, *columns: str) -> DataFrame:
         return pairs.join(small.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)

@@ -80,6 +80,24 @@ def test_join_is_brute_force(docs, rows, k, percent):
     assert len(got) == len(rows)
 
 
+@pytest.mark.parametrize("common_sets", [1, 2])
+def test_join_with_common_digests(spark, common_sets):
+    rng = random.Random(8)
+    passage = " ".join(f"shared{i}" for i in range(12))
+    base = [f"b{i}" for i in range(90)]
+    texts = [" ".join(f"d{k}w{rng.randrange(10**6)}" for _ in range(60 + 7 * k)) + " " + passage for k in range(14)]
+    for k in range(16):  # near copies of one text, some beyond the threshold of each other
+        own = list(base)
+        for _ in range(k // 2):
+            own[rng.randrange(90)] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    rows = [(i, t, "", "", 0, "", 0, "", 0, 0) for i, t in enumerate(texts)]
+    for k, percent in ((3, 80), (3, 90), (1, 70)):
+        params = ngram_join.JoinParams(words=k, percent=percent, common_sets=common_sets, common=0.05)
+        got = ngram_join.ngram_groups(spark.createDataFrame(rows, SCHEMA), params).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows, k, percent)
+
+
 def test_join_without_broadcast_and_repeated_rows(spark, docs, rows):
     params = ngram_join.JoinParams(words=3, percent=90, broadcast_keys=0)
     got = ngram_join.ngram_groups(docs.union(docs), params).collect()
