@@ -44,7 +44,7 @@ class ToxicityParams:
     prior: float = 30.0
     drift: float = 0.25
     #: Log-odds are cut here, so that one word can't decide alone.
-    max_weight: float = 6.0
+    max_weight: float = 9.0
     min_weight: float = -1.0
     threshold: float = 0.7
 
