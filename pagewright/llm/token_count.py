@@ -30,7 +30,7 @@ from .common import mapped
 
 VOCABULARY = "byte_bpe_50k"
 #: Entries that a worker's tables keep before they start anew: bounds its memory, changes no result.
-TABLE_SIZE = 400_000
+TABLE_SIZE = 200_000
 
 
 def ranks_path(name: str = VOCABULARY) -> tuple[str, str]:
@@ -76,7 +76,7 @@ class PrefixCounter:
         key = first << 20 | second
         known = self.follows.get(key)
         if known is None:
-            if len(self.follows) >= 4 * self.table_size:
+            if len(self.follows) >= 2 * self.table_size:
                 self.follows.clear()
             known = self.follows[key] = self.piece(self.token[first] + self.token[second]) == [first, second]
         return known
