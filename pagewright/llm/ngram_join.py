@@ -43,7 +43,7 @@ class JoinParams:
     percent: int = 80
     #: Blocks that alike sets share beyond the one that the pigeonhole promises: for empty ones, and a share for common ones.
     empty: int = 2
-    common: float = 0.1
+    common: float = 0.2
     #: A digest of more sets than this is common.
     common_sets: int = 8
     #: Up to so many digests that several sets share go to all executors; more meet the sets in a shuffle.
