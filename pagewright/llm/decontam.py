@@ -121,17 +121,22 @@ class Index:
         starts = np.arange(0, max(1, len(words) - p.passage + p.stride), p.stride)
         low, high = np.searchsorted(at, starts), np.searchsorted(at, starts + p.passage)
         found: dict[int, tuple[int, float, float, float, int]] = {}
-        passages, blocks = np.nonzero(sums[high] - sums[low] >= self.block_need - 1e-4)
-        for w, block in zip(passages.tolist(), blocks.tolist(), strict=True):
-            query = np.unique(term[at[low[w] : high[w]]])
-            first = block * p.block
-            score = self.impact[query, first : first + p.block].sum(axis=0)
-            for k in (first + np.flatnonzero(score >= self.need[first : first + p.block])).tolist():
+        open_ = sums[high] - sums[low] >= self.block_need - 1e-4
+        for block in np.flatnonzero(open_.any(axis=0)).tolist():
+            first, known = block * p.block, term[at]
+            # The same bound item by item, before any passage is scored.
+            own = np.concatenate([np.zeros((1, min(p.block, len(self.ids) - first))), np.cumsum(self.impact[known, first : first + p.block], axis=0, dtype=np.float64)])
+            passages, items = np.nonzero(open_[:, block, None] & (own[high] - own[low] >= self.need[first : first + p.block] - 1e-4))
+            for w, item in zip(passages.tolist(), items.tolist(), strict=True):
+                k = first + item
+                score = float(self.impact[np.unique(known[low[w] : high[w]]), k].sum())
+                if score < self.need[k]:
+                    continue
                 reach = len(self.sets[k])
                 around = words[max(0, int(starts[w]) - reach) : int(starts[w]) + p.passage + reach]
                 q, a = (containment(part, around, p.shingle) for part in self.parts[k])
-                if q >= p.overlap and a >= p.overlap and (k not in found or found[k][1] < score[k - first]):
-                    found[k] = (self.ids[k], float(score[k - first]), q, a, int(starts[w]))
+                if q >= p.overlap and a >= p.overlap and (k not in found or found[k][1] < score):
+                    found[k] = (self.ids[k], score, q, a, int(starts[w]))
         return [found[k] for k in sorted(found)]
 
 
