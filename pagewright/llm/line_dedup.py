@@ -2,14 +2,16 @@
 
 A line's tokens are its words; tokens that look variable (numbers, hashes, addresses, dates) are masked. The tree has
 a fixed depth: token count, then leading tokens, down to a leaf. Lines of a leaf whose tokens agree at four of five
-positions or more share a template. Leaves with too many distinct lines are split by more leading tokens, and at
-last by the whole line, so a leaf stays bounded whatever the corpus.
+positions or more share a template: in the order of their hashes, a line joins the first template it is like, or
+begins one. A leaf with many distinct lines goes through this in rounds with the same outcome. The first lines of the
+leaf find their templates, the others are held against those in pieces, and what is like none of them makes the next
+round, which takes twice as many first lines.
 
 A template recurs when it stands in enough documents: two for long lines, more for short ones, which recur by chance.
 The document with the smallest doc_id keeps its lines of a template, every other loses them. Repeats within one
 document aren't this operator's business.
 
-Similarity compares up to 32 positions spread evenly over the line, two bytes each.
+Similarity compares all tokens, by four bytes of their hashes in lines of less than 16 tokens and by two in longer ones.
 
 Defined results: null text stays null and has no lines; lines without a word stay; a document may be left with an
 empty text; repeated rows count as one document; an empty table gives an empty result; all columns are kept, n_chars
@@ -31,13 +33,13 @@ from .common import mapped, texts, written
 
 @dataclass(frozen=True)
 class LineParams:
-    #: Leading tokens on the way to a leaf; the next numbers serve leaves that hold too many lines.
-    depths: tuple[int, int, int] = (3, 8, 16)
+    #: Leading tokens on the way to a leaf.
+    depth: int = 3
+    #: Lines of a leaf that one task takes together in the first round.
     max_leaf: int = 256
     #: Lines of the leaves that one group of a task holds, on average.
     bucket_lines: int = 4000
     similarity: float = 0.8
-    positions: int = 32
     #: A template of at least long_words tokens recurs from min_documents on, a shorter one from short_documents.
     min_documents: int = 2
     long_words: int = 8
@@ -54,11 +56,16 @@ def line_tokens(line: bytes) -> list[bytes]:
     return [b"<*>" if VARIABLE.search(t) or HASH.match(t) else t for t in line.split()] if VARIABLE.search(line) else line.split()
 
 
-LINES = "doc_id long, line int, hash long, n_tokens int, leaf0 long, leaf1 long, leaf2 long, sketch binary"
+LINES = "doc_id long, line int, hash long, n_tokens int, leaf long, sketch binary"
+
+
+def token_type(n_tokens: int) -> type:
+    """What a sketch keeps of a token: in short lines a single chance match would decide."""
+    return np.uint32 if n_tokens < 16 else np.uint16
 
 
 def lines_of(docs: DataFrame, params: LineParams) -> DataFrame:
-    """A row for each line with a word: hash, tree keys and sketch."""
+    """A row for each line with a word: hash, leaf and sketch."""
 
     def run(batches):
         import xxhash
@@ -72,47 +79,106 @@ def lines_of(docs: DataFrame, params: LineParams) -> DataFrame:
                     tokens = line_tokens(line)
                     n = len(tokens)
                     if n:
-                        at = tokens if n <= params.positions else [tokens[i * n // params.positions] for i in range(params.positions)]
-                        sketch = np.fromiter(map(digest, at), np.uint64, len(at)).astype(np.uint16).tobytes()
-                        leaves = [signed(digest(b"%d " % n + b" ".join(tokens[:d]))) for d in params.depths]
-                        rows.append((doc_id, k, signed(digest(b" ".join(tokens))), n, *leaves, sketch))
+                        sketch = np.fromiter(map(digest, tokens), np.uint64, n).astype(token_type(n)).tobytes()
+                        leaf = signed(digest(b"%d " % n + b" ".join(tokens[: params.depth])))
+                        rows.append((doc_id, k, signed(digest(b" ".join(tokens))), n, leaf, sketch))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in LINES.split(", ")])
 
     return mapped(docs, run, LINES)
 
 
-def merged_leaf(hashes: np.ndarray, sketches: list[bytes], similarity: float) -> np.ndarray:
-    """The template of each line of one leaf: the first line that isn't in one yet begins one and takes what is alike."""
-    table = np.stack([np.frombuffer(s, np.uint16) for s in sketches])
-    template = np.full(len(hashes), -1)
-    for i in range(len(hashes)):
+#: From this many lines on, lines that may be alike are looked up before they are compared.
+LOOKED_UP = 1000
+
+
+def lookup(table: np.ndarray, params: LineParams):
+    """A function that gives the rows which may be like a row. Of one block more than tokens may differ, one is equal."""
+    n = table.shape[1]
+    may_differ = int(((n - np.arange(1, n + 1)) / n >= params.similarity).sum())
+    # All lines of a leaf have their leading tokens in common.
+    cuts = np.unique(np.linspace(min(params.depth, n - 1), n, may_differ + 2).astype(int))
+    if len(cuts) < may_differ + 2:
+        return lambda i: np.arange(len(table))
+    blocks = []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        keys = np.ascontiguousarray(table[:, low:high])
+        key = np.unique(keys.view(np.dtype((np.void, keys.itemsize * keys.shape[1]))).ravel(), return_inverse=True)[1].ravel()
+        blocks.append((key, np.argsort(key, kind="stable"), np.concatenate([[0], np.cumsum(np.bincount(key))])))
+    return lambda i: np.concatenate([order[starts[key[i]] : starts[key[i] + 1]] for key, order, starts in blocks])
+
+
+def merged_leaf(sketches: list[bytes], n_tokens: int, params: LineParams, first: int | None = None) -> np.ndarray:
+    """The template of each line of one leaf: the first line that isn't in one yet begins one and takes what is alike.
+
+    Only the ``first`` lines (all by default) may begin one; lines that are like none of them get -1.
+    """
+    table = np.frombuffer(b"".join(sketches), token_type(n_tokens)).reshape(len(sketches), n_tokens)
+    template, rest = np.full(len(table), -1), np.arange(len(table))
+    near = lookup(table, params) if len(table) >= LOOKED_UP else None
+    for i in range(len(table) if first is None else first):
         if template[i] < 0:
-            template[((table == table[i]).mean(axis=1) >= similarity) & (template < 0)] = i
-    return hashes[template]
+            at = near(i) if near else rest
+            at = at[template[at] < 0]
+            template[at[(table[at] == table[i]).mean(axis=1) >= params.similarity]] = i
+            rest = rest if near else at
+    return template
 
 
 def templates_of(lines: DataFrame, params: LineParams) -> DataFrame:
     """hash, template (a line's hash) for the lines that follow another line's template; others are their own."""
-    rest, leaves = written(lines.groupBy("hash").agg(*[F.min(c).alias(c) for c in ("leaf0", "leaf1", "leaf2")]), "lines"), []
-    for level in ("leaf0", "leaf1", "leaf2"):
-        sizes = rest.groupBy(level).agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = written(rest.join(sizes, level), "leaves")
-        leaves.append(sized.filter(F.col("size") <= params.max_leaf).select("hash", F.col(level).alias("leaf")))
-        rest = sized.filter(F.col("size") > params.max_leaf).drop("size")
-    found = written(leaves[0].unionByName(leaves[1]).unionByName(leaves[2]), "leaves")
+    distinct = written(lines.groupBy("hash").agg(F.min("leaf").alias("leaf")), "lines")
+    shared = distinct.join(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "leaf").select("hash", "leaf")
+    rest = written(lines.select("hash", "n_tokens", "sketch").join(written(shared, "leaves").hint("merge"), "hash").dropDuplicates(["hash"]), "leaves")
+    found, at_once = [lines.select("hash", F.col("hash").alias("template")).limit(0)], params.max_leaf
+    while not rest.isEmpty():
+        large = rest.groupBy("leaf").agg(F.min("hash").cast("double").alias("low"), F.max("hash").cast("double").alias("high"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > at_once)
+        # Hashes are evenly spread, so the first lines of a leaf are those below a share of its span.
+        is_first = F.col("size").isNull() | (F.col("hash").cast("double") <= F.col("low") + (F.col("high") - F.col("low")) * at_once / F.col("size"))
+        pieces = F.ceil(F.col("size") / at_once).cast("long")
+        dealt = written(rest.join(large, "leaf", "left").select("hash", "leaf", "n_tokens", "sketch", pieces.alias("pieces"), is_first.alias("is_first")), "leaves")
+        firsts, others = dealt.filter("is_first"), dealt.filter("not is_first")
+        found.append(written(first_templates(firsts, params), "templates"))
+        if others.isEmpty():
+            break
+        begun = firsts.filter("pieces is not null").join(found[-1].filter("hash = template").select("hash"), "hash", "left_semi")
+        taken = written(taken_lines(begun, others, params), "templates")
+        found.append(taken)
+        rest, at_once = written(others.join(taken.select("hash"), "hash", "left_anti").select("hash", "leaf", "n_tokens", "sketch"), "leaves"), 2 * at_once
+    out = found[0]
+    for part in found[1:]:
+        out = out.unionByName(part)
+    return out.filter("hash != template")
+
+
+def first_templates(rows: DataFrame, params: LineParams) -> DataFrame:
+    """hash, template of all rows, each leaf by itself."""
     # Leaves are many and small: a task's group holds the whole leaves of one bucket, some thousands of lines.
-    buckets = max(1, found.count() // params.bucket_lines)
-    rows = lines.select("hash", "sketch").join(found.hint("merge"), "hash").dropDuplicates(["hash"])
-    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("leaf"), F.lit(buckets).cast("long")))
+    buckets = max(1, rows.count() // params.bucket_lines)
 
     def merged(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["leaf", "hash"], ignore_index=True)
-        hashes, leaf, sketches = group["hash"].to_numpy(), group["leaf"].to_numpy(), group["sketch"].tolist()
+        hashes, leaf, n_tokens, sketches = group["hash"].to_numpy(), group["leaf"].to_numpy(), group["n_tokens"].tolist(), group["sketch"].tolist()
         cuts = np.flatnonzero(np.diff(leaf)) + 1
-        parts = [merged_leaf(hashes[i:j], sketches[i:j], params.similarity) for i, j in zip([0, *cuts], [*cuts, len(leaf)], strict=True)]
-        return pd.DataFrame({"hash": hashes, "template": np.concatenate(parts)})
+        parts = [i + merged_leaf(sketches[i:j], n_tokens[i], params) for i, j in zip([0, *cuts], [*cuts, len(leaf)], strict=True)]
+        return pd.DataFrame({"hash": hashes, "template": hashes[np.concatenate(parts)]})
+
+    rows = rows.select("hash", "leaf", "n_tokens", "sketch", F.pmod(F.xxhash64("leaf"), F.lit(buckets).cast("long")).alias("bucket"))
+    return rows.groupBy("bucket").applyInPandas(merged, "hash long, template long")
+
 
-    return rows.groupBy("bucket").applyInPandas(merged, "hash long, template long").filter("hash != template")
+def taken_lines(begun: DataFrame, others: DataFrame, params: LineParams) -> DataFrame:
+    """hash, template of the ``others`` that are like a line which began a template; every piece of a leaf gets those."""
+
+    def merged(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["is_first", "hash"], ascending=[False, True], ignore_index=True)
+        hashes, first = group["hash"].to_numpy(), int(group["is_first"].sum())
+        template = merged_leaf(group["sketch"].tolist(), int(group["n_tokens"].iat[0]), params, first)
+        at = first + np.flatnonzero(template[first:] >= 0)
+        return pd.DataFrame({"hash": hashes[at], "template": hashes[template[at]]})
+
+    columns = ("hash", "leaf", "n_tokens", "sketch", "is_first")
+    both = begun.select(*columns, F.explode(F.expr("sequence(0L, pieces - 1)")).alias("piece")).unionByName(others.select(*columns, F.expr("pmod(xxhash64(hash), pieces)").alias("piece")))
+    return both.groupBy("leaf", "piece").applyInPandas(merged, "hash long, template long")
 
 
 def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:

@@ -281,6 +281,47 @@ def test_line_dedup(spark):
     assert exact == 1
 
 
+def test_line_dedup_of_templates_with_many_lines(spark):
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    share = [f"Share this article with {letters(i)} and all your other friends on the net" for i in range(300)]
+    words = [f"word{chr(97 + k)}" for k in range(26)]
+    edited = [" ".join([*words[:17], letters(i), *words[18:]]) for i in range(300)]
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(share + edited)], "doc_id long, text string")
+    assert {r.doc_id for r in line_dedup.line_dedup(docs).filter("n_dropped = 0").collect()} == {0, 300}
+
+
+@pytest.mark.parametrize("max_leaf", [4, 256])
+def test_line_templates_are_brute_force(spark, monkeypatch, max_leaf):
+    import xxhash
+
+    rng = random.Random(7)
+    stems = [["a", "b", "c", *(rng.choice("pqrstuvw") * 2 for _ in range(n - 3))] for n in (5, 5, 10, 10, 10, 40, 40)]
+    lines = set()
+    for _ in range(500):
+        own = list(rng.choice(stems))
+        for _ in range(rng.randrange(1 + len(own) // 4)):
+            own[rng.randrange(3, len(own))] = rng.choice("klmno") * 3
+        lines.add(" ".join(own))
+    lines = sorted(lines)
+    number = lambda x: (h := xxhash.xxh3_64_intdigest(x.encode())) - (h >> 63 << 64)
+    want, begun = {}, []
+    for line in sorted(lines, key=number):
+        tokens = line.split()
+        alike = [b for b in begun if len(b) == len(tokens) and sum(x == y for x, y in zip(b, tokens, strict=True)) >= 0.8 * len(tokens)]
+        if not alike:
+            begun.append(tokens)
+        want[number(line)] = number(" ".join((alike or [tokens])[0]))
+    params = line_dedup.LineParams(max_leaf=max_leaf)
+    rows = line_dedup.written(line_dedup.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), params), "lines")
+    got = {h: h for h in want} | {r.hash: r.template for r in line_dedup.templates_of(rows, params).collect()}
+    assert got == want and len(set(want.values())) < len(lines) / 2
+    sketches = {r.hash: bytes(r.sketch) for r in rows.filter("n_tokens = 40").collect()}
+    order = sorted(sketches)
+    for looked_up in (1, 10**9):
+        monkeypatch.setattr(line_dedup, "LOOKED_UP", looked_up)
+        assert [order[t] for t in line_dedup.merged_leaf([sketches[h] for h in order], 40, params)] == [want[h] for h in order]
+
+
 def test_leaks(spark):
     item = "Where does the heron keep its seventh lantern in winter? Behind the copper weir of old Marlow town."
     items = spark.createDataFrame([(1, item), (2, "An unrelated item about glass bells and their keepers. They ring."), (3, None), (4, "")], "item_id long, text string")
