@@ -5,8 +5,12 @@ query) and, per block, the largest. Every document is read in overlapping passag
 once, prefix sums of the block maxima give an upper bound for each block; only blocks whose bound reaches the least
 threshold of their items are scored, item by item. A threshold is a share of the item's score against itself.
 
+Passages follow the items' lengths: items of up to ``passage`` words are looked for in passages of that length, longer
+ones in passages that hold the longest items of their band whole, wherever a copy begins.
+
 A retrieved item counts as a leak when enough of the word shingles of its question (all but the last sentence) and
-of its answer (the last sentence) stand in the passage and what surrounds it.
+of its answer (the last sentence) stand in the passage and what surrounds it. Where one changed word would cost a short
+part too many shingles, the part also counts by the words that stand in one place in order (1 - word edits / words).
 
 The index travels to the executors, so its size is bounded: items come in shards of at most ``shard_words`` words,
 and a larger benchmark is held against the documents shard after shard.
@@ -18,7 +22,7 @@ repeated rows, repeated items one row each (ids apart); an empty table, or no it
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -76,6 +80,38 @@ def containment(part: list[bytes], whole: list[bytes], n: int) -> float:
     return len(own & there) / len(own)
 
 
+def in_one_place(part: list[bytes], whole: list[bytes]) -> float:
+    """1 - edits / words, by the stretch of the whole that takes the fewest word edits to become the part."""
+    n, places = len(part), {}
+    for k, w in enumerate(part):
+        places[w] = places.get(w, 0) | 1 << k
+    # Myers' bit vectors: the differences between neighbours in a column of the edit table.
+    every, last = (1 << n) - 1, 1 << n - 1
+    up, down, edits = every, 0, n
+    best = edits
+    for w in whole:
+        same = places.get(w, 0)
+        rise = same | down
+        level = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(level | up)) & every, up & level
+        edits += bool(more & last) - bool(less & last)
+        best = min(best, edits)
+        more, less = more << 1 & every, less << 1 & every
+        up, down = (less | ~(rise | more)) & every, more & rise
+    return 1 - best / n
+
+
+def share(part: list[bytes], whole: list[bytes], params: LeakParams) -> float:
+    """How much of a part stands in the whole."""
+    by_shingles, n = containment(part, whole, params.shingle), len(part)
+    if by_shingles >= params.overlap or params.shingle <= (1 - params.overlap) * (n - params.shingle + 1):
+        return by_shingles
+    there = set(whole)
+    if sum(w in there for w in part) < params.overlap * n:
+        return by_shingles
+    return max(by_shingles, in_one_place(part, whole))
+
+
 class Index:
     """One shard of items: impacts by term, block maxima, thresholds."""
 
@@ -134,8 +170,10 @@ class Index:
                     continue
                 reach = len(self.sets[k])
                 around = words[max(0, int(starts[w]) - reach) : int(starts[w]) + p.passage + reach]
-                q, a = (containment(part, around, p.shingle) for part in self.parts[k])
-                if q >= p.overlap and a >= p.overlap and (k not in found or found[k][1] < score):
+                if k in found and found[k][1] >= score:
+                    continue
+                question, answer = self.parts[k]
+                if (q := share(question, around, p)) >= p.overlap and (a := share(answer, around, p)) >= p.overlap:
                     found[k] = (self.ids[k], score, q, a, int(starts[w]))
         return [found[k] for k in sorted(found)]
 
@@ -156,20 +194,33 @@ def shards(items: DataFrame, params: LeakParams):
         yield own
 
 
+def indexes(shard: list[tuple[int, str]], params: LeakParams) -> list[Index]:
+    """An index for each band of lengths: up to a passage, up to two, up to four and so on."""
+    bands: dict[int, list[tuple[int, str]]] = {}
+    for item in shard:
+        longest = params.passage
+        while longest < len(words_of(item[1])):
+            longest *= 2
+        bands.setdefault(longest, []).append(item)
+    # A passage of one and a half times the longest item, begun at every half of it, holds any copy whole.
+    wider = lambda n: params if n == params.passage else replace(params, passage=n + n // 2, stride=n // 2)
+    return [Index(bands[n], wider(n)) for n in sorted(bands)]
+
+
 def leaks(docs: DataFrame, items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """A row for each document and item that leaks into it."""
 
-    def against(index: Index):
+    def against(own: list[Index]):
         def run(batches):
             for batch in batches:
-                rows = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for hit in index.leaks(t)]
+                rows = [(d, *hit) for d, t in zip(batch["doc_id"], batch["text"], strict=True) for index in own for hit in index.leaks(t)]
                 yield pd.DataFrame(rows, columns=[c.split()[0] for c in LEAKS.split(", ")])
 
         return run
 
     found = docs.sparkSession.createDataFrame([], LEAKS)
     for shard in shards(items, params):
-        found = found.unionByName(mapped(docs, against(Index(shard, params)), LEAKS))
+        found = found.unionByName(mapped(docs, against(indexes(shard, params)), LEAKS))
     return found
 
 

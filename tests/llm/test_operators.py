@@ -334,6 +334,36 @@ def test_leaks(spark):
     assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items, small).collect()} == {(1, 1), (5, 1)}
 
 
+def test_leaks_of_long_items(spark):
+    long = {n: " ".join(f"long{n}w{i}" for i in range(n - 4)) + "? The answer is long." for n in (65, 170, 300, 1500)}
+    items = spark.createDataFrame([*long.items(), (1, "Where does the heron keep its lantern? Behind the weir.")], "item_id long, text string")
+    filler = " ".join(f"filler{i}" for i in range(700))
+    rows = [(n * 100 + k, f"{filler[: 40 * k + 7]} {text} {filler}") for n, text in long.items() for k in range(8)]
+    docs = spark.createDataFrame([*rows, (1, filler)], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(docs, items).collect()} == {(d, d // 100) for d, _ in rows}
+
+
+def test_leaks_with_a_changed_word_in_a_short_part(spark):
+    question, answer = "Where does the old heron of the north marsh keep its seventh lantern in the winter?", "Behind the copper weir of old Marlow town."
+    items = spark.createDataFrame([(1, f"{question} {answer}")], "item_id long, text string")
+    filler = " ".join(f"filler{i}" for i in range(300))
+    texts = [answer.replace("copper", "iron"), answer.replace("of old", "of very old"), answer.replace("weir of", "of"), "Under the bridge of some new river city.", "Town Marlow old of weir copper the behind.", answer]
+    docs = spark.createDataFrame([(i, f"{filler} {question} {t} {filler}") for i, t in enumerate(texts)] + [(10, f"{filler} {question.replace('seventh', 'ninth')} {answer}")], "doc_id long, text string")
+    assert {r.doc_id for r in decontam.leaks(docs, items).collect()} == {0, 1, 2, 5, 10}
+
+
+def test_words_in_one_place_are_brute_force():
+    rng = random.Random(11)
+    for _ in range(300):
+        part, whole = ([bytes([rng.randrange(97, 101)]) for _ in range(rng.randrange(low, 12))] for low in (1, 0))
+        row = [0] * (len(whole) + 1)
+        for i, x in enumerate(part):
+            row, above = [i + 1], row
+            for j, y in enumerate(whole):
+                row.append(min(above[j] + (x != y), above[j + 1] + 1, row[j] + 1))
+        assert decontam.in_one_place(part, whole) == 1 - min(row) / len(part)
+
+
 def test_leaks_of_verbatim_items(spark, sf_dir):
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = {(r[0], r[1]) for r in docs.join(items.withColumnRenamed("text", "t"), F.contains("text", "t")).select("doc_id", "item_id").collect()}
