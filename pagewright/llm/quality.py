@@ -4,7 +4,8 @@ Base rules come from the text alone: too few words, or too many words inside rep
 The method proper hashes every normalised line, counts in how many distinct texts of one host (``source``) it
 stands, takes away the lines above a limit, and rejects documents of which too little is left. Exact copies of a
 text count once, so that a copied document isn't taken for boilerplate (copies are the joins' business), and the
-document that carries a line first (the smallest doc_id) isn't charged for it.
+document that carries a line first (the smallest doc_id) isn't charged for it and keeps it. ``quality_filter`` returns
+the texts without the lines that are charged; n_chars (where there is one of a whole-number type) follows the text.
 
 Defined results: null text is an empty text (0 words, fails the base rules); a null source is a host of its own;
 repeated rows give repeated result rows; an empty table gives an empty result; columns other than doc_id, text and
@@ -31,6 +32,11 @@ class QualityParams:
     min_left: float = 0.5
 
 
+#: A line with a word, and its hash: letters in lower case, digits alike, without white space and common marks.
+HAS_WORD = r"l rlike '[^\\x20\\x09-\\x0D]'"
+LINE_HASH = "xxhash64(translate(lower(l), '0123456789 \t\r.,;:!?', '0000000000'))"
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: the counts of the base rules and the hashes of the lines."""
     base = texts(docs, F.coalesce(F.col("source"), F.lit("\0")).alias("host")).withColumn("words", F.array_remove(F.split(F.translate("text", SPACES, " " * len(SPACES)), " "), ""))
@@ -42,7 +48,7 @@ def digests(docs: DataFrame) -> DataFrame:
     )
     base = base.withColumn("same", F.expr("filter(windows, (x, k) -> coalesce(shiftright(x, bits) = shiftright(get(windows, k - 1), bits), false) or coalesce(shiftright(x, bits) = shiftright(get(windows, k + 1), bits), false))"))
     base = base.withColumn("starts", F.expr("transform(same, x -> x & (shiftleft(1L, bits) - 1))"))
-    base = base.withColumn("lines", F.expr(r"filter(split(text, '\n'), l -> l rlike '[^\\x20\\x09-\\x0D]')"))
+    base = base.withColumn("lines", F.expr(rf"filter(split(text, '\n'), l -> {HAS_WORD})"))
     return base.select(
         "doc_id",
         "host",
@@ -52,17 +58,25 @@ def digests(docs: DataFrame) -> DataFrame:
         (F.char_length("text") - F.char_length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr("cast(size(array_distinct(flatten(array(starts, transform(starts, x -> x + 1), transform(starts, x -> x + 2))))) as bigint)").alias("n_repeat_words"),
-        F.expr("transform(lines, l -> struct(xxhash64(translate(lower(l), '0123456789 \t\r.,;:!?', '0000000000')) as hash, char_length(l) as chars))").alias("lines"),
+        F.expr(f"transform(lines, l -> struct({LINE_HASH} as hash, char_length(l) as chars))").alias("lines"),
     )
 
 
-def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The digests with ``base_failed``, ``left_share`` and the verdict ``kept``, one row per row of ``docs``."""
-    rows = written(digests(docs), "quality")
+def frequent_lines(rows: DataFrame, params: QualityParams) -> DataFrame:
+    """host, hash and first document of the lines above the limit."""
     lines = rows.select("host", "text_hash", "doc_id", F.explode("lines").alias("line")).select("host", "text_hash", "doc_id", F.col("line.hash").alias("hash"))
     # A row for each line and text first, so that a line in a third of all rows is summed on the map side.
     by_text = lines.groupBy("host", "hash", "text_hash").agg(F.min("doc_id").alias("first_doc"))
-    frequent = by_text.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_doc").alias("first_doc")).filter(F.col("n_texts") > params.max_texts_per_host).select("host", "hash", "first_doc")
+    return by_text.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_doc").alias("first_doc")).filter(F.col("n_texts") > params.max_texts_per_host).select("host", "hash", "first_doc")
+
+
+def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
+    """The digests with ``base_failed``, ``left_share`` and the verdict ``kept``, one row per row of ``docs``."""
+    rows = written(digests(docs), "quality")
+    return judged(rows, frequent_lines(rows, params), params)
+
+
+def judged(rows: DataFrame, frequent: DataFrame, params: QualityParams) -> DataFrame:
     charged = (
         rows.select("host", "doc_id", F.explode("lines").alias("line"))
         .select("host", "doc_id", F.col("line.hash").alias("hash"), F.col("line.chars").alias("chars"))
@@ -80,6 +94,16 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
 
 
 def quality_filter(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
-    rejected = quality_rules(docs, params).filter(~F.col("kept")).select(F.col("doc_id").alias("rejected_doc_id")).distinct()
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_doc_id"]), "left_anti")
+    """The rows of ``docs`` that the rules keep, with all their columns; the texts without the lines that are charged."""
+    rows = written(digests(docs), "quality")
+    frequent = written(frequent_lines(rows, params), "frequent")
+    rejected = judged(rows, frequent, params).filter(~F.col("kept")).select(F.col("doc_id").alias("rejected_doc_id")).distinct()
+    kept = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_doc_id"]), "left_anti")
+    lines = rows.select("host", "doc_id", F.explode("lines.hash").alias("hash")).join(frequent, ["host", "hash"]).filter(F.col("doc_id") != F.col("first_doc"))
+    gone = lines.groupBy(F.col("doc_id").alias("_gone_doc_id"), F.col("host").alias("_gone_host")).agg(F.collect_set("hash").alias("_gone"))
+    joined = kept.join(gone, (F.col("doc_id") == F.col("_gone_doc_id")) & (F.coalesce("source", F.lit("\0")) == F.col("_gone_host")), "left")
+    left = F.expr(rf"array_join(filter(split(text, '\n'), l -> not ({HAS_WORD} and array_contains(_gone, {LINE_HASH}))), '\n')")
+    out = {"text": F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text"))}
+    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
+        out["n_chars"] = F.when(F.col("_gone").isNotNull(), F.char_length(left)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+    return joined.withColumns(out).select(*docs.columns)

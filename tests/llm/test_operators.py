@@ -151,6 +151,16 @@ def test_quality_takes_copies_for_one_text(spark):
     assert got.count() == 30
 
 
+def test_quality_filter_takes_frequent_lines_away(spark):
+    own = lambda i: " ".join(f"own{chr(97 + i)}word{chr(97 + j)}" for j in range(26)) + "\n\n" + " ".join(f"more{chr(97 + i)}word{chr(97 + j)}" for j in range(26))
+    texts = {i: f"Read  more: {i % 10}\n{own(i)}\nREAD MORE 7" for i in range(25)} | {30: f"read more 1\n{own(25)}"}
+    rows = [(i, t, None if i < 30 else "other", len(t), "h") for i, t in texts.items()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, host string")
+    got = {r.doc_id: r for r in quality.quality_filter(docs, quality.QualityParams(max_texts_per_host=20)).collect()}
+    assert {d: r.text for d, r in got.items()} == {i: texts[i] if i in (0, 30) else own(i) for i in texts}
+    assert all(r.n_chars == len(r.text) and r.host == "h" for r in got.values())
+
+
 def luhn(s):
     return sum(v if i % 2 == 0 else (v * 2 - 9 if v > 4 else v * 2) for i, v in enumerate(map(int, reversed(s)))) % 10 == 0
 
