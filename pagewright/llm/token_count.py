@@ -2,10 +2,10 @@
 
 The last token of a text's encoding decides how the text before it was encoded: token t may follow token s exactly
 when the encoder, given the bytes of both, returns s and t again. So the encoding of a prefix is that of a shorter
-prefix plus the one token that may follow, and a table prefix -> (tokens, last token) fills in from left to right.
-The tables belong to words (what the pre-tokenizer cuts out, which no token crosses); a text's count at any prefix
-is the sum of the whole words before it plus one look into the table of the word that it cuts. Truncation to a
-budget is a search in the same sums. Nothing is encoded again.
+prefix plus the one token that may follow, and a word's list of states (tokens and last token at each of its prefixes)
+fills in from left to right: one whole number a byte, however long the word is. Words are what the pre-tokenizer cuts
+out, which no token crosses; a text's count at any prefix is the sum of the whole words before it plus one look into
+the list of the word that it cuts. Truncation to a budget is a search in the same sums. Nothing is encoded again.
 
 Words come from the pre-tokenizer's public pattern. A text that holds a special token's string is cut there first,
 as the library does by default, and each such string counts one.
@@ -22,6 +22,7 @@ import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -29,8 +30,11 @@ from pyspark.sql import DataFrame
 from .common import mapped
 
 VOCABULARY = "byte_bpe_50k"
-#: Entries that a worker's tables keep before they start anew: bounds its memory, changes no result.
-TABLE_SIZE = 200_000
+#: Entries that each of a worker's three tables keeps before it starts anew, the bytes of the longest prefix and the
+#: characters of the longest run that are kept: together they bound a worker's memory and change no result.
+TABLE_SIZE = 500_000
+KEPT_BYTES = 24
+KEPT_CHARS = 64
 
 
 def ranks_path(name: str = VOCABULARY) -> tuple[str, str]:
@@ -54,7 +58,7 @@ def encoder(name: str = VOCABULARY):
 
 
 class PrefixCounter:
-    """Counts and last tokens of prefixes, learnt word by word and kept in bounded tables."""
+    """Counts and last tokens at every prefix of a word; those of short prefixes and runs are kept, in bounded tables."""
 
     def __init__(self, name: str = VOCABULARY, table_size: int = TABLE_SIZE) -> None:
         import public_tokenizers
@@ -63,60 +67,64 @@ class PrefixCounter:
         self.bpe, self.ranks, self.special = encoder(name)
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.piece = self.bpe._encode_single_piece
-        self.longest = max(map(len, self.ranks))
+        self.token = {v: k for k, v in self.ranks.items()}
         self.cut = re.compile("|".join(map(re.escape, self.special))) if self.special else None
         self.table_size = table_size
-        #: prefix of a word -> tokens * 2**20 + last token
-        self.prefixes: dict[bytes, int] = {}
         self.chunks: dict[str, int] = {}
         self.follows: dict[int, bool] = {}
-        self.token = {v: k for k, v in self.ranks.items()}
+        #: short prefix of a word -> tokens << 20 | last token
+        self.prefixes: dict[bytes, int] = {}
 
-    def may_follow(self, first: int, second: int) -> bool:
-        key = first << 20 | second
-        known = self.follows.get(key)
-        if known is None:
-            if len(self.follows) >= 2 * self.table_size:
-                self.follows.clear()
-            known = self.follows[key] = self.piece(self.token[first] + self.token[second]) == [first, second]
+    def may_follow(self, key: int) -> bool:
+        """Whether the encoder keeps the tokens of ``key`` (first << 20 | second) apart; asked once for each pair."""
+        if len(self.follows) >= self.table_size:
+            self.follows.clear()
+        first, second = key >> 20, key & 0xFFFFF
+        known = self.follows[key] = self.piece(self.token[first] + self.token[second]) == [first, second]
         return known
 
-    def state(self, word: bytes) -> int:
-        """The table's entry for ``word``; fills in those of its shorter prefixes on the way."""
-        table = self.prefixes
-        have = len(word)
-        while have and word[:have] not in table:
-            have -= 1
+    def states(self, word: bytes) -> list[int]:
+        """Tokens << 20 | last token for each prefix of a word, from the empty one on: linear in the word.
+
+        One token and no other fits behind the prefix before it, so the order in which they are asked is free.
+        """
+        n, table, ranks, follows = len(word), self.prefixes, self.ranks.get, self.follows.get
         if len(table) >= self.table_size:
             table.clear()
-            have = 0
-        ranks = self.ranks
-        for end in range(have + 1, len(word) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = ranks.get(word[start:end])
+        have = min(n, KEPT_BYTES)
+        while have and word[:have] not in table:
+            have -= 1
+        out = [0, *[table[word[:k]] for k in range(1, have + 1)]]
+        for end in range(have + 1, n + 1):
+            for start in range(end - 1, -1, -1):
+                token = ranks(word[start:end])
                 if token is None:
                     continue
-                if not start:  # a vocabulary entry is its own encoding
-                    entry = 1 << 20 | token
-                    break
-                before = table.get(word[:start])
-                if before is None:  # the table was emptied meanwhile
-                    before = self.state(word[:start])
-                if self.may_follow(before & 0xFFFFF, token):
-                    entry = ((before >> 20) + 1) << 20 | token
-                    break
-            table[word[:end]] = entry
-        return table[word]
+                before = out[start]
+                if start:  # a vocabulary entry is its own encoding, others must follow what stands before them
+                    key = (before & 0xFFFFF) << 20 | token
+                    known = follows(key)
+                    if not (self.may_follow(key) if known is None else known):
+                        continue
+                state = (before >> 20) + 1 << 20 | token
+                break
+            out.append(state)
+            if end <= KEPT_BYTES:
+                table[word[:end]] = state
+        return out
 
     def word_count(self, word: str) -> int:
         raw = word.encode()
-        return self.state(raw) >> 20 if raw else 0
+        known = self.prefixes.get(raw)
+        return (self.states(raw)[-1] if known is None else known) >> 20
 
     def chunk_count(self, chunk: str) -> int:
         """Tokens of a run that the pre-tokenizer treats alike wherever it stands."""
-        if len(self.chunks) >= self.table_size:
-            self.chunks.clear()
-        n = self.chunks[chunk] = sum(map(self.word_count, self.words(chunk)))
+        n = sum(map(self.word_count, self.words(chunk)))
+        if len(chunk) <= KEPT_CHARS:
+            if len(self.chunks) >= self.table_size:
+                self.chunks.clear()
+            self.chunks[chunk] = n
         return n
 
     #: White space and what stands after it up to the next white space: no word of the pre-tokenizer crosses its ends.
@@ -161,8 +169,9 @@ class PrefixCounter:
         at, used = (ends[k - 1], sums[k - 1]) if k else (0, 0)
         if k < len(words) and words[k] not in self.special:
             word = words[k]
-            fit = max((i for i in range(len(word) + 1) if used + self.word_count(word[:i]) <= budget and self.words(word[:i]) == [word[:i]]), default=0)
-            at += fit
+            states = self.states(word.encode())
+            ends_at = [0, *accumulate(len(c.encode()) for c in word)]
+            at += next((i for i in range(len(word), 0, -1) if used + (states[ends_at[i]] >> 20) <= budget and self.words(word[:i]) == [word[:i]]), 0)
         return text[:at]
 
 

@@ -218,6 +218,22 @@ def test_token_prefixes():
     assert counter.truncate("one two three four", 2) == "one two"
 
 
+def test_token_counts_of_very_long_words():
+    import tracemalloc
+
+    from tokenizers import Tokenizer
+
+    own, counter = Tokenizer.from_file(token_count.ranks_path()[1]), token_count.PrefixCounter()
+    rng = random.Random(4)
+    word = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(200_000))
+    for text in (word, "=-" * 20_000, "語" * 20_000):
+        tracemalloc.start()
+        n = counter.count(text)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert n == len(own.encode(text, add_special_tokens=False).ids) and peak < 100e6
+
+
 def check_packing(packed, rows, capacity=1024):
     from tokenizers import Tokenizer
 
