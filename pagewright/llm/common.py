@@ -14,23 +14,52 @@ from ..session import with_code
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Spark removes the shuffle files of a query when the query ends: nothing runs a written query a second time.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Where none is set, a temporary one, in local mode only (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pagewright.checkpoint.dir", None)
     if not root:
-        root = spark.conf.get("spark.pagewright.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="pagewright-")
-            spark.conf.set("spark.pagewright.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="pagewright-")
+        spark.conf.set("spark.pagewright.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+class Scratch:
+    """The intermediate tables of one run, as Parquet in a folder of its own within the shared one.
+
+    Writing cuts the lineage and survives lost executors. A table goes as soon as its readers are done; those that a
+    result still reads stay, and go with the shared folder.
+    """
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        path, before = f"{self.path}/{name}", self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, made longer until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,14 +7,14 @@ sketch in half is the XOR of its halves, so sketches of different widths compare
 distance of two folded sketches never exceeds the symmetric difference of the sets.
 
 Sets with Jaccard >= t differ in at most d = (1-t)/(1+t) * (|A|+|B|) shingles. Pairs are banded by the size of their
-smaller set; a band's sketches have d + 1 + EMPTY + COMMON blocks, so alike sets agree on more than EMPTY + COMMON of
-them. Texts with at most EMPTY empty blocks leave those out. A digest that many sets share (a passage that stands in
-many documents fills a small block) is common; whether it is doesn't depend on the text. Texts with at most COMMON
-common digests in a band leave those out too: whatever they are alike to still meets them on another one. Only texts
-with more, the members of large groups of near copies, meet on common digests. Texts meet on equal digests in a band: first each with
-the smallest of its bucket, then, for buckets that still hold several groups, the pairs of different groups whose
-Hamming distance allows a link. Each candidate is verified on the shingles themselves. That finds every link that
-changes a group, without all pairs of a group of copies; equal sets were one row from the start.
+smaller set; a band's sketches have d + 1 + EMPTY + SPARE blocks, so alike sets agree on more than EMPTY + SPARE of
+them. Texts with at most EMPTY empty blocks leave those out, and every text leaves out the SPARE digests of a band
+that most sets have (equal counts by digest): of the digests that two alike sets share, the one that fewest sets have is
+left out by neither. So a passage that many documents share, or the frequent words of a language, seldom bring texts
+together. Texts meet on the digests that are left: first each with the smallest of its bucket, then, for buckets that
+still hold several groups, the pairs of different groups whose Hamming distance allows a link; those are compared
+inside the join and not emitted otherwise. Each candidate is verified on the shingles themselves. That finds every link
+that changes a group, without all pairs of a group of copies; equal sets were one row from the start.
 
 Groups are found by alternating hooks to the smallest neighbour. All of it is joins and aggregates whose rows
 survive in the shared folder.
@@ -30,10 +30,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped, texts, written
+from .common import Scratch, fresh, mapped, texts
 
 
 @dataclass(frozen=True)
@@ -44,10 +44,8 @@ class JoinParams:
     #: Blocks that alike sets share beyond the one that the pigeonhole promises: for empty ones, and a share for common ones.
     empty: int = 2
     common: float = 0.2
-    #: A digest of more sets than this is common.
-    common_sets: int = 8
-    #: Up to so many digests that several sets share go to all executors; more meet the sets in a shuffle.
-    broadcast_keys: int = 500_000
+    #: Shingles of the texts that are verified with one text in one go.
+    verified_shingles: int = 200_000
     #: 64-bit words of the narrow folded sketch, a power of two.
     folded: int = 8
 
@@ -57,7 +55,7 @@ class JoinParams:
         return 1 + 3 * (100 - self.percent) / 100
 
     def geometry(self, band: int) -> tuple[int, int]:
-        """Blocks of a band's sketches, and how many common digests a text may leave out there."""
+        """Blocks of a band's sketches, and how many digests a text leaves out there."""
         top = int(np.ceil(self.band ** (band + 1))) - 1
         least = bound(top + top * 100 // self.percent, self.percent) + 1
         spare = int(self.common * least) + 1
@@ -153,13 +151,17 @@ def sketches(docs: DataFrame, params: JoinParams) -> DataFrame:
     return mapped(docs, run, "doc_id long, n_shingles long, print1 long, print2 long, sketch array<long>, wide array<long>, keys array<long>")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame:
-    """The pairs (a, b) whose Jaccard reaches the threshold. Pairs of one ``a`` come together, ``a``'s text once for each 64 of them."""
-    parts = F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n_pairs") / 64))
-    pairs = written(pairs, "pairs")
-    pairs = written(pairs.join(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n_pairs")), "a").select("a", "b", F.pmod(F.xxhash64("b"), parts).alias("salt")), "pairs")
+def verified(docs: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, params: JoinParams) -> DataFrame:
+    """The pairs (a, b, shingles of b) whose Jaccard reaches the threshold, written.
+
+    Pairs of one ``a`` come together, ``a``'s text once for each ``verified_shingles`` of their shingles.
+    """
+    pairs = scratch.write(pairs, f"{name}-found")
+    parts = F.ceil(F.sum("b_n") / params.verified_shingles).cast("long")
+    dealt = pairs.join(pairs.groupBy("a").agg(parts.alias("parts")), "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").alias("salt"))
+    pairs = scratch.write(dealt, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    own = written(texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    own = scratch.write(texts(docs).join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), f"{name}-texts")
     left = pairs.select(F.col("a").alias("a"), F.col("salt").alias("salt")).distinct().join(own.withColumnsRenamed({"doc_id": "a", "text": "a_text"}), "a")
     right = pairs.join(own.withColumnsRenamed({"doc_id": "b", "text": "b_text"}), "b")
 
@@ -175,27 +177,32 @@ def verified(docs: DataFrame, pairs: DataFrame, params: JoinParams) -> DataFrame
                 found.append(b)
         return pd.DataFrame({"a": [a] * len(found), "b": found})
 
-    return left.groupBy("a", "salt").cogroup(right.groupBy("a", "salt")).applyInPandas(run, "a long, b long")
+    links = left.groupBy("a", "salt").cogroup(right.groupBy("a", "salt")).applyInPandas(run, "a long, b long")
+    links = scratch.write(links, f"{name}-links")
+    scratch.drop(f"{name}-found", f"{name}-pairs", f"{name}-texts")
+    return links
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None, name: str = "groups") -> DataFrame:
     """node, component (its smallest node) for rows a, b; nodes without an edge aren't returned.
 
     Large-star and small-star in turn, until nothing moves: each needs one aggregate and one join.
     """
-    edges = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "edges")
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    edges, turn = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), f"{name}-0"), 0
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = written(large, "edges")
+        large = scratch.write(large, f"{name}-{turn}-large")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
-        small = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "edges")
-        if small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty():
-            break
-        edges = small
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", F.col("v").alias("component")).distinct())
+        small = scratch.write(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), f"{name}-{turn + 1}")
+        still = small.exceptAll(edges).isEmpty() and edges.exceptAll(small).isEmpty()
+        scratch.drop(f"{name}-{turn}", f"{name}-{turn}-large")
+        edges, turn = small, turn + 1
+        if still:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(edges.select("v", F.col("v").alias("component")).distinct())
 
 
 def allowed(a: str, b: str, params: JoinParams) -> Column:
@@ -215,57 +222,71 @@ def allowed_wide(params: JoinParams) -> Column:
     return F.expr(f"not ({same}) or {100 + p} * ({distance}) <= {100 - p} * (a_n + b_n)")
 
 
+def stars_and_buckets(rows: DataFrame, scratch: Scratch, params: JoinParams) -> DataFrame:
+    """key, a (the smallest set that has it), b (a set that has it) for the digests on which sets meet; written."""
+    stands = rows.select("id", F.explode("keys").alias("key"))
+    shared = scratch.write(stands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("sets")).filter("a != z").select("key", "sets"), "shared")
+    # By sort and merge at every size, so that small inputs tell how large ones behave.
+    held = stands.join(shared.hint("merge"), "key").select("key", F.col("id").alias("b"), "sets")
+    # Each text leaves out its most common digests; among the texts that are left the smallest counts anew.
+    band = F.shiftright("key", DIGEST_BITS)
+    spare = F.element_at(F.array(*[F.lit(params.geometry(k)[1]) for k in range(band_of(LARGEST, params) + 1)]), band.cast("int") + 1)
+    own = Window.partitionBy("b", band).orderBy(F.desc("sets"), "key")
+    # What no other set has comes last, so the digests that several share fill the spare places first.
+    held = held.withColumn("place", F.row_number().over(own)).filter(F.col("place") > spare)
+    held = scratch.write(held.select("key", "b"), "held")
+    scratch.drop("shared")
+    least = held.groupBy("key").agg(F.min("b").alias("a"), F.max("b").alias("z")).filter("a != z").select("key", "a")
+    met = scratch.write(held.join(least.hint("merge"), "key").select("key", "a", "b"), "met")
+    scratch.drop("held")
+    return met
+
+
 def ngram_groups(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of ``docs``."""
-    rows = written(sketches(docs, params), "sketches")
+    scratch = Scratch(docs.sparkSession, "ngram-join")
+    rows = scratch.write(sketches(docs, params), "sketches")
     # Written, so that a set of very many copies meets its rows in a join that can be split.
-    sets = written(rows.filter("n_shingles > 0").groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("set_id")), "sets")
-    member = written(rows.filter("n_shingles > 0").select("doc_id", "print1", "print2", "n_shingles").join(sets, ["print1", "print2", "n_shingles"]).select("doc_id", "set_id").distinct(), "members")
+    sets = scratch.write(rows.filter("n_shingles > 0").groupBy("print1", "print2", "n_shingles").agg(F.min("doc_id").alias("set_id")), "sets")
+    member = scratch.write(rows.select("doc_id", "print1", "print2", "n_shingles").join(sets, ["print1", "print2", "n_shingles"], "left").select("doc_id", "n_shingles", "set_id"), "members")
     # One row for each distinct set stands for it from here on.
-    doubles = member.filter("doc_id != set_id").select("doc_id")
-    own = rows.filter("n_shingles > 0").join(doubles, "doc_id", "left_anti").withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
-    small = written(own.select("id", "n", "sketch", "wide").dropDuplicates(["id"]), "sets")
-    stands = own.select("id", F.explode("keys").alias("key"))
-    shared = written(stands.groupBy("key").agg(F.min("id").alias("a"), F.max("id").alias("z"), F.count(F.lit(1)).alias("sets")).filter("a != z").select("key", "a", (F.col("sets") > params.common_sets).alias("common")), "shared")
-    if shared.count() <= params.broadcast_keys:
-        shared = F.broadcast(shared)
-    held = written(stands.join(shared, "key").select("key", "a", F.col("id").alias("b"), "common"), "met")
-    # Texts with more common digests in a band than they may leave out keep those; among them the smallest counts anew.
-    band = F.shiftright("key", DIGEST_BITS)
-    allowance = F.element_at(F.array(*[F.lit(params.geometry(k)[1]) for k in range(band_of(LARGEST, params) + 1)]), band.cast("int") + 1)
-    common = held.filter("common").select("key", "b", band.alias("band"), allowance.alias("allowance"))
-    crowded = common.groupBy("b", "band").agg(F.count(F.lit(1)).alias("n"), F.first("allowance").alias("allowance")).filter("n > allowance").select("b", "band")
-    dense = written(common.join(crowded, ["b", "band"]).select("key", "b"), "dense")
-    least = dense.groupBy("key").agg(F.min("b").alias("a"))
-    met = held.filter("not common").select("key", "a", "b").unionByName(dense.join(least, "key").select("key", "a", "b"))
+    doubles = member.filter("doc_id != set_id").select("doc_id").distinct()
+    own = rows.filter("n_shingles > 0 and doc_id is not null").join(doubles, "doc_id", "left_anti").withColumnsRenamed({"doc_id": "id", "n_shingles": "n"})
+    own = scratch.write(own.select("id", "n", "sketch", "wide", "keys").dropDuplicates(["id"]), "own")
+    scratch.drop("sketches", "sets")
+    met = stars_and_buckets(own, scratch, params)
+    small = own.drop("keys")
 
     def with_sketch(pairs: DataFrame, side: str, *columns: str) -> DataFrame:
         return pairs.join(small.select(F.col("id").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns]), side)
 
     def sifted(pairs: DataFrame) -> DataFrame:
         """The pairs that their wide sketches allow."""
-        return with_sketch(with_sketch(pairs, "a", "n", "wide"), "b", "n", "wide").filter(allowed_wide(params)).select("a", "b")
+        return with_sketch(with_sketch(pairs, "a", "n", "wide"), "b", "n", "wide").filter(allowed_wide(params)).select("a", "b", "b_n")
 
     stars = met.filter("a != b").select("a", "b").distinct()
     stars = with_sketch(with_sketch(stars, "a", "n", "sketch"), "b", "n", "sketch").filter(allowed("a", "b", params)).select("a", "b")
-    stars = written(stars, "stars")
-    links = written(verified(docs, sifted(stars), params), "links")
+    stars = scratch.write(stars, "stars")
+    links = verified(docs, sifted(stars), scratch, "star", params)
     # Buckets that still hold several groups: pairs of different groups, as far as the sketches allow a link.
-    group = written(components(links), "groups")
-    named = met.join(group, F.col("b") == F.col("node"), "left").select("key", F.col("b").alias("id"), F.coalesce("component", "b").alias("component"))
+    group = scratch.write(components(links, scratch, "first"), "first")
+    named = scratch.write(met.join(group, F.col("b") == F.col("node"), "left").select("key", F.col("b").alias("id"), F.coalesce("component", "b").alias("component")), "named")
+    scratch.drop("met", "first")
     open_ = named.groupBy("key").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 != c2").select("key")
-    named = named.join(open_, "key").join(small.drop("wide"), "id")
-    named = written(named, "open")
+    named = scratch.write(named.join(open_, "key").join(small.drop("wide"), "id"), "open")
+    scratch.drop("named")
     a, b = (named.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("id", "component", "n", "sketch")]) for side in "ab")
     more = a.join(b, "key").filter("a_id < b_id and a_component != b_component").filter(allowed("a", "b", params)).select(F.col("a_id").alias("a"), F.col("b_id").alias("b")).distinct()
-    more = written(more.join(stars, ["a", "b"], "left_anti"), "more")
-    late = written(verified(docs, sifted(more), params), "links")
-    final = written(components(links.union(late)), "groups")
-    classes = member.join(final, F.col("set_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "set_id").alias("component_id"))
-    return rows.select("doc_id", "n_shingles").join(classes, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    more = scratch.write(more.join(stars, ["a", "b"], "left_anti"), "more")
+    late = verified(docs, sifted(more), scratch, "more", params)
+    scratch.drop("open", "stars", "more", "own")
+    final = scratch.write(components(links.union(late), scratch, "last"), "last")
+    named = member.filter("set_id is not null").join(final, F.col("set_id") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "set_id").alias("component_id"))
+    return named.unionByName(member.filter("set_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def keep_one(docs: DataFrame, params: JoinParams = JoinParams()) -> DataFrame:
     """The rows of ``docs`` without those whose group has a smaller doc_id; of repeated rows of one doc_id all stay."""
-    gone = ngram_groups(docs, params).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_doc_id")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("gone_doc_id"), "left_anti")
+    gone = fresh(docs, "gone_doc_id")
+    ids = ngram_groups(docs, params).filter("doc_id != component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")
