@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, texts, written
+from .common import Scratch, fresh, mapped, texts
 
 
 @dataclass(frozen=True)
@@ -124,26 +124,32 @@ def merged_leaf(sketches: list[bytes], n_tokens: int, params: LineParams, first:
     return template
 
 
-def templates_of(lines: DataFrame, params: LineParams) -> DataFrame:
+def templates_of(lines: DataFrame, params: LineParams, scratch: Scratch) -> DataFrame:
     """hash, template (a line's hash) for the lines that follow another line's template; others are their own."""
-    distinct = written(lines.groupBy("hash").agg(F.min("leaf").alias("leaf")), "lines")
-    shared = distinct.join(distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1"), "leaf").select("hash", "leaf")
-    rest = written(lines.select("hash", "n_tokens", "sketch").join(written(shared, "leaves").hint("merge"), "hash").dropDuplicates(["hash"]), "leaves")
-    found, at_once = [lines.select("hash", F.col("hash").alias("template")).limit(0)], params.max_leaf
+    # Equal lines become one row on the map side, so that a line in a third of all documents is no hot key.
+    distinct = scratch.write(lines.groupBy("hash").agg(F.first(F.struct("leaf", "n_tokens", "sketch")).alias("line")).select("hash", "line.*"), "lines")
+    shared = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("leaf")
+    rest = scratch.write(distinct.join(shared.hint("merge"), "leaf").select("hash", "leaf", "n_tokens", "sketch"), "rest-0")
+    scratch.drop("lines")
+    found, at_once, turn = [lines.select("hash", F.col("hash").alias("template")).limit(0)], params.max_leaf, 0
     while not rest.isEmpty():
         large = rest.groupBy("leaf").agg(F.min("hash").cast("double").alias("low"), F.max("hash").cast("double").alias("high"), F.count(F.lit(1)).alias("size")).filter(F.col("size") > at_once)
         # Hashes are evenly spread, so the first lines of a leaf are those below a share of its span.
         is_first = F.col("size").isNull() | (F.col("hash").cast("double") <= F.col("low") + (F.col("high") - F.col("low")) * at_once / F.col("size"))
         pieces = F.ceil(F.col("size") / at_once).cast("long")
-        dealt = written(rest.join(large, "leaf", "left").select("hash", "leaf", "n_tokens", "sketch", pieces.alias("pieces"), is_first.alias("is_first")), "leaves")
+        dealt = scratch.write(rest.join(large, "leaf", "left").select("hash", "leaf", "n_tokens", "sketch", pieces.alias("pieces"), is_first.alias("is_first")), f"dealt-{turn}")
+        scratch.drop(f"rest-{turn}")
         firsts, others = dealt.filter("is_first"), dealt.filter("not is_first")
-        found.append(written(first_templates(firsts, params), "templates"))
+        found.append(scratch.write(first_templates(firsts, params), f"templates-{turn}"))
         if others.isEmpty():
+            scratch.drop(f"dealt-{turn}")
             break
         begun = firsts.filter("pieces is not null").join(found[-1].filter("hash = template").select("hash"), "hash", "left_semi")
-        taken = written(taken_lines(begun, others, params), "templates")
+        taken = scratch.write(taken_lines(begun, others, params), f"taken-{turn}")
         found.append(taken)
-        rest, at_once = written(others.join(taken.select("hash"), "hash", "left_anti").select("hash", "leaf", "n_tokens", "sketch"), "leaves"), 2 * at_once
+        rest = scratch.write(others.join(taken.select("hash"), "hash", "left_anti").select("hash", "leaf", "n_tokens", "sketch"), f"rest-{turn + 1}")
+        scratch.drop(f"dealt-{turn}")
+        at_once, turn = 2 * at_once, turn + 1
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
@@ -181,32 +187,61 @@ def taken_lines(begun: DataFrame, others: DataFrame, params: LineParams) -> Data
     return both.groupBy("leaf", "piece").applyInPandas(merged, "hash long, template long")
 
 
-def recurring_lines(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+def recurring_lines(docs: DataFrame, params: LineParams = LineParams(), scratch: Scratch | None = None) -> DataFrame:
     """doc_id, line, hash, template of every line that goes."""
-    lines = written(lines_of(docs, params), "doc-lines")
-    named = written(templates_of(lines, params), "templates")
+    scratch = scratch or Scratch(docs.sparkSession, "line-dedup")
+    lines = scratch.write(lines_of(docs, params), "doc-lines")
+    named = scratch.write(templates_of(lines, params, scratch), "templates")
     in_template = lines.select("hash", "doc_id", "n_tokens").join(named, "hash", "left").groupBy(F.coalesce("template", "hash").alias("template"), "doc_id").agg(F.min("n_tokens").alias("n_tokens"))
     stats = in_template.groupBy("template").agg(F.count(F.lit(1)).alias("documents"), F.min("doc_id").alias("keeper"), F.min("n_tokens").alias("n_tokens"))
     enough = F.when(F.col("n_tokens") >= params.long_words, params.min_documents).otherwise(params.short_documents)
-    recurs = written(stats.filter(F.col("documents") >= enough).select("template", "keeper"), "recurring")
+    recurs = scratch.write(stats.filter(F.col("documents") >= enough).select("template", "keeper"), "recurring")
     # Down to line hashes again, so that one small table meets the lines.
     members = named.join(recurs, "template").select("hash", "template", "keeper").unionByName(recurs.select(F.col("template").alias("hash"), "template", "keeper"))
-    return lines.select("doc_id", "line", "hash").join(written(members, "recurring").hint("merge"), "hash").filter(F.col("doc_id") != F.col("keeper")).select("doc_id", "line", "hash", "template")
-
-
-def deduped(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
-    """The rows of ``docs`` without the lines that go; a column ``_dropped`` says how many went."""
-    gone = recurring_lines(docs, params).groupBy(F.col("doc_id").alias("_gone_doc_id")).agg(F.collect_set("line").alias("_lines"))
+    members = scratch.write(members, "members")
+    return lines.select("doc_id", "line", "hash").join(members.hint("merge"), "hash").filter(F.col("doc_id") != F.col("keeper")).select("doc_id", "line", "hash", "template")
+
+
+def without_lines(text: pd.Series, lines: pd.Series) -> pd.Series:
+    """The texts without the lines of these numbers; null where nothing goes."""
+    out = []
+    for own, gone in zip(text, lines, strict=True):
+        if gone is None:
+            out.append(None)
+        else:
+            gone = set(gone.tolist())
+            out.append("\n".join(x for i, x in enumerate(own.split("\n")) if i not in gone))
+    return pd.Series(out, dtype=object)
+
+
+def deduped(docs: DataFrame, params: LineParams = LineParams(), dropped: str | None = None) -> DataFrame:
+    """The rows of ``docs`` without the lines that go; a column ``dropped``, if it is named, says how many went."""
+    scratch = Scratch(docs.sparkSession, "line-dedup")
+    gone_id, numbers, left = (fresh(docs, c) for c in ("gone_doc_id", "gone_lines", "left_text"))
+    gone = recurring_lines(docs, params, scratch).groupBy(F.col("doc_id").alias(gone_id)).agg(F.collect_set("line").alias(numbers))
+    gone = scratch.write(gone, "gone")
+    scratch.drop("doc-lines", "templates", "recurring", "members")
     # Texts meet their lists in a sort-merge join at every size, so that small inputs tell how large ones behave.
-    joined = docs.join(written(gone, "gone").hint("merge"), F.col("doc_id") == F.col("_gone_doc_id"), "left")
-    kept = F.expr("array_join(transform(filter(transform(split(text, '\\n'), (l, i) -> struct(l, i)), x -> not array_contains(_lines, x.i)), x -> x.l), '\\n')")
-    text = F.when(F.col("_lines").isNotNull(), kept).otherwise(F.col("text"))
-    out = {"text": text, "_dropped": F.coalesce(F.size("_lines"), F.lit(0))}
-    if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
-        out["n_chars"] = F.when(F.col("_lines").isNotNull(), F.char_length(kept)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
-    return joined.withColumns(out).select(*docs.columns, "_dropped")
+    joined = docs.join(gone.hint("merge"), F.col("doc_id") == F.col(gone_id), "left")
+    shortened = F.pandas_udf(without_lines, "string")(F.when(F.col(numbers).isNotNull(), F.col("text")), numbers)
+    joined = joined.withColumn(left, shortened)
+    out = {"text": F.coalesce(left, "text")}
+    kind = dict(docs.dtypes).get("n_chars")
+    if kind in ("int", "bigint"):
+        out["n_chars"] = F.when(F.col(left).isNotNull(), F.char_length(left)).otherwise(F.col("n_chars")).cast(kind)
+    if dropped:
+        out[dropped] = F.coalesce(F.size(numbers), F.lit(0))
+    return joined.withColumns(out).select(*docs.columns, *([dropped] if dropped else []))
 
 
 def line_dedup(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
     """doc_id, the text that is left, and how many lines went."""
-    return deduped(texts(docs), params).select("doc_id", "text", F.col("_dropped").alias("n_dropped"))
+    return deduped(texts(docs), params, "n_dropped")
+
+
+def line_filter(docs: DataFrame, params: LineParams = LineParams()) -> DataFrame:
+    """The rows of ``docs`` without the lines that go; a document of which nothing is left goes with its lines."""
+    dropped = fresh(docs, "n_dropped")
+    out = deduped(docs, params, dropped)
+    emptied = (F.col(dropped) > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    return out.filter(F.col("text").isNull() | ~emptied).drop(dropped)
