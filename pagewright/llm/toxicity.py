@@ -1,44 +1,45 @@
 """Toxicity: maximum-scoring segments over token log-odds, aggregated by extreme-value calibration.
 
 Fit, on labelled rows only: for each token in how many toxic and other texts it stands, and its log-odds under a
-Dirichlet prior that follows the token's overall share; tokens whose log-odds are within chance count nothing. A
-token is a lower-cased word that enough texts hold, or, for rarer words, their leading 3 to 7 characters, which are
-counted over rare words only. A word's weight is that of its most telling token, less a drift, so that random text
-has a negative mean.
+Dirichlet prior that follows the token's overall share. Tokens are lower-cased words and the leading 3 to 7 characters
+of words (in languages that inflect and compound, a telling stem stands in many rare words); a token counts once a text,
+since a word that stands once tends to stand again. Tokens whose share of toxic texts is within chance (the root of the
+likelihood ratio, which holds for tokens that never stand in one kind) count nothing. A word's weight is that of its
+most telling token, less a drift, so that random text has a negative mean; when a word comes again in a text, nothing
+but the drift is left of it.
 
 Score: one pass over a text's word weights finds all maximal-scoring segments (linear time). Under the null the
 best segment's excess over ln(K * words)/lambda is Gumbel; lambda solves E[exp(lambda*w)] = 1 over the words of
 non-toxic texts, K is their rate of segments. A text's segments, each less that level, add up to -ln of how often
-chance would give as much, and a logistic link, fitted on the same rows, maps that to a probability.
+chance would give as much, and a logistic link maps that to a probability. Null and link are fitted out of fold: each
+labelled text is weighed by log-odds that it had no part in.
 
 Defined results: null and empty texts have no segment and get the score of a text without evidence; labels, lang,
-source and doc_id are never inputs of a score; a table without labels of both kinds scores 0 everywhere; repeated
-rows give repeated results.
+source and doc_id are never inputs of a score; a document with several labels is toxic if one of them says so; a table
+without labels of both kinds scores 0 everywhere; repeated rows give repeated results.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from collections import Counter
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, texts, written
+from .common import Scratch, mapped, texts
 
 
 @dataclass(frozen=True)
 class ToxicityParams:
     #: Labelled rows that the fit takes at most, by the hash of their id.
     sample: int = 20_000
-    #: Tokens of the model at most, by |z|.
-    tokens: int = 100_000
-    min_texts: int = 4
-    #: A word in at least this many texts is judged by itself, a rarer one by its leading characters.
-    own_texts: int = 8
+    folds: int = 4
+    #: The signed root of the likelihood ratio that a token needs.
     min_z: float = 4.0
     #: Total weight of the Dirichlet prior, in texts.
     prior: float = 30.0
@@ -53,8 +54,9 @@ WORD = re.compile(r"\w+")
 LEADING = (3, 4, 5, 6, 7)
 
 
-def leading(word: str) -> list[str]:
-    return [word[:n] for n in LEADING if n <= len(word)]
+def tokens(word: str) -> list[str]:
+    """The word, and its leading characters, marked as such."""
+    return [word, *(f"{word[:n]}*" for n in LEADING if n <= len(word))]
 
 
 def held_out(column) -> Column:
@@ -63,14 +65,14 @@ def held_out(column) -> Column:
 
 @dataclass(frozen=True)
 class Model:
-    words: dict[str, float]
-    starts: dict[str, float]
+    #: token -> how telling it is, its log-odds
+    tokens: dict[str, tuple[float, float]]
     drift: float
-    rate: float
+    rate: float = 1.0
     #: Segments that a word of a non-toxic text begins: the null's K.
-    density: float
-    slope: float
-    offset: float
+    density: float = 1.0
+    slope: float = 0.0
+    offset: float = -50.0
 
 
 def segments(weights: list[float]) -> list[tuple[int, int, float]]:
@@ -95,10 +97,6 @@ def segments(weights: list[float]) -> list[tuple[int, int, float]]:
     return [(int(a), int(b), hi - lo) for a, b, lo, hi in stack]
 
 
-#: Evidence is cut here; more of it changes no verdict.
-MOST = 30.0
-
-
 class Scorer:
     def __init__(self, model: Model, cache: int = 200_000) -> None:
         self.model, self.words, self.cache = model, {}, cache
@@ -108,49 +106,54 @@ class Scorer:
         if w is None:
             if len(self.words) >= self.cache:
                 self.words.clear()
-            own = self.model.words.get(word)
-            if own is None:
-                own = max((x for x in map(self.model.starts.get, leading(word)) if x), key=abs, default=0.0)
-            w = self.words[word] = own - self.model.drift
+            told = [x for x in map(self.model.tokens.get, tokens(word)) if x]
+            w = self.words[word] = (max(told)[1] if told else 0.0) - self.model.drift
         return w
 
     def weigh(self, text: str) -> list[float]:
-        return list(map(self.weight, WORD.findall(text.lower())))
-
-    def passages(self, text: str) -> list[tuple[int, int, float]]:
-        """The segments of the text, in words."""
-        return segments(self.weigh(text))
-
-    def level(self, weights: list[float]) -> float:
+        words = WORD.findall(text.lower())
+        weights, seen = list(map(self.weight, words)), set()
+        for i in [i for i, w in enumerate(weights) if w > 0]:
+            if words[i] in seen:
+                weights[i] = -self.model.drift
+            seen.add(words[i])
+        return weights
+
+    def level(self, words: int) -> float:
         """ln of 1 plus the segments that a text so long has by chance."""
-        return math.log1p(self.model.density * len(weights))
+        return math.log1p(self.model.density * words)
 
-    def evidence(self, text: str) -> float:
-        """-ln of the number of passages as good as the text's that chance would give; 0 without any."""
+    def judged(self, text: str) -> tuple[float, tuple[int, int, float] | None]:
+        """-ln of the number of passages as good as the text's that chance would give, and the best passage in words."""
         weights = self.weigh(text)
-        found = segments(weights)
+        found, chance = segments(weights), self.level(len(weights))
         if not found:
-            return -self.level(weights)
+            return -chance, None
         # Sum statistics: the best passage counts in full, others by what they exceed the level of chance.
-        found = sorted((s for _, _, s in found), reverse=True)
-        chance = self.level(weights)
+        best = max(found, key=lambda x: x[2])
         level = chance / self.model.rate
-        return min(MOST, self.model.rate * (found[0] + sum(s - level for s in found[1:] if s > level)) - chance)
+        others = sum(x[2] - level for x in found if x is not best and x[2] > level)
+        return self.model.rate * (best[2] + others) - chance, best
 
-    def score(self, text: str) -> float:
-        x = min(50.0, max(-50.0, self.model.slope * self.evidence(text) + self.model.offset))
-        return 1 / (1 + math.exp(-x))
+    def score(self, evidence: float) -> float:
+        return 1 / (1 + math.exp(-min(50.0, max(-50.0, self.model.slope * evidence + self.model.offset))))
 
 
-def log_odds(counts: pd.DataFrame, toxic: int, other: int, params: ToxicityParams) -> dict[str, float]:
-    """The log-odds of each token under the Dirichlet prior, 0 where they are within chance."""
-    y, n = counts["toxic"].to_numpy(float), counts["other"].to_numpy(float)
+def log_odds(y: np.ndarray, n: np.ndarray, toxic: int, other: int, params: ToxicityParams) -> np.ndarray:
+    """The log-odds of tokens in y toxic and n other texts, under the Dirichlet prior."""
     share = (y + n) / (toxic + other)
     a, b = params.prior * share, params.prior * (1 - share)
     delta = np.log((y + a) / (toxic - y + b)) - np.log((n + a) / (other - n + b))
-    z = delta / np.sqrt(1 / (y + a) + 1 / (n + a))
-    told = np.where(np.abs(z) >= params.min_z, np.clip(delta, params.min_weight, params.max_weight), 0.0)
-    return dict(zip(counts["token"], map(float, told), strict=True))
+    return np.clip(delta, params.min_weight, params.max_weight)
+
+
+def signed_root(y: Column, n: Column, toxic: int, other: int) -> Column:
+    """The likelihood ratio's root: how far a token's shares of toxic and other texts lie apart, in standard normal terms."""
+    part = lambda x: F.when(x > 0, x * F.ln(x)).otherwise(0.0)
+    whole = lambda x: x * math.log(x) if x else 0.0
+    ratio = part(y) + part(n) + part(toxic - y) + part(other - n) - part(y + n) - part(toxic + other - y - n)
+    root = F.sqrt(F.greatest(F.lit(0.0), 2 * (ratio - whole(toxic) - whole(other) + whole(toxic + other))))
+    return F.when(y * other > n * toxic, root).otherwise(-root)
 
 
 def rate_of(weights: np.ndarray) -> float:
@@ -183,77 +186,111 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(beta[0], 0) / scale), float(beta[1])
 
 
+#: Counts that a task gathers before it hands them on.
+AT_ONCE = 300_000
+
+
+def counted(batches):
+    """In how many toxic and other texts of each fold a token stands."""
+    counts: Counter = Counter()
+
+    def handed_on() -> pd.DataFrame:
+        out = pd.DataFrame([(*k, n) for k, n in counts.items()], columns=["token", "fold", "toxic", "n"])
+        counts.clear()
+        return out
+
+    for batch in batches:
+        for fold, toxic, text in zip(batch["fold"].tolist(), batch["toxic"].tolist(), batch["text"], strict=True):
+            counts.update((t, fold, toxic) for t in {t for w in set(WORD.findall(text.lower())) for t in tokens(w)})
+            if len(counts) >= AT_ONCE:
+                yield handed_on()
+    yield handed_on()
+
+
+def models(rows: DataFrame, params: ToxicityParams) -> list[Model] | None:
+    """Token weights without each fold in turn, and last those of all rows; None without rows of both kinds."""
+    sizes = np.zeros((2, params.folds), int)
+    for r in rows.groupBy("fold", "toxic").count().collect():
+        sizes[r["toxic"], r["fold"]] = r["count"]
+    if not sizes.sum(axis=1).all():
+        return None
+    sums = [F.sum(F.when((F.col("toxic") == k) & (F.col("fold") == f), F.col("n")).otherwise(0)).alias(f"{name}{f}") for k, name in ((1, "y"), (0, "n")) for f in range(params.folds)]
+    table = rows.mapInPandas(counted, "token string, fold int, toxic int, n long").groupBy("token").agg(*sums)
+    without = [*range(params.folds), None]
+    in_fold = lambda name, f: sum((F.col(f"{name}{k}") for k in range(params.folds) if k != f), F.lit(0))
+    roots = []
+    for f in without:
+        other, toxic = (sizes[k].sum() - (0 if f is None else sizes[k, f]) for k in (0, 1))
+        roots.append(signed_root(in_fold("y", f), in_fold("n", f), int(toxic), int(other)).alias(f"z{'' if f is None else f}"))
+    # The tokens that tell anything: few of all.
+    told = table.select("*", *roots).filter(" or ".join(f"abs(z{'' if f is None else f}) >= {params.min_z}" for f in without)).toPandas()
+    y, n = (told[[f"{name}{f}" for f in range(params.folds)]].to_numpy(float) for name in "yn")
+    out = []
+    for f in without:
+        keep = np.arange(params.folds) != (-1 if f is None else f)
+        z = np.abs(told[f"z{'' if f is None else f}"].to_numpy())
+        weights = log_odds(y[:, keep].sum(axis=1), n[:, keep].sum(axis=1), int(sizes[1, keep].sum()), int(sizes[0, keep].sum()), params)
+        enough = z >= params.min_z
+        out.append(Model(dict(zip(told["token"][enough], zip(z[enough].tolist(), weights[enough].tolist(), strict=True), strict=True)), params.drift))
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> Model:
-    spark = docs.sparkSession
-    chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    chosen = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.sample)
-    rows = written(texts(docs).join(F.broadcast(chosen), "doc_id").select("toxic", "text"), "labelled")
-    sums = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    other, toxic = sums.get(0, 0), sums.get(1, 0)
-    if not other or not toxic:
-        return Model({}, {}, params.drift, 1.0, 1.0, 0.0, -50.0)
-
-    def counted(of, least: int) -> pd.DataFrame:
-        """The tokens ``of`` a text's words: in how many toxic and other texts; the most frequent, a bounded number."""
-
-        def count(batches):
-            for batch in batches:
-                counts: dict[str, list[int]] = {}
-                for label, text in zip(batch["toxic"], batch["text"], strict=True):
-                    for token in of(set(WORD.findall(text.lower()))):
-                        counts.setdefault(token, [0, 0])[label] += 1
-                yield pd.DataFrame([(t, b, a) for t, (a, b) in counts.items()], columns=["token", "toxic", "other"])
-
-        sums = rows.select("toxic", "text").mapInPandas(count, "token string, toxic long, other long").groupBy("token").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
-        n = F.col("toxic") + F.col("other")
-        return sums.filter(n >= least).orderBy(n.desc(), "token").limit(params.tokens).toPandas()
-
-    words = log_odds(counted(lambda own: own, params.own_texts), toxic, other, params)
-    starts = log_odds(counted(lambda own: {t for w in own if w not in words for t in leading(w)}, params.min_texts), toxic, other, params)
-    model = Model(words, starts, params.drift, 1.0, 1.0, 1.0, 0.0)
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(params.folds)).cast("int")
+    # At most ``sample`` labels: a side of bounded size.
+    rows = scratch.write(texts(docs).join(F.broadcast(chosen), "doc_id").select(fold.alias("fold"), "toxic", "text"), "labelled")
+    found = models(rows, params)
+    if found is None:
+        return Model({}, params.drift)
+    *apart, whole = found
 
     def nulls(batches):
-        scorer = Scorer(model)
+        scorers = [Scorer(m) for m in apart]
         for batch in batches:
-            seen: dict[float, int] = {1e9: 0}  # that key: the segments
-            for text in batch["text"]:
-                weights = scorer.weigh(text)
-                seen[1e9] += len(segments(weights))
-                for w in weights:
-                    seen[round(w, 2)] = seen.get(round(w, 2), 0) + 1
+            seen: Counter = Counter()
+            for fold, text in zip(batch["fold"].tolist(), batch["text"], strict=True):
+                weights = scorers[fold].weigh(text)
+                seen[math.inf] += len(segments(weights))  # under that key
+                seen.update(round(w, 2) for w in weights)
             yield pd.DataFrame(list(seen.items()), columns=["weight", "n"])
 
-    null = rows.filter("toxic = 0").select("text").mapInPandas(nulls, "weight double, n long").groupBy("weight").agg(F.sum("n").alias("n")).toPandas()
-    found, null = int(null.loc[null["weight"] > 1e8, "n"].sum()), null[null["weight"] < 1e8]
+    null = rows.filter("toxic = 0").select("fold", "text").mapInPandas(nulls, "weight double, n long").groupBy("weight").agg(F.sum("n").alias("n")).toPandas()
+    begun, null = int(null.loc[np.isinf(null["weight"]), "n"].sum()), null[~np.isinf(null["weight"])]
     total, rate = int(null["n"].sum()), 1.0
     if total:  # thinned in proportion, for the mean alone
         rate = rate_of(np.repeat(null["weight"].to_numpy(), np.ceil(null["n"] / max(1, total // 100_000)).astype(int)))
-    model = Model(words, starts, params.drift, min(1.0, rate), (found + 1) / (total + 1), 1.0, 0.0)
+    calibrated = {"rate": min(1.0, rate), "density": (begun + 1) / (total + 1)}
+    apart = [replace(m, **calibrated) for m in apart]
 
     def evidence(batches):
-        scorer = Scorer(model)
+        scorers = [Scorer(m) for m in apart]
         for batch in batches:
-            yield pd.DataFrame({"toxic": batch["toxic"], "x": [scorer.evidence(t) for t in batch["text"]]})
+            x = [scorers[f].judged(t)[0] for f, t in zip(batch["fold"].tolist(), batch["text"], strict=True)]
+            yield pd.DataFrame({"toxic": batch["toxic"], "x": x})
 
     seen = rows.mapInPandas(evidence, "toxic int, x double").toPandas()
+    scratch.drop("labelled")
     slope, offset = logistic(seen["x"].to_numpy(), seen["toxic"].to_numpy(float))
-    return Model(words, starts, params.drift, model.rate, model.density, slope, offset)
+    return replace(whole, **calibrated, slope=slope, offset=offset)
 
 
-def scored(docs: DataFrame, model: Model, params: ToxicityParams = ToxicityParams()) -> DataFrame:
+def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score and the best passage (words from 0, end exclusive) of each row."""
 
     def run(batches):
         scorer = Scorer(model)
         for batch in batches:
-            best = [max(scorer.passages(t), key=lambda s: s[2], default=None) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [scorer.score(t) for t in batch["text"]], "first_word": pd.array([b and b[0] for b in best], "Int64"), "end_word": pd.array([b and b[1] for b in best], "Int64")})
+            found = [scorer.judged(t) for t in batch["text"]]
+            first, end = (pd.array([best and best[k] for _, best in found], "Int64") for k in (0, 1))
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [scorer.score(x) for x, _ in found], "first_word": first, "end_word": end})
 
     return mapped(docs, run, "doc_id long, score double, first_word long, end_word long")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, params: ToxicityParams = ToxicityParams()) -> DataFrame:
     """Scores of all rows, from the labels that aren't held out."""
-    model = fit(docs, labels.filter(~held_out(F.col("doc_id"))), params)
-    out = scored(docs, model, params)
+    out = scored(docs, fit(docs, labels.filter(~held_out(F.col("doc_id"))), params))
     return out.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= params.threshold, 1).otherwise(0).cast("int").alias("predicted"), "first_word", "end_word")
