@@ -1,11 +1,15 @@
 """URL filters: listed rules first, then a path-template tree per host, in DataFrame functions only.
 
-Tree: segments of a path get a lexical class where they are plainly variable (numbers, hashes, dates); level by
-level, children of a node merge into a wildcard when the node has too many of them, or when a child's labelled
-share doesn't differ from the node's by more than chance (two-proportion z). A template is then a path from the
-root to a leaf; its purity is the smoothed share of bad pages among its labelled ones. Urls that no rule fits get
-the verdict of their template: block at ``min_purity``, else allow. Labels are the pages that the rules judge,
-or a column that the caller gives.
+Tree: segments of a path get a lexical class where they are plainly variable (numbers, hashes, dates), which makes the
+path's shape. Labels are the pages that the listed rules judge, or counts that the caller gives. What other hosts'
+labels say of a shape (each host with a label votes with its own share of bad pages, smoothed towards ``prior``) stands
+in for ``strength`` labelled pages of the host itself, so that evidence reaches hosts and branches without labels.
+Level by level, each child of a node is held against the node's share by a two-proportion z; children that lie alike
+(within chance, above, below) are similar branches and merge into one wildcard, unless there is but one of a kind. In a
+node with more than ``max_children`` children the segment is variable: there only children that have labels of their own
+and differ by more than ``apart`` stay out of the wildcard. A template is then a path from the root to a leaf; its purity
+is the smoothed share of bad pages among its labelled ones. Urls that no rule fits get the verdict of their template:
+block at ``min_purity``, else allow.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and its (empty) template's
 verdict; repeated rows give repeated results; an empty table gives an empty one. Other columns aren't read.
@@ -18,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, written
+from .common import Scratch, ascii_lower
 
 # The rules of the query, as verdict, host, path.
 RULES = (
@@ -36,10 +40,11 @@ class UrlParams:
     depth: int = 4
     #: A node with more children than this has a variable segment.
     max_children: int = 50
-    #: Children whose share of bad pages lies nearer to their node's than this merge.
+    #: Children whose share of bad pages lies nearer to their node's than this are like it.
     z: float = 1.0
-    #: Labelled pages that a child needs to stand for itself.
+    #: What keeps a child of a variable segment out of the wildcard: so many labelled pages, and so large a z.
     min_labelled: int = 5
+    apart: float = 3.0
     prior: float = 0.2
     strength: float = 4.0
     min_purity: float = 0.7
@@ -72,22 +77,43 @@ def masked(segment: Column) -> Column:
     )
 
 
-def templates(pages: DataFrame, params: UrlParams) -> DataFrame:
-    """host, shape, template, purity for rows of host, shape (array of masked segments), n, labelled, bad."""
-    # Each level reads what the one before wrote: its rows are used three times.
-    tree = written(pages.withColumn("template", F.lit("").cast("string")), "url-shapes")
+def with_evidence(shapes: DataFrame, params: UrlParams) -> DataFrame:
+    """``shapes`` with ``expected``: the share of bad pages that the other hosts' labels let expect of a shape."""
+    share = F.try_divide(F.col("bad"), F.col("labelled"))
+    votes = shapes.groupBy("shape").agg(F.sum(share).alias("votes"), F.count_if(F.col("labelled") > 0).alias("voters"))
+    others = F.coalesce("votes", F.lit(0.0)) - F.coalesce(share, F.lit(0.0)), F.col("voters") - F.when(F.col("labelled") > 0, 1).otherwise(0)
+    expected = (others[0] + params.prior * params.strength) / (others[1] + params.strength)
+    return shapes.join(votes, "shape").withColumn("expected", expected).drop("votes", "voters")
+
+
+def smoothed(bad: Column, labelled: Column, expected: Column, params: UrlParams) -> Column:
+    return (bad + params.strength * expected) / (labelled + params.strength)
+
+
+def templates(shapes: DataFrame, params: UrlParams) -> DataFrame:
+    """host, shape, template, purity for rows of host, shape (array of masked segments), pages, labelled, bad."""
+    scratch = Scratch(shapes.sparkSession, "url-filter")
+    # Each level reads what the one before wrote: its rows are used several times.
+    tree = scratch.write(with_evidence(shapes, params).withColumn("template", F.lit("").cast("string")), "tree-0")
+    sums = [F.sum("labelled").alias("labelled"), F.sum("bad").alias("bad"), F.sum(F.col("expected") * F.col("pages")).alias("hoped"), F.sum("pages").alias("pages")]
+    share = smoothed(F.col("bad"), F.col("labelled"), F.col("hoped") / F.col("pages"), params)
     for level in range(params.depth):
         child = tree.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("\0")))
-        sums = written(child.groupBy("host", "template", "segment").agg(F.sum("labelled").alias("c_labelled"), F.sum("bad").alias("c_bad")), "url-children")
-        nodes = sums.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), F.sum("c_labelled").alias("p_labelled"), F.sum("c_bad").alias("p_bad"))
-        share = F.try_divide(F.col("p_bad"), F.col("p_labelled"))
-        z = F.try_divide(F.abs(F.try_divide(F.col("c_bad"), F.col("c_labelled")) - share), F.sqrt(F.try_divide(share * (1 - share), F.col("c_labelled"))))
-        merge = (F.col("segment") != "\0") & ((F.col("children") > params.max_children) | ((F.col("c_labelled") >= params.min_labelled) & (F.coalesce(z, F.lit(0.0)) < params.z) & (F.col("children") > 1)))
-        step = sums.join(nodes, ["host", "template"]).select("host", "template", "segment", F.when(F.col("segment") == "\0", "").when(merge, "/*").otherwise(F.concat(F.lit("/"), "segment")).alias("step"))
+        own = scratch.write(child.groupBy("host", "template", "segment").agg(*sums).withColumn("share", share), f"children-{level}")
+        nodes = own.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *sums[:2], F.sum("hoped").alias("hoped"), F.sum("pages").alias("pages")).select("host", "template", "children", share.alias("node_share"))
+        z = F.try_divide(F.col("share") - F.col("node_share"), F.sqrt(F.col("node_share") * (1 - F.col("node_share")) / (F.col("labelled") + params.strength)))
+        own = own.join(nodes, ["host", "template"]).withColumn("z", F.coalesce(z, F.lit(0.0)))
+        variable = (F.col("children") > params.max_children) & ~((F.col("labelled") >= params.min_labelled) & (F.abs("z") >= params.apart))
+        kind = F.when(F.col("segment") == "\0", "").when(variable | (F.abs("z") < params.z), "/*").when(F.col("z") > 0, "/*+").otherwise("/*-")
+        own = own.withColumn("kind", kind)
+        alike = own.groupBy("host", "template", "kind").agg(F.count(F.lit(1)).alias("alike"))
+        step = F.when((F.col("kind") == "") | ((F.col("alike") > 1)), F.col("kind")).otherwise(F.concat(F.lit("/"), "segment"))
+        step = own.join(alike, ["host", "template", "kind"]).select("host", "template", "segment", step.alias("step"))
         tree = child.join(step, ["host", "template", "segment"]).withColumn("template", F.concat("template", "step")).drop("segment", "step")
-        tree = written(tree, "url-tree")
+        tree = scratch.write(tree, f"tree-{level + 1}")
+        scratch.drop(f"tree-{level}", f"children-{level}")
     tree = tree.withColumn("template", F.concat("template", F.when(F.size("shape") > params.depth, "/**").otherwise("")))
-    purity = tree.groupBy("host", "template").agg(((F.sum("bad") + params.prior * params.strength) / (F.sum("labelled") + params.strength)).alias("purity"))
+    purity = tree.groupBy("host", "template").agg(*sums).select("host", "template", share.alias("purity"))
     return tree.select("host", "shape", "template").join(purity, ["host", "template"])
 
 
@@ -98,7 +124,7 @@ def url_filter(pages: DataFrame, rules=RULES, params: UrlParams = UrlParams()) -
     rows = rows.withColumns({"rule": name, "ruled": verdict, "shape": F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), masked)})
     bad = F.when(F.col("ruled") == "block", 1).otherwise(0)
     known = F.when(F.col("ruled").isNotNull(), 1).otherwise(0)
-    counted = rows.groupBy("host", "shape").agg(F.sum(known).alias("labelled"), F.sum(bad).alias("bad"))
+    counted = rows.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("pages"), F.sum(known).alias("labelled"), F.sum(bad).alias("bad"))
     judged = templates(counted, params)
     out = rows.join(judged, ["host", "shape"], "left")
     own = F.when(F.col("purity") >= params.min_purity, "block").otherwise("allow")
