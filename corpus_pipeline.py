@@ -1,6 +1,10 @@
 """The corpus pipeline: quality rules, line dedup, n-gram Jaccard join, benchmark decontamination, best-fit packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+
+Defined results: a null or empty text fails the quality rules and goes there; rows of one doc_id are judged each by
+its text, and of repeated rows that survive all stay until packing, which packs each; of equal texts the smallest
+doc_id stays; an empty table gives an empty result at every stage; other columns are carried along whatever their names.
 """
 
 from __future__ import annotations
@@ -8,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pagewright.llm import decontam, line_dedup, ngram_join, packing, quality
-from pagewright.llm.common import table, written
+from pagewright.llm.common import Scratch, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,9 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of recurring templates go; a document of which nothing is left goes with them."""
-    out = line_dedup.deduped(docs)
-    emptied = (out["_dropped"] > 0) & ~out["text"].rlike(r"[^\x20\x09-\x0D]")
-    return out.filter(~emptied | out["text"].isNull()).drop("_dropped")
+    return line_dedup.line_filter(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +52,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name.replace(" ", "-"))
-    return docs
+    scratch, docs, before = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        docs = scratch.write(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before:
+            scratch.drop(before)
+        before = name.replace(" ", "-")
+    return STAGES[-1][1](spark, docs, sf_dir)

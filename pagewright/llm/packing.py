@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, written
+from .common import Scratch, mapped
 from .token_count import VOCABULARY, counter
 
 
@@ -185,8 +185,8 @@ def placed(items: pd.DataFrame, best: Packing) -> pd.DataFrame:
 
 def packed(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
     """The pieces with sequence_id and offset."""
-    size = params.capacity
-    cut = written(pieces(docs, params).withColumns({"rid": F.monotonically_increasing_id(), "doc_id": F.col("doc_id").cast("string")}), "pieces")
+    size, scratch = params.capacity, Scratch(docs.sparkSession, "packing")
+    cut = scratch.write(pieces(docs, params).withColumns({"rid": F.monotonically_increasing_id(), "doc_id": F.col("doc_id").cast("string")}), "pieces")
     full = cut.filter(F.col("length") == size).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("rid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = cut.filter(F.col("length") < size)
 
@@ -211,12 +211,14 @@ def packed(docs: DataFrame, params: PackParams = PackParams()) -> DataFrame:
         return placed(own, evolve(lengths, [mine], elite, params, ~int(own["island"].iloc[0])))
 
     items, islands = dealt(rest, 0)
-    one = written(items.groupBy("island").applyInPandas(first, COLUMNS), "islands")
+    one = scratch.write(items.groupBy("island").applyInPandas(first, COLUMNS), "first")
     moved = one.select(F.pmod(F.col("island") + 1, F.lit(islands).cast("long")).alias("island"), "bin", "length")
-    two = written(one.groupBy("island").cogroup(moved.groupBy("island")).applyInPandas(second, COLUMNS), "islands")
+    two = scratch.write(one.groupBy("island").cogroup(moved.groupBy("island")).applyInPandas(second, COLUMNS), "second")
+    scratch.drop("first")
     # What stands in badly filled bins is dealt once more, over fewer islands.
     fill = two.groupBy("island", "bin").agg(F.sum("length").alias("fill"))
-    two = written(two.join(fill, ["island", "bin"]), "islands")
+    two = scratch.write(two.join(fill, ["island", "bin"]), "filled")
+    scratch.drop("second")
     bad = F.col("fill") < params.well_filled * size
     again, _ = dealt(two.filter(bad).drop("island", "bin", "fill"), 1)
     last = again.groupBy("island").applyInPandas(first, COLUMNS).withColumn("round", F.lit(1))

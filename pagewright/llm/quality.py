@@ -9,7 +9,8 @@ the texts without the lines that are charged; n_chars (where there is one of a w
 
 Defined results: null text is an empty text (0 words, fails the base rules); a null source is a host of its own;
 repeated rows give repeated result rows; an empty table gives an empty result; columns other than doc_id, text and
-source are neither read nor returned.
+source are neither read nor returned. A window's hash leaves its low bits to the window's number (64 - log2(n) bits
+are compared), so in a text of about a million words n_repeat_words may count a chance match.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, texts, written
+from .common import SPACES, Scratch, fresh, texts
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,7 @@ def frequent_lines(rows: DataFrame, params: QualityParams) -> DataFrame:
 
 def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The digests with ``base_failed``, ``left_share`` and the verdict ``kept``, one row per row of ``docs``."""
-    rows = written(digests(docs), "quality")
+    rows = Scratch(docs.sparkSession, "quality").write(digests(docs), "digests")
     return judged(rows, frequent_lines(rows, params), params)
 
 
@@ -95,15 +96,18 @@ def judged(rows: DataFrame, frequent: DataFrame, params: QualityParams) -> DataF
 
 def quality_filter(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with all their columns; the texts without the lines that are charged."""
-    rows = written(digests(docs), "quality")
-    frequent = written(frequent_lines(rows, params), "frequent")
-    rejected = judged(rows, frequent, params).filter(~F.col("kept")).select(F.col("doc_id").alias("rejected_doc_id")).distinct()
-    kept = docs.join(rejected, docs["doc_id"].eqNullSafe(rejected["rejected_doc_id"]), "left_anti")
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.write(digests(docs), "digests")
+    frequent = scratch.write(frequent_lines(rows, params), "frequent")
+    verdicts = scratch.write(judged(rows, frequent, params).filter(~F.col("kept")).select("doc_id").distinct(), "rejected")
     lines = rows.select("host", "doc_id", F.explode("lines.hash").alias("hash")).join(frequent, ["host", "hash"]).filter(F.col("doc_id") != F.col("first_doc"))
-    gone = lines.groupBy(F.col("doc_id").alias("_gone_doc_id"), F.col("host").alias("_gone_host")).agg(F.collect_set("hash").alias("_gone"))
-    joined = kept.join(gone, (F.col("doc_id") == F.col("_gone_doc_id")) & (F.coalesce("source", F.lit("\0")) == F.col("_gone_host")), "left")
-    left = F.expr(rf"array_join(filter(split(text, '\n'), l -> not ({HAS_WORD} and array_contains(_gone, {LINE_HASH}))), '\n')")
-    out = {"text": F.when(F.col("_gone").isNotNull(), left).otherwise(F.col("text"))}
+    ids, hosts, hashes = (fresh(docs, c) for c in ("gone_doc_id", "gone_host", "gone_hashes"))
+    gone = scratch.write(lines.groupBy(F.col("doc_id").alias(ids), F.col("host").alias(hosts)).agg(F.collect_set("hash").alias(hashes)), "gone")
+    scratch.drop("digests", "frequent")
+    kept = docs.join(verdicts.withColumnRenamed("doc_id", ids), F.col("doc_id").eqNullSafe(F.col(ids)), "left_anti")
+    joined = kept.join(gone, (F.col("doc_id") == F.col(ids)) & (F.coalesce("source", F.lit("\0")) == F.col(hosts)), "left")
+    left = F.expr(rf"array_join(filter(split(text, '\n'), l -> not ({HAS_WORD} and array_contains({hashes}, {LINE_HASH}))), '\n')")
+    out = {"text": F.when(F.col(hashes).isNotNull(), left).otherwise(F.col("text"))}
     if dict(docs.dtypes).get("n_chars") in ("int", "bigint"):
-        out["n_chars"] = F.when(F.col("_gone").isNotNull(), F.char_length(left)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
+        out["n_chars"] = F.when(F.col(hashes).isNotNull(), F.char_length(left)).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"])
     return joined.withColumns(out).select(*docs.columns)

@@ -80,8 +80,8 @@ def test_join_is_brute_force(docs, rows, k, percent):
     assert len(got) == len(rows)
 
 
-@pytest.mark.parametrize("common_sets", [1, 2])
-def test_join_with_common_digests(spark, common_sets):
+@pytest.mark.parametrize("common", [0.05, 0.5])
+def test_join_with_common_digests(spark, common):
     rng = random.Random(8)
     passage = " ".join(f"shared{i}" for i in range(12))
     base = [f"b{i}" for i in range(90)]
@@ -93,13 +93,13 @@ def test_join_with_common_digests(spark, common_sets):
         texts.append(" ".join(own))
     rows = [(i, t, "", "", 0, "", 0, "", 0, 0) for i, t in enumerate(texts)]
     for k, percent in ((3, 80), (3, 90), (1, 70)):
-        params = ngram_join.JoinParams(words=k, percent=percent, common_sets=common_sets, common=0.05)
+        params = ngram_join.JoinParams(words=k, percent=percent, common=common, verified_shingles=300)
         got = ngram_join.ngram_groups(spark.createDataFrame(rows, SCHEMA), params).collect()
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows, k, percent)
 
 
-def test_join_without_broadcast_and_repeated_rows(spark, docs, rows):
-    params = ngram_join.JoinParams(words=3, percent=90, broadcast_keys=0)
+def test_join_of_repeated_rows(spark, docs, rows):
+    params = ngram_join.JoinParams(words=3, percent=90)
     got = ngram_join.ngram_groups(docs.union(docs), params).collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(d, *v) for d, v in groups(rows, 3, 90).items()}
     kept = {r.doc_id for r in ngram_join.keep_one(docs, params).collect()}
@@ -298,7 +298,7 @@ def test_line_dedup(spark):
     rows += [(20, f"first unique opening line of twenty with many words\n{passage}", 3, "k"), (21, f"{passage}\nsecond unique opening line of its own with more words", 3, "k"), (22, None, 3, "k"), (23, "", 3, "k"), (24, "\n \n", 3, "k")]
     rows += [(30, "user 1234 logged in from host 10.1.1.7 at port 99 today", 3, "k"), (31, "user 77 logged in from host 10.9.9.9 at port 1 today", 3, "k")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, template string")
-    got = {r.doc_id: r for r in line_dedup.deduped(docs).collect()}
+    got = {r.doc_id: r for r in line_dedup.deduped(docs, dropped="_dropped").collect()}
     assert got[20].text.endswith(passage) and got[21].text == "second unique opening line of its own with more words" and got[21].n_chars == len(got[21].text)
     assert notice in got[0].text and all(notice not in got[i].text for i in range(1, 12))
     assert (got[22].text, got[23].text, got[24].text) == (None, "", "\n \n")
@@ -338,8 +338,9 @@ def test_line_templates_are_brute_force(spark, monkeypatch, max_leaf):
             begun.append(tokens)
         want[number(line)] = number(" ".join((alike or [tokens])[0]))
     params = line_dedup.LineParams(max_leaf=max_leaf)
-    rows = line_dedup.written(line_dedup.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), params), "lines")
-    got = {h: h for h in want} | {r.hash: r.template for r in line_dedup.templates_of(rows, params).collect()}
+    scratch = line_dedup.Scratch(spark, "test")
+    rows = scratch.write(line_dedup.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), params), "doc-lines")
+    got = {h: h for h in want} | {r.hash: r.template for r in line_dedup.templates_of(rows, params, scratch).collect()}
     assert got == want and len(set(want.values())) < len(lines) / 2
     sketches = {r.hash: bytes(r.sketch) for r in rows.filter("n_tokens = 40").collect()}
     order = sorted(sketches)
@@ -348,6 +349,18 @@ def test_line_templates_are_brute_force(spark, monkeypatch, max_leaf):
         assert [order[t] for t in line_dedup.merged_leaf([sketches[h] for h in order], 40, params)] == [want[h] for h in order]
 
 
+def test_filters_keep_columns_of_any_name(spark):
+    names = ("gone_doc_id", "gone_doc_id_", "gone_lines", "gone_hashes", "gone_host", "left_text", "n_dropped", "keeper", "hash")
+    passage = " ".join(f"passage{chr(97 + i)}" for i in range(26))
+    texts = [passage + f"\nown {chr(97 + i)} " + " ".join(f"w{i}x{k}" for k in range(60)) for i in range(3)] + [None, ""]
+    rows = [(i, t, "s", *names) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    items = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    for df, n in ((quality.quality_filter(docs), 3), (line_dedup.line_filter(docs), 5), (ngram_join.keep_one(docs), 5), (decontam.clean(docs, items), 2)):
+        got = df.collect()
+        assert df.columns == docs.columns and len(got) == n and all(r[3:] == names for r in got)
+
+
 def test_leaks(spark):
     item = "Where does the heron keep its seventh lantern in winter? Behind the copper weir of old Marlow town."
     items = spark.createDataFrame([(1, item), (2, "An unrelated item about glass bells and their keepers. They ring."), (3, None), (4, "")], "item_id long, text string")
@@ -390,6 +403,37 @@ def test_words_in_one_place_are_brute_force():
         assert decontam.in_one_place(part, whole) == 1 - min(row) / len(part)
 
 
+@pytest.mark.parametrize(("block", "at_once"), [(1, 1), (3, 7), (4, 512)])
+def test_retrieval_is_brute_force(block, at_once):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(60)] + [f"common{i}" for i in range(6)] * 12
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randrange(3, 16)))) for i in range(40)]
+    params = decontam.LeakParams(passage=16, block=block, at_once=at_once, overlap=0.0)
+    texts = [[w.encode() for w in rng.choices(vocabulary, k=n)] for n in (0, 1, 5, 24, 25, 200, 333)]
+    texts[5][40:40] = decontam.words_of(items[3][1])
+    own = [decontam.words_of(t) for _, t in items]
+    average = sum(map(len, own)) / len(own)
+
+    def score(item, there):
+        total = 0.0
+        for w in set(item) & there:
+            df, tf = sum(w in o for o in own), item.count(w)
+            norm = 1.2 * (0.25 + 0.75 * len(item) / average)
+            total += __import__("math").log1p((len(own) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + norm)
+        return total
+
+    want = {}
+    for t, words in enumerate(texts):
+        for start in range(0, max(1, len(words) - 24 + 8), 8):
+            for i, item in enumerate(own):
+                s = score(item, set(words[start : start + 24]))
+                if s >= 0.4 * score(item, set(item)) - 1e-9:
+                    want[t, i] = max(want.get((t, i), 0.0), s)
+    got = {(t, i): s for t, i, s, *_ in decontam.Index(items, params).leaks(texts)}
+    assert got.keys() == want.keys() and len(got) > 20
+    assert all(got[k] == pytest.approx(want[k]) for k in want)
+
+
 def test_leaks_of_verbatim_items(spark, sf_dir):
     docs, items = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     want = {(r[0], r[1]) for r in docs.join(items.withColumnRenamed("text", "t"), F.contains("text", "t")).select("doc_id", "item_id").collect()}
@@ -424,6 +468,36 @@ def test_segments_are_maximal():
     assert toxicity.segments([-1, -2]) == [] and toxicity.segments([]) == []
 
 
+def test_segments_are_brute_force():
+    rng = random.Random(9)
+
+    def maximal(w, at=0):  # the best stretch, then the same on both sides of it
+        best = max(((sum(w[i:j]), i, j) for i in range(len(w)) for j in range(i + 1, len(w) + 1)), default=(0, 0, 0))
+        s, i, j = best
+        return [] if s <= 0 else [*maximal(w[:i], at), (at + i, at + j), *maximal(w[j:], at + j)]
+
+    for _ in range(200):
+        w = [rng.uniform(-1, 0.8) for _ in range(rng.randrange(25))]
+        assert [(a, b) for a, b, _ in toxicity.segments(w)] == maximal(w)
+
+
+def test_toxicity_tells_stems_apart_from_repeated_words(spark):
+    rng = random.Random(6)
+    words = [f"{a}{b}{c}" for a in "bcdfgl" for b in ("ame", "ilo", "oru", "une") for c in ("", "n", "st")]
+    rows, labels = [], []
+    for i in range(900):
+        own = [rng.choice(words) for _ in range(50)]
+        toxic = int(i % 6 == 0)
+        if toxic:  # one stem, hardly ever the same word twice
+            own[5:5] = [f"vlox{rng.choice(words)}{rng.choice(words)}" for _ in range(5)]
+        rows.append((i, " ".join(own)))
+        labels.append((i, toxic))
+    rows.append((2001, "gamest " * 400))
+    got = {r.doc_id: r for r in toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
+    assert all(got[i].predicted == toxic for i, toxic in labels) and got[2001].predicted == 0
+    assert {got[i].first_word for i, toxic in labels if toxic} == {5} and {got[i].end_word for i, toxic in labels if toxic} <= {8, 9, 10}
+
+
 def test_urls(spark):
     urls = ["http://A.Example.COM/en/1?x=/fr/", "https://www.example.com/en/2#a", "https://m.net/es/3", "http://net/fr/", "http://example.com", "https://xcom/en/1", "no scheme", None, "http://h.org/a/1", "http://h.org?x", "a://b://c/d"]
     got = {r.page_id: r for r in url_filter.url_filter(spark.createDataFrame([(i, u, "t") for i, u in enumerate(urls)], "page_id long, url string, template string")).collect()}
@@ -435,12 +509,23 @@ def test_urls(spark):
 
 
 def test_url_templates_reject(spark):
-    seen = [(i, f"http://net/es/{i}/x") for i in range(40)] + [(100 + i, f"http://net/de/{i}") for i in range(40)]
-    shapes = spark.createDataFrame([("h", ["bad", "<n>"], 40, 38), ("h", ["good", "<n>"], 40, 1), ("h", ["new", "<n>"], 0, 0)], "host string, shape array<string>, labelled long, bad long")
-    got = {tuple(r["shape"]): r.purity for r in url_filter.templates(shapes, url_filter.UrlParams()).collect()}
-    assert got[("bad", "<n>")] > 0.8 and got[("good", "<n>")] < 0.1 and got[("new", "<n>")] == pytest.approx(0.2)
-    rows = url_filter.url_filter(spark.createDataFrame(seen, "page_id long, url string"))
-    assert rows.filter("verdict = 'block'").count() == 40
+    shapes = [("h", ["bad", "<n>"], 40, 40, 38), ("h", ["good", "<n>"], 40, 40, 1), ("h", ["new", "<n>"], 9, 0, 0)]
+    shapes += [(f"o{i}", ["spam", "<n>"], 5, 5, 5) for i in range(20)] + [(f"o{i}", ["news", "<n>"], 5, 5, 0) for i in range(20)]
+    shapes += [("u", ["spam", "<n>"], 7, 0, 0), ("u", ["news", "<n>"], 7, 0, 0), ("v", ["other"], 7, 0, 0)]
+    # A variable segment: 80 children, one of them bad by its own labels.
+    shapes += [("w", [f"s{i}"], 10, 10, 10 if i == 7 else 0) for i in range(80)]
+    got = {(r.host, *r["shape"]): (r.purity, r.template) for r in url_filter.templates(spark.createDataFrame(shapes, "host string, shape array<string>, pages long, labelled long, bad long"), url_filter.UrlParams()).collect()}
+    assert len(got) == len(shapes)
+    assert got["h", "bad", "<n>"][0] > 0.8 and got["h", "good", "<n>"][0] < 0.1 and got["h", "new", "<n>"][0] < 0.3
+    assert got["u", "spam", "<n>"][0] > 0.8 and got["u", "news", "<n>"][0] < 0.1 and got["v", "other"][0] == pytest.approx(0.2)
+    assert got["w", "s7"][1] == "/s7" and got["w", "s7"][0] > 0.7 and got["w", "s8"][1] == "/*" and got["w", "s8"][0] < 0.1
+
+
+def test_urls_without_a_rule_are_judged_by_their_template(spark):
+    urls = [f"http://a{h}.example.com/{lang}/{k}" for h in range(12) for lang in ("en", "de") for k in range(5)]
+    urls += [f"http://b.example.org/{lang}/{k}" for lang in ("en", "de", "it") for k in range(3)]
+    got = url_filter.url_filter(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")).filter("host = 'b.example.org'").collect()
+    assert {(r.path[:4], r.rule, r.verdict) for r in got} == {("/en/", None, "block"), ("/de/", None, "allow"), ("/it/", None, "allow")}
 
 
 def test_empty_tables(spark, empty):
