@@ -1,12 +1,11 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text's words (A to Z lower-cased) joined by single spaces are what the signatures match, so line breaks and
-punctuation don't hide a notice. A rule has a priority, a label and a pattern over words; a rule is tried only where
-its keyword stands in the text. Of overlapping detections, one inside another goes (a longer or equal interval with
-a higher priority wins); what is left gives the method's labels. The base phrases keep their labels whatever the
-rules say.
-
-The rules come from tables of families, versions and ways to state a licence: some hundreds of patterns.
+punctuation don't hide a notice. A rule has a priority, a label and a pattern over words; its keyword is the longest word
+that every match holds, and it is tried only where that stands in the text. Rules are ordered by priority and then by
+their place in the list. Of overlapping detections, one that lies inside another of the same or a higher priority goes
+(of equal intervals the first rule's stays); what is left gives the method's labels. The base phrases keep their labels
+whatever the rules say.
 
 Defined results: null and empty texts have no words and no labels; repeated rows give repeated results; an empty
 table gives an empty one; other columns aren't read.
@@ -15,84 +14,20 @@ table gives an empty one; other columns aren't read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from .common import mapped
+from .license_rules import SECTIONS, VERSION
 
 # The base phrases and their labels.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-# Families of licences: label, keyword that a text must hold, names (patterns over words), versions.
-FAMILIES = (
-    ("gpl", "gpl", ("gpl", "gnu gpl"), ("1 0", "2 0", "3 0", "2", "3")),
-    ("gpl", "general", ("gnu general public licence", "gnu general public license", "general public license"), ("1", "2", "3", "2 0", "3 0")),
-    ("lgpl", "lesser", ("gnu lesser general public license", "lesser general public license", "gnu lesser gpl"), ("2 1", "3", "3 0")),
-    ("lgpl", "lgpl", ("lgpl", "gnu lgpl"), ("2 0", "2 1", "3 0", "3")),
-    ("agpl", "affero", ("gnu affero general public license", "affero general public license"), ("1", "3", "3 0")),
-    ("agpl", "agpl", ("agpl", "gnu agpl"), ("1 0", "3 0", "3")),
-    ("gfdl", "documentation", ("gnu free documentation license", "free documentation license"), ("1 1", "1 2", "1 3")),
-    ("apache", "apache", ("apache license", "apache licence", "apache software license", "asl"), ("1 0", "1 1", "2 0", "2")),
-    ("mit", "mit", ("mit license", "mit licence", "mit x11 license", "mit expat license"), ()),
-    ("bsd-2-clause", "bsd", ("bsd 2 clause license", "simplified bsd license", "freebsd license", "bsd 2 clause"), ()),
-    ("bsd-3-clause", "bsd", ("bsd 3 clause license", "new bsd license", "modified bsd license", "revised bsd license", "bsd 3 clause"), ()),
-    ("bsd", "bsd", ("bsd license", "bsd licence", "bsd style license"), ()),
-    ("isc", "isc", ("isc license", "isc licence"), ()),
-    ("mpl", "mozilla", ("mozilla public license", "mozilla public licence"), ("1 0", "1 1", "2 0")),
-    ("mpl", "mpl", ("mpl",), ("1 0", "1 1", "2 0")),
-    ("epl", "eclipse", ("eclipse public license", "eclipse distribution license"), ("1 0", "2 0")),
-    ("eupl", "european", ("european union public licence", "european union public license"), ("1 0", "1 1", "1 2")),
-    ("eupl", "eupl", ("eupl",), ("1 1", "1 2")),
-    ("cddl", "cddl", ("cddl",), ("1 0", "1 1")),
-    ("cddl", "distribution", ("common development and distribution license",), ("1 0", "1 1")),
-    ("cpl", "common", ("common public license",), ("1 0",)),
-    ("artistic", "artistic", ("artistic license", "perl artistic license"), ("1 0", "2 0")),
-    ("zlib", "zlib", ("zlib license", "zlib libpng license"), ()),
-    ("bsl", "boost", ("boost software license",), ("1 0",)),
-    ("unlicense", "unlicense", ("unlicense", "the unlicense"), ()),
-    ("wtfpl", "wtfpl", ("wtfpl",), ("2",)),
-    ("psf", "python", ("python software foundation license", "psf license"), ("2",)),
-    ("ofl", "open", ("sil open font license", "open font license"), ("1 0", "1 1")),
-    ("odbl", "database", ("open database license", "odc open database license"), ("1 0",)),
-    ("odc-by", "attribution", ("open data commons attribution license",), ("1 0",)),
-    ("ogl", "government", ("open government licence", "open government license"), ("1 0", "2 0", "3 0")),
-    ("ms-pl", "microsoft", ("microsoft public license", "microsoft reciprocal license"), ()),
-    ("cc0", "cc0", ("cc0", "cc 0"), ("1 0",)),
-    ("cc0", "zero", ("creative commons zero",), ("1 0",)),
-    ("cc-by-nc-sa", "cc", ("cc by nc sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-nd", "cc", ("cc by nc nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", "cc", ("cc by nc",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", "cc", ("cc by sa",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", "cc", ("cc by nd",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by", "cc", ("cc by",), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", "creative", ("creative commons attribution non ?commercial share ?alike",), ("2 0", "3 0", "4 0")),
-    ("cc-by-nc-nd", "creative", ("creative commons attribution non ?commercial no ?deriv(?:ative)?s",), ("2 0", "3 0", "4 0")),
-    ("cc-by-nc", "creative", ("creative commons attribution non ?commercial",), ("2 0", "3 0", "4 0")),
-    ("cc-by-sa", "creative", ("creative commons attribution share ?alike",), ("2 0", "3 0", "4 0")),
-    ("cc-by", "creative", ("creative commons attribution",), ("2 0", "3 0", "4 0")),
-)
-#: Ways to state a licence, as what stands before its name.
-STATED = ("licensed under(?: the terms of)?(?: the| a)?", "released under(?: the terms of)?(?: the| a)?", "distributed under(?: the terms of)?(?: the| a)?", "available under(?: the| a)?", "subject to(?: the terms of)?(?: the)?", "spdx license identifier")
-# Sentences of the licences themselves: label, keyword, pattern.
-SENTENCES = (
-    ("mit", "hereby", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "hereby", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("bsd", "redistributions", "redistributions of source code must retain the above copyright notice"),
-    ("bsd", "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("gpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute", "you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
-    ("apache", "compliance", "you may not use this file except in compliance with the license"),
-    ("public-domain", "domain", "(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("unlicense", "unencumbered", "this is free and unencumbered software released into the public domain"),
-    ("zlib", "misrepresented", "the origin of this software must not be misrepresented"),
-    ("proprietary", "reserved", "all rights reserved"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-)
-
-
 @dataclass(frozen=True)
 class Rule:
     priority: int
@@ -101,24 +36,27 @@ class Rule:
     pattern: re.Pattern
 
 
+def keyword_of(pattern: str) -> str:
+    """The longest word that stands outside of groups, classes and what may be left out."""
+    def parted(group: re.Match) -> str:
+        ways = group[1].split("|")
+        return " " if all(w[:1] == " " or w[-1:] == " " for w in ways) else "*"
+
+    plain = re.sub(r"\[[^\]]*\]|\.\{[^}]*\}|.\?(?!:)", "*", re.sub(r"(\([^()]*\))\?", r"\1", pattern))
+    while "(" in plain:
+        plain = re.sub(r"\(\?:([^()]*)\)[?*]?", parted, plain)
+    return max((w for w in plain.split() if w.isalnum()), key=len)
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All rules, highest priority first: full sentences, then stated licences, versions, bare names."""
+    """All rules, highest priority first."""
     found = []
-
-    def add(priority: int, label: str, keyword: str, pattern: str) -> None:
-        found.append(Rule(priority, label, keyword.encode(), re.compile(f" {pattern}(?= )".encode())))
-
-    for label, keyword, pattern in SENTENCES:
-        add(4, label, keyword, pattern)
-    for label, keyword, names, versions in FAMILIES:
-        for name in names:
-            for stated in STATED:
-                add(3, label, keyword, f"{stated} {name}")
-            for version in versions:
-                add(2, label, keyword, f"{name}(?: version| v)? v?{version}(?: or later| or any later version| only)?")
-            add(1, label, keyword, name)
-    return tuple(sorted(found, key=lambda r: -r.priority))
+    for priority, section in SECTIONS:
+        for line in section.strip().splitlines():
+            label, pattern = line.split(": ", 1)
+            found.append(Rule(priority, label, keyword_of(pattern.replace("V?", "")).encode(), re.compile(f" {pattern.replace('V?', VERSION)}(?= )".encode())))
+    return tuple(found)
 
 
 def gates() -> re.Pattern:
@@ -130,19 +68,26 @@ def gates() -> re.Pattern:
 TO_WORDS = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 32 for c in range(256))
 
 
+def kept(hits: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+    """The hits (start, end, priority, label) that lie inside no other one of the same or a higher priority."""
+    out, starts, reach = [], [], []  # of the higher priorities: starts in order, the furthest end up to each
+    hits = sorted(hits, key=lambda h: -h[2])
+    for _, same in groupby(hits, key=lambda h: h[2]):
+        best, own = -1, []
+        for h in sorted(same, key=lambda h: (h[0], -h[1])):
+            above = bisect_right(starts, h[0]) - 1
+            if h[1] > best and (above < 0 or reach[above] < h[1]):
+                own.append(h)
+            best = max(best, h[1])
+        out += own
+        ends = sorted((h[0], h[1]) for h in out)
+        starts, reach = [a for a, _ in ends], list(accumulate((b for _, b in ends), max))
+    return sorted(out)
+
+
 def detections(padded: bytes, keywords: set[bytes]) -> list[tuple[int, int, int, str]]:
     """start, end, priority, label of the detections that no other one suppresses; offsets in the padded words."""
-    hits = [(m.start() + 1, m.end(), r.priority, r.label) for r in rules() if r.keyword in keywords for m in r.pattern.finditer(padded)]
-    kept: list[tuple[int, int, int, str]] = []
-    reach, best = -1, 0
-    # By start, longest first: a hit that ends within the reach lies inside an earlier one, and goes unless it outranks that.
-    for h in sorted(hits, key=lambda h: (h[0], -h[1], -h[2])):
-        if h[1] <= reach and h[2] <= best:
-            continue
-        kept.append(h)
-        if h[1] > reach:
-            reach, best = h[1], h[2]
-    return kept
+    return kept([(m.start() + 1, m.end(), r.priority, r.label) for r in rules() if r.keyword in keywords for m in r.pattern.finditer(padded)])
 
 
 def scan(text: str, gate: re.Pattern) -> tuple[int, int, int | None, int | None, str, str, float]:
@@ -150,15 +95,14 @@ def scan(text: str, gate: re.Pattern) -> tuple[int, int, int | None, int | None,
     padded = b" " + b" ".join(words) + b" "
     keywords = {m[0][1:] for m in gate.finditer(padded)}
     starts, base = [], set()
-    if keywords:
-        for phrase, label in PHRASES:
-            needle, at = f" {phrase} ".encode(), -1
-            while (at := padded.find(needle, at + 1)) >= 0:
-                starts.append(at)
-                base.add(label)
-    kept = detections(padded, keywords) if keywords else []
-    labels = base | {h[3] for h in kept}
-    score = max((h[2] / 4 for h in kept), default=0.25 if base else 0.0)
+    for phrase, label in PHRASES:
+        needle, at = f" {phrase} ".encode(), -1
+        while (at := padded.find(needle, at + 1)) >= 0:
+            starts.append(at)
+            base.add(label)
+    found = detections(padded, keywords) if keywords else []
+    labels = base | {h[3] for h in found}
+    score = max((h[2] / 4 for h in found), default=0.25 if base else 0.0)
     word_of = lambda at: padded.count(b" ", 0, at)
     return len(words), len(starts), word_of(min(starts)) if starts else None, word_of(max(starts)) if starts else None, ",".join(sorted(base)), ",".join(sorted(labels)), score
 
