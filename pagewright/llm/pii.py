@@ -2,7 +2,7 @@ r"""Personal data: regular expressions propose spans, checksums confirm them, co
 
 DataFrame functions only. Each kind has a pattern, a validator (octet range, Luhn, digit count, mod-97, number
 ranges) and a prior score; words near a span raise it. The four base kinds keep every valid match whatever its
-score; the kinds that the method adds (iban, ssn, local_phone, secret) need ``min_score``.
+score; the kinds that the method adds (iban, ssn, local_phone, secret, key) need ``min_score``.
 
 Patterns are written for the JVM: possessive quantifiers where nothing after them could need a shorter match, and
 a look-behind (or ``\G``, the end of the match before) in place of the starts inside a run that can't match if the
@@ -30,13 +30,18 @@ PATTERNS = {
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "local_phone": r"(?<![0-9+])\([0-9]{3}\)\x20?[0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
-    "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|secret|api_key|token)=[^\x00-\x20]{8,64}",
+    "secret": r"(?i)(?<![A-Za-z0-9])(?:password|passwd|passphrase|pwd|(?:client[_-]?)?secret|api[_-]?key|access[_-]?key|(?:auth|access|refresh)?[_-]?token)[\x20\t]{0,3}[=:][\x20\t]{0,3}(?:\"[^\"\x00-\x1F]{8,128}\"|'[^'\x00-\x1F]{8,128}'|[^\x00-\x20\"']{8,128})",
+    "key": r"(?<![A-Za-z0-9])(?:A[KS]IA[A-Z0-9]{16}|gh[oprsu]_[A-Za-z0-9]{36}|sk_live_[A-Za-z0-9]{16,64}|xox[abprs]-[A-Za-z0-9-]{10,80}|AIza[A-Za-z0-9_-]{35}|eyJ[A-Za-z0-9_-]{8,512}\.eyJ[A-Za-z0-9_-]{8,2048}\.[A-Za-z0-9_-]{8,512}|-----BEGIN\x20(?:[A-Z]{2,10}\x20)?PRIVATE\x20KEY-----)(?![A-Za-z0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
 #: A text without this can't have the kind; a plain look spares most texts the pattern.
-NEEDS = {"email": "[^@]*@", "phone": "[^+]*[+]", "secret": "[^=]*="}
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "local_phone": 0.4, "secret": 0.9}
+NEEDS = {"email": "[^@]*@", "phone": "[^+]*[+]", "secret": "[^=:]*[=:]"}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.8, "ssn": 0.4, "local_phone": 0.4, "secret": 0.9, "key": 0.95}
 CONTEXT = {
+    "email": "mail|contact|write|address|correo|kontakt",
+    "ip": "server|host|login|address|client|network",
+    "card": "card|visa|mastercard|amex|credit|karte|carte|tarjeta",
+    "phone": "phone|call|tel|fax|mobile|cell|contact|whatsapp",
     "iban": "iban|bank|account|konto|compte|cuenta",
     "ssn": "ssn|social|security|taxpayer|tax id",
     "local_phone": "phone|call|tel|fax|mobile|cell|contact",
@@ -78,7 +83,9 @@ def valid(kind: str, match: str = "x.match") -> str:
                       (a, c) -> case when c = '' then a when c < 'A' then (a * 10 + ascii(c) - 48) % 97 else (a * 100 + ascii(c) - 55) % 97 end) = 1""",
         "ssn": f"substring({match}, 1, 3) not in ('000', '666') and substring({match}, 1, 1) <> '9' and substring({match}, 5, 2) <> '00' and substring({match}, 8) <> '0000'",
         "local_phone": f"substring({match}, 2, 1) >= '2'",
-        "secret": "true",
+        # What follows a colon is a secret if it has a digit: prose doesn't.
+        "secret": f"{match} rlike '^[^:]*=' or {match} rlike '[0-9]'",
+        "key": "true",
     }[kind]
 
 
@@ -117,4 +124,6 @@ def pii_digest(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
         *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in BASE],
         F.sha2(listed(BASE), 256).alias("base_sha256"),
         listed(PATTERNS).alias("spans"),
+        sum((F.size(kind) for kind in PATTERNS), F.lit(0)).cast("long").alias("n_spans"),
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in PATTERNS if kind not in BASE],
     )
