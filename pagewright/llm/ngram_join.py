@@ -45,7 +45,7 @@ class JoinParams:
     empty: int = 2
     common: float = 0.2
     #: Shingles of the texts that are verified with one text in one go.
-    verified_shingles: int = 200_000
+    verified_shingles: int = 20_000
     #: 64-bit words of the narrow folded sketch, a power of two.
     folded: int = 8
 
