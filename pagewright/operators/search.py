@@ -46,7 +46,7 @@ def corpus_stats(chunks: DataFrame) -> DataFrame:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if len(df.take(SMALL + 1)) <= SMALL else df
+    return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
 def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
@@ -62,11 +62,15 @@ def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: exact cosine of every vector with every query vector (a small, checked set)."""
+    """query_id, chunk_id, score: exact cosine of every vector with every query vector, by blocks of ``SMALL`` queries."""
     wanted = queries.select("query_id", F.col("embedding").alias("query_vector"))
-    if len(wanted.take(SMALL + 1)) > SMALL:
-        raise ValueError("too many query vectors for one plan: pass them in batches")
-    return vectors.join(F.broadcast(wanted)).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 9).alias("score"))
+    blocks = max(1, -(-wanted.count() // SMALL))
+    found = None
+    for k in range(blocks):
+        block = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
+        near = vectors.join(F.broadcast(block)).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 9).alias("score"))
+        found = near if found is None else found.unionByName(near)
+    return found
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:

@@ -62,48 +62,75 @@ def with_numbers(rows: DataFrame) -> DataFrame:
     return rows.withColumn("item_table", F.bool_or(F.col("is_item")).over(w) & (F.bool_or(announced).over(w) | F.bool_or("consistent").over(w)))
 
 
-def _block(kind: str, method: str, start: str = "row_start", end: str = "row_end"):
-    return ["page_id", F.col(start).cast("int").alias("start_offset"), F.col(end).cast("int").alias("end_offset"), F.lit(SCORES[kind]).alias("score"), F.lit(method).alias("method")]
+def _block(start, end, score, method: str):
+    return F.struct(start.cast("int").alias("start_offset"), end.cast("int").alias("end_offset"), score.alias("score"), F.lit(method).alias("method"))
 
 
-def product_blocks(numbered: DataFrame) -> DataFrame:
-    """Rows of an item table whose quantity and price don't give their total."""
-    return numbered.filter("item_table and is_item and not consistent").select(*_block("arithmetic", "arithmetic"))
+def _row_block(holds, score, method: str):
+    """A block over the row where the condition holds, else null."""
+    return F.when(holds, _block(F.col("row_start"), F.col("row_end"), score, method))
 
 
-def stated_totals(numbered: DataFrame) -> DataFrame:
+def with_totals(numbered: DataFrame) -> DataFrame:
+    """The rows with what a total row states, the sum of the page's items, and whether one of the page's totals fits it."""
+    page = Window.partitionBy("page_id")
     label = F.get("cells", F.lit(0))["text"].rlike("(?i)^(total|somme|montant total)")
-    return numbered.filter((F.size("numbers") == 1) & label).withColumn("stated", F.get("numbers", F.lit(0)))
+    item = F.col("item_table") & F.col("is_item")
+    rows = numbered.withColumn("stated", F.when((F.size("numbers") == 1) & label, F.get("numbers", F.lit(0))))
+    rows = rows.withColumns({"expected": F.sum(F.when(item, F.get("numbers", F.lit(2)))).over(page).cast("decimal(18,6)"), "items": F.count_if(item).over(page)})
+    return rows.withColumn("fits", F.coalesce(F.bool_or(amounts_match(F.col("expected"), F.col("stated"))).over(page), F.lit(False)))
 
 
-def sum_blocks(numbered: DataFrame) -> DataFrame:
-    """The total rows of a page none of which is the sum of its items."""
-    items = numbered.filter("item_table and is_item").groupBy("page_id").agg(F.sum(F.get("numbers", F.lit(2))).cast("decimal(18,6)").alias("expected"), F.count(F.lit(1)).alias("items")).filter("items >= 2")
-    totals = stated_totals(numbered).join(items, "page_id")
-    bad = totals.groupBy("page_id").agg(F.bool_or(amounts_match(F.col("expected"), F.col("stated"))).alias("fits")).filter("not fits")
-    return totals.join(bad, "page_id", "left_semi").select(*_block("arithmetic", "arithmetic"))
+def stated_totals(numbered: DataFrame) -> DataFrame:
+    return with_totals(numbered).filter("stated is not null")
 
 
-def shape_blocks(rows: DataFrame) -> DataFrame:
-    """Rows wider or narrower than their header; else rows with an empty cell."""
+def _product():
+    """A row of an item table whose quantity and price don't give their total."""
+    return _row_block(F.col("item_table") & F.col("is_item") & ~F.col("consistent"), F.lit(SCORES["arithmetic"]), "arithmetic")
+
+
+def _sum():
+    """A total row of a page none of whose totals is the sum of its items, of which there are two at least."""
+    return _row_block(F.col("stated").isNotNull() & (F.col("items") >= 2) & ~F.col("fits"), F.lit(SCORES["arithmetic"]), "arithmetic")
+
+
+def _shape():
+    """A row wider or narrower than its header; else one with an empty cell."""
     ragged = F.col("header").isNotNull() & (F.size("header") != F.size("cells"))
     empty = F.exists("cells", lambda c: c["text"] == "")
-    return rows.filter(ragged | empty).select("page_id", F.col("row_start").cast("int").alias("start_offset"), F.col("row_end").cast("int").alias("end_offset"), F.when(ragged, SCORES["ragged_row"]).otherwise(SCORES["empty_cell"]).alias("score"), F.lit("structural").alias("method"))
+    return _row_block(ragged | empty, F.when(ragged, SCORES["ragged_row"]).otherwise(SCORES["empty_cell"]), "structural")
+
+
+def _blocks(rows: DataFrame, *checks) -> DataFrame:
+    """All blocks of the checks, in one pass over the rows."""
+    return rows.select("page_id", F.explode(F.array_compact(F.array(*checks))).alias("block")).select("page_id", "block.*")
+
+
+def product_blocks(numbered: DataFrame) -> DataFrame:
+    return _blocks(numbered, _product())
+
+
+def sum_blocks(numbered: DataFrame) -> DataFrame:
+    return _blocks(with_totals(numbered), _sum())
+
+
+def shape_blocks(rows: DataFrame) -> DataFrame:
+    return _blocks(rows, _shape())
 
 
 def pattern_blocks(pages: DataFrame) -> DataFrame:
     """Marks of illegible text, and runs of replacement characters."""
     found = None
     for pattern, kind in ((r"(?i)\[illisible\]", "illegible"), ("�+", "replacement")):
-        hits = pages.filter(F.col("text").rlike(pattern)).select("page_id", F.explode(match_offsets(F.col("text"), pattern)).alias("m")).select("page_id", F.col("m.start").alias("row_start"), F.col("m.end").alias("row_end")).select(*_block(kind, "structural"))
+        hits = pages.filter(F.col("text").rlike(pattern)).select("page_id", F.explode(match_offsets(F.col("text"), pattern)).alias("m")).select("page_id", _block(F.col("m.start"), F.col("m.end"), F.lit(SCORES[kind]), "structural").alias("block")).select("page_id", "block.*")
         found = hits if found is None else found.unionByName(hits)
     return found
 
 
 def analysed_pages(pages: DataFrame) -> DataFrame:
     """All blocks of all checks."""
-    numbered = with_numbers(table_rows(pages))
-    return pattern_blocks(pages).unionByName(shape_blocks(numbered)).unionByName(product_blocks(numbered)).unionByName(sum_blocks(numbered))
+    return pattern_blocks(pages).unionByName(_blocks(with_totals(with_numbers(table_rows(pages))), _shape(), _product(), _sum()))
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:

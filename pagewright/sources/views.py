@@ -70,25 +70,25 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(d, F.col("vec_id") == F.col("doc_id"), "left_semi").select(F.col("vec_id").alias("chunk_id"), "embedding")
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 3) -> DataFrame:
-    """A few benchmark items as questions, each with a stored vector as its own."""
-    b = table(spark, sf_dir, "benchmark").filter(F.col("item_id") < n).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    e = table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), "embedding")
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items as questions, each with the stored vector of its number as its own."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     return b.join(e, "query_id")
 
 
 def invoices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, text: the lines of an order as a markdown table with French decimals, every fifth line misread.
 
-    A total row closes the table; it states the true sum.
+    A total row closes the table; it states the true sum, but for every fourth order, which states twice as much.
     """
-    li = table(spark, sf_dir, "lineitem").filter(F.col("l_orderkey") % 10 == 0)
-    one = li.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_partkey", "l_quantity", "l_extendedprice")).alias("x"))
-    qty, total = F.col("x.l_quantity").cast("decimal(18,2)"), F.col("x.l_extendedprice").cast("decimal(18,2)")
+    li = table(spark, sf_dir, "lineitem")
+    qty, total = F.col("l_quantity").cast("decimal(18,2)"), F.col("l_extendedprice").cast("decimal(18,2)")
     unit = (total / qty).cast("decimal(18,2)")
-    shown = F.when(F.col("l_linenumber") % 5 == 0, unit + 1).otherwise(unit)
+    shown = F.when(F.col("l_linenumber") % 5 == 0, unit + 1).otherwise(unit).cast("decimal(18,2)")
     number = lambda c: F.translate(c.cast("string"), ".", ",")
-    row = F.concat(F.lit("| article "), F.col("x.l_partkey").cast("string"), F.lit(" | "), number(qty), F.lit(" | "), number(shown), F.lit(" | "), number(total), F.lit(" |"))
-    body = one.select("l_orderkey", "l_linenumber", row.alias("row"), total.alias("total")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "row"))).alias("rows"), F.sum("total").alias("sum"))
-    text = F.concat(F.lit("| Désignation | Quantité | Prix | Total |\n|---|---|---|---|\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n| Total | "), number(F.col("sum").cast("decimal(18,2)")), F.lit(" | | |"))
+    row = F.concat(F.lit("| article "), F.col("l_partkey").cast("string"), F.lit(" | "), number(qty), F.lit(" | "), number(shown), F.lit(" | "), number(total), F.lit(" |"))
+    body = li.select("l_orderkey", "l_linenumber", row.alias("row"), total.alias("total")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "row"))).alias("rows"), F.sum("total").alias("sum"))
+    stated = (F.col("sum") * F.when(F.col("l_orderkey") % 4 == 0, 2).otherwise(1)).cast("decimal(18,2)")
+    text = F.concat(F.lit("| Désignation | Quantité | Prix | Total |\n|---|---|---|---|\n"), F.array_join(F.transform("rows", lambda r: r["row"]), "\n"), F.lit("\n| Total | "), number(stated), F.lit(" | | |"))
     return body.select(F.col("l_orderkey").alias("page_id"), text.alias("text"))

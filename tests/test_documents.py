@@ -279,3 +279,30 @@ def test_pipeline_resumes(spark):
     assert {(r.page_id, r.revision, r.content) for r in new.collect()} == {(1, 2, "texte 3 existence"), (2, 2, "texte 2 existence")}
     final = done.unionByName(new.withColumn("is_validated", F.col("page_id") > 0).select(none.columns))
     assert {r.chunk_id: r.embedding for r in pipeline.index(pages.drop("content"), final, models).collect()} == {"1:1": [1.0, 0.0], "1:2": [1.0, 0.0]}
+
+
+def test_number_multiset_is_brute_force(spark, sf_dir):
+    import re
+    from collections import Counter
+
+    pattern = re.compile(r"[0-9I](?:[0-9IO]|[.,/](?=[0-9IO])|[ \u00a0\u202f](?=[0-9IO]{3}(?![0-9IO])))*")
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    rows += [(10**6, "I70 1 234 567,5 2.250.000 70/2.000 12 34 IO 1\u202f000"), (10**6 + 1, "II I O"), (10**6 + 2, "")]
+    got = {(r.page_id, r.token): r.n for r in evaluation.number_counts(spark.createDataFrame(rows, "page_id long, text string")).collect()}
+    plain = str.maketrans("IO", "10", ". \u00a0\u202f")
+    want = Counter((d, t.translate(plain)) for d, text in rows for t in pattern.findall(text or "") if re.search("[0-9]", t))
+    assert got == want and got[10**6, "1234567,5"] == 1
+
+
+def test_character_errors_are_brute_force(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, above = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    pairs = [(0, "Échéance ñandú", "Echéance nandu"), (1, "", "abc"), (2, "großes Maß", "grosses Mass"), (3, "même", "même")]
+    got = {r.page_id: r for r in evaluation.cer(spark.createDataFrame(pairs, "page_id long, reference string, hypothesis string")).collect()}
+    assert {k: (r.distance, r.length) for k, r in got.items()} == {k: (distance(a, b), len(a)) for k, a, b in pairs} and got[1].cer is None
