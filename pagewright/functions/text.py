@@ -145,11 +145,27 @@ def prompt_budget(context_tokens: int, answer_tokens: int, chars_per_token: floa
     return int((context_tokens - answer_tokens) * chars_per_token)
 
 
-def cut_passage(passage: Column, max_chars: int) -> Column:
-    """The best passage cut to fit, the cut written out."""
-    if max_chars < len(CUT_MARK):
-        raise ValueError("no room for the mark of a cut passage")
-    return F.concat(F.substring(passage, 1, max_chars - len(CUT_MARK)), F.lit(CUT_MARK))
+def context_budget(prompt_chars: int, rules: str, question: Column) -> Column:
+    """What the prompt leaves for passages beside rules, question and the blank lines between; no room is an error."""
+    left = F.lit(prompt_chars - len(rules) - 4) - F.char_length(question)
+    return F.when(left > 0, left).otherwise(F.raise_error(F.lit("the question leaves no room for a passage")).cast("int"))
+
+
+def cut_passage(passage: Column, max_chars: int | Column) -> Column:
+    """The best passage cut to fit, the cut written out; whole where there is no room for the mark."""
+    room = (F.lit(max_chars) if isinstance(max_chars, int) else max_chars) - len(CUT_MARK)
+    return F.when(room >= 0, F.concat(F.substring(passage, F.lit(1), room), F.lit(CUT_MARK))).otherwise(passage)
+
+
+def document_label(filename: Column, pages: Column, progress: Column, created_at: Column, document_id: Column) -> Column:
+    """How a list names a document: file, pages, progress, when it came, the beginning of its id."""
+    about = F.concat_ws(" — ", filename, F.concat(pages.cast("string"), F.lit(" p.")), progress, F.date_format(created_at, "yyyy-MM-dd HH:mm"))
+    return F.concat_ws(" · ", about, F.substring(document_id.cast("string"), 1, 8))
+
+
+def transcription_timeout(model_seconds: float, pages: int = 200, passes: int = 2) -> float:
+    """How long a batch may take: each page of the largest one in two passes, at the model's own limit."""
+    return pages * passes * model_seconds
 
 
 def bm25_term(tf: Column, df: Column, length: Column, n: Column, average: Column, k1: float = 1.2, b: float = 0.75) -> Column:

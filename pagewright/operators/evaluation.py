@@ -113,3 +113,9 @@ def report_markdown(rows: DataFrame, title: str) -> str:
     lines = rows.select("measure", percent_label(F.col("value")).alias("value"), mark(F.coalesce("passed", F.lit(False))).alias("mark"), "passed").collect()
     body = [f"| {r['measure']} | {r['value']} | {r['mark'] if r['passed'] is not None else ''} |" for r in lines]
     return "\n".join([f"# {title}", "", "| mesure | valeur | |", "|---|---|---|", *body, ""])
+
+
+def exact_answers(results: DataFrame) -> DataFrame:
+    """One row: the share of answered questions (answer) in whose answer an accepted value (found) stands; null without any."""
+    answered = F.when(F.col("answer").isNotNull(), F.col("found").isNotNull().cast("double"))
+    return results.agg(F.avg(answered).alias("exact_answers"))

@@ -173,3 +173,9 @@ def collected_chunks(pages: DataFrame, revisions: DataFrame) -> DataFrame:
     """The chunks of the documents of which every page has a validated revision; others not at all."""
     missing = pages.join(latest_validated(revisions), "page_id", "left_anti").select("document_id").distinct()
     return chunks(pages.join(missing, "document_id", "left_anti"), revisions)
+
+
+def alerts_first(blocks: DataFrame, below: float = 0.5) -> DataFrame:
+    """page_id, revision, alerts: the blocks below the threshold, the lowest score first; equal scores by method."""
+    low = blocks.filter(F.col("score") < below).select("page_id", "revision", F.struct("score", "method").alias("block"))
+    return low.groupBy("page_id", "revision").agg(F.array_sort(F.collect_list("block")).alias("alerts"))

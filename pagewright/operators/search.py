@@ -7,10 +7,10 @@ rankings are kept by bounded top-k before anything is sorted whole.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BM25_B, BM25_K1, CANDIDATE_FACTOR, CUT_MARK, MIN_CANDIDATES, NO_PASSAGE, RRF_K
+from ..config import BM25_B, BM25_K1, CANDIDATE_FACTOR, MIN_CANDIDATES, NO_PASSAGE, RRF_K
 from ..functions.text import bm25_term, cosine, cut_passage
 
 #: Up to so many query terms or query vectors travel to all executors; more meet the index in a shuffle.
@@ -99,9 +99,11 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int
     return best.join(chunks.select("chunk_id", "document_id", "page_number", "content"), "chunk_id").select("query_id", "rank", "chunk_id", "document_id", "page_number", "content", "score")
 
 
-def context(hits: DataFrame, max_chars: int) -> DataFrame:
+def context(hits: DataFrame, max_chars: int | Column) -> DataFrame:
     """query_id, context, sources: passages in order while they fit; the first that doesn't ends the list.
 
+    ``max_chars`` may be a column of the hits: each query's own budget.
+
     Only the best passage is cut if it alone is too long. A query without a hit isn't in the result.
     """
     head = F.format_string("[%d] page %d du document %s\n", F.col("rank").cast("int"), F.col("page_number").cast("int"), F.col("document_id").cast("string"))
@@ -109,7 +111,7 @@ def context(hits: DataFrame, max_chars: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("used", F.sum(F.char_length("passage") + 2).over(w) - 2)
     fits = rows.filter((F.col("used") <= max_chars) | (F.col("rank") == 1))
-    passage = F.when(F.col("used") <= max_chars, F.col("passage")).otherwise(cut_passage(F.col("passage"), max_chars) if max_chars >= len(CUT_MARK) else F.col("passage"))
+    passage = F.when(F.col("used") <= max_chars, F.col("passage")).otherwise(cut_passage(F.col("passage"), max_chars))
     listed = fits.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", passage.alias("passage"), "chunk_id"))).alias("own"))
     return listed.select("query_id", F.array_join(F.transform("own", lambda x: x["passage"]), "\n\n").alias("context"), F.transform("own", lambda x: x["chunk_id"]).alias("sources"))
 

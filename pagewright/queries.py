@@ -336,12 +336,44 @@ def _(spark, d):
     return search.context(hits(spark, d), 4000).select("query_id", "context", F.array_join(F.transform("sources", lambda s: s.cast("string")), ",").alias("sources"))
 
 
+RULES = "Répondez d'après les passages."
+
+
+@query("fn_context_budget", f"SELECT item_id, {T.prompt_budget(8192, 512) - len(RULES) - 4} - length(text) AS budget FROM benchmark")
+def _(spark, d):
+    return table(spark, d, "benchmark").select("item_id", T.context_budget(T.prompt_budget(8192, 512), RULES, F.col("text")).cast("bigint").alias("budget"))
+
+
 @query("ret_answer")
 def _(spark, d):
-    rows = search.prompts(views.questions(spark, d), search.context(hits(spark, d), T.prompt_budget(8192, 512)), "Répondez d'après les passages.")
+    questions = views.questions(spark, d)
+    budgets = questions.select("query_id", T.context_budget(T.prompt_budget(8192, 512), RULES, F.col("question")).alias("budget"))
+    rows = search.prompts(questions, search.context(hits(spark, d).join(budgets, "query_id"), F.col("budget")), RULES)
     return generated(rows, lambda: lambda prompts: [f"{len(p)} caractères" for p in prompts], 100_000).select("query_id", "answer", "fixed_answer", "sources")
 
 
+@query("agg_exact_answers", "SELECT avg((contains(lower(text), ' the ') OR contains(lower(text), ' de '))::int)::double AS exact_answers FROM benchmark")
+def _(spark, d):
+    found = T.first_accepted(F.col("text"), F.array(F.lit(" the "), F.lit(" de ")))
+    return evaluation.exact_answers(table(spark, d, "benchmark").select(F.col("text").alias("answer"), found.alias("found")))
+
+
+@query("fn_document_label", f"""WITH {JOBS}, {JOB_DOCUMENTS}, first_ AS (SELECT document_id, min(created_at) AS first_at FROM jobs GROUP BY document_id)
+SELECT document_id, 'doc-' || document_id || '.pdf — ' || total || ' p. — ' || done || '/' || total || ' — ' || strftime(first_at, '%Y-%m-%d %H:%M') || ' · ' || left(document_id::varchar, 8) AS label FROM docs JOIN first_ USING (document_id)""")
+def _(spark, d):
+    first = views.jobs(spark, d).groupBy("document_id").agg(F.min("created_at").alias("at"))
+    rows = views.job_documents(spark, d).join(first, "document_id")
+    progress = F.concat(F.col("done").cast("string"), F.lit("/"), F.col("total").cast("string"))
+    return rows.select("document_id", T.document_label(F.concat(F.lit("doc-"), F.col("document_id").cast("string"), F.lit(".pdf")), F.col("total"), progress, F.col("at"), F.col("document_id")).alias("label"))
+
+
+@query("sort_blocks_by_score", """WITH blocks AS (SELECT l_orderkey AS page_id, l_linenumber AS revision, round(l_discount * 10, 1) AS score, CASE l_returnflag WHEN 'A' THEN 'arithmetic' WHEN 'N' THEN 'structural' ELSE 'double_pass' END AS method FROM lineitem)
+SELECT page_id, revision, string_agg(score || ':' || method, ',' ORDER BY score, method) AS alerts FROM blocks WHERE score < 0.5 GROUP BY 1, 2""")
+def _(spark, d):
+    rows = review.alerts_first(views.blocks(spark, d))
+    return rows.select("page_id", "revision", F.array_join(F.transform("alerts", lambda b: F.concat_ws(":", b["score"].cast("string"), b["method"])), ",").alias("alerts"))
+
+
 EXPECTED = "expected AS (SELECT item_id AS query_id, doc_id AS chunk_id FROM benchmark JOIN documents d ON contains(d.text, benchmark.text) WHERE item_id IN (SELECT vec_id FROM embeddings))"
 
 

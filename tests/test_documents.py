@@ -306,3 +306,14 @@ def test_character_errors_are_brute_force(spark):
     pairs = [(0, "Échéance ñandú", "Echéance nandu"), (1, "", "abc"), (2, "großes Maß", "grosses Mass"), (3, "même", "même")]
     got = {r.page_id: r for r in evaluation.cer(spark.createDataFrame(pairs, "page_id long, reference string, hypothesis string")).collect()}
     assert {k: (r.distance, r.length) for k, r in got.items()} == {k: (distance(a, b), len(a)) for k, a, b in pairs} and got[1].cer is None
+
+
+def test_context_budget_of_each_query(spark):
+    budget = T.context_budget(100, "rules", F.col("q"))
+    assert one(spark, budget, q="x" * 50) == 41
+    with pytest.raises(Exception, match="no room"):
+        one(spark, budget, q="x" * 91)
+    rows = [(1, 1, "a", 1, "d", "p" * 50, 40), (1, 2, "b", 2, "d", "q" * 50, 40), (2, 1, "a", 1, "d", "p" * 50, 400), (2, 2, "b", 2, "d", "q" * 50, 400)]
+    hits = spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, page_number int, document_id string, content string, budget int")
+    got = {r.query_id: r for r in search.context(hits, F.col("budget")).collect()}
+    assert got[1].sources == ["a"] and got[2].sources == ["a", "b"] and T.transcription_timeout(1.5) == 600
