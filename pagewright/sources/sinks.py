@@ -49,20 +49,33 @@ def ensure_index(spark: SparkSession, path: str) -> None:
 
 
 def _replace(spark: SparkSession, path: str, df: DataFrame) -> None:
-    """Write beside the old version, then rename: a reader sees one or the other, a failed write leaves the old one."""
-    fresh = f"{path}.{uuid.uuid4().hex}"
-    df.write.parquet(fresh)
+    """Write beside the old version, then rename both. A failed write leaves the old one; it is deleted only when the new
+    one stands in its place, and put back if that fails."""
+    new, old = (f"{path}.{uuid.uuid4().hex}" for _ in range(2))
+    df.write.parquet(new)
     fs, where = _fs(spark, path)
-    fs.delete(where, True)
-    fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), where)
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(where):
+        fs.rename(where, to_path(old))
+    if not fs.rename(to_path(new), where):
+        fs.rename(to_path(old), where)
+        raise OSError(f"could not put the new index in the place of {path}")
+    fs.delete(to_path(old), True)
 
 
 def upsert_chunks(spark: SparkSession, path: str, new: DataFrame, dim: int) -> int:
     """Overwrite by chunk_id; a missing or wrong vector refuses all; returns the number written."""
     ensure_index(spark, path)
     checked = new.withColumn("embedding", F.when(F.coalesce(F.size("embedding"), F.lit(0)) == dim, F.col("embedding")).otherwise(F.raise_error(F.lit("a chunk without a vector of the right size"))))
+    # Written first: the vectors come from a model that shouldn't be asked twice.
+    beside = f"{path}.{uuid.uuid4().hex}"
+    checked.write.parquet(beside)
+    checked = spark.read.schema(checked.schema).parquet(beside)
     _replace(spark, path, spark.read.schema(schema("chunks")).parquet(path).join(checked, "chunk_id", "left_anti").unionByName(checked))
-    return new.count()
+    n = checked.count()
+    fs, where = _fs(spark, beside)
+    fs.delete(where, True)
+    return n
 
 
 def delete_document(spark: SparkSession, path: str, document_id: str) -> None:
