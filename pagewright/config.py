@@ -7,6 +7,10 @@ from dataclasses import dataclass
 # Enumerations of the model.
 DOCUMENT_STATUSES = ("new", "preprocessing", "preprocessed", "transcribing", "awaiting_validation", "validated", "indexed", "failed")
 ORIGINS = ("ocr", "human", "normalized")
+STATUS_LABELS = {
+    "new": "importé", "preprocessing": "prétraitement…", "preprocessed": "prétraité", "transcribing": "OCR en cours…",
+    "awaiting_validation": "à valider", "validated": "validé", "indexed": "indexé", "failed": "en échec",
+}
 PAGE_STATES = ("untranscribed", "to_review", "draft", "validated")
 JOB_STATUSES = ("queued", "running", "done", "failed")
 REVIEWABLE = ("awaiting_validation", "validated", "indexed")
@@ -19,6 +23,9 @@ MAX_PAGES = 200
 MAX_PAGE_BYTES = 25 * 1024 * 1024
 ALERT_BELOW = 0.5
 PACKET = 24
+THUMBNAIL_MIN, THUMBNAIL_WIDTH, THUMBNAIL_MAX = 64, 240, 512
+REFRESH_SECONDS, POLL_SECONDS = 5, 10
+NOT_MEASURED = "non mesuré"
 EMBED_BATCH = 16
 RRF_K = 60
 CANDIDATE_FACTOR, MIN_CANDIDATES = 3, 10

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import THUMBNAIL_MAX, THUMBNAIL_MIN, THUMBNAIL_WIDTH
 from ..session import with_code
 
 # The parameters of the kernels.
@@ -182,3 +186,46 @@ def preprocessed_images(images: DataFrame, **options) -> DataFrame:
         return pd.DataFrame(rows, columns=["height", "width", "data", "tilt", "steps", "pixel_ratio"])
 
     return images.withColumn("page", run("height", "width", "nChannels", "data"))
+
+
+def png(image: np.ndarray) -> bytes:
+    """Gray or blue-green-red 8-bit pixels as a PNG file."""
+    kind, pixels = (0, image) if image.ndim == 2 else (2, image[..., 2::-1])
+    height, width = image.shape[:2]
+    rows = np.hstack([np.zeros((height, 1), np.uint8), np.ascontiguousarray(pixels).reshape(height, -1)])
+
+    def chunk(name: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, kind, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def thumbnail(image: np.ndarray, width: int) -> np.ndarray:
+    """At most ``width`` pixels wide in the image's own proportions, colours kept, alpha dropped, never enlarged."""
+    colours = image if image.ndim == 2 else image[..., :3]
+    height, wide = colours.shape[:2]
+    if wide <= width:
+        return colours
+    edge = max(width, round(height * width / wide))
+    planes = [colours] if colours.ndim == 2 else [colours[..., c] for c in range(3)]
+    small = [downscaled(plane, edge) for plane in planes]
+    return small[0] if colours.ndim == 2 else np.dstack(small)
+
+
+def thumbnails(images: DataFrame, width: int = THUMBNAIL_WIDTH) -> DataFrame:
+    """The image source's rows with a PNG ``thumbnail`` beside them; an image that couldn't be read (no pixels) is an error."""
+    if not THUMBNAIL_MIN <= width <= THUMBNAIL_MAX:
+        raise ValueError(f"a thumbnail is {THUMBNAIL_MIN} to {THUMBNAIL_MAX} pixels wide")
+    with_code(images.sparkSession)
+
+    @F.pandas_udf("binary")
+    def run(height: pd.Series, wide: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
+        out = []
+        for h, w, c, raw in zip(height, wide, channels, data, strict=True):
+            if h <= 0 or not raw:
+                raise ValueError("an image that can't be read")
+            out.append(png(thumbnail(np.frombuffer(raw, np.uint8).reshape((h, w, c) if c > 1 else (h, w)), width)))
+        return pd.Series(out, dtype=object)
+
+    return images.withColumn("thumbnail", run("height", "width", "nChannels", "data"))

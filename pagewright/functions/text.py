@@ -125,7 +125,7 @@ def score_label(score: Column) -> Column:
 
 
 def percent_label(share: Column) -> Column:
-    return F.when(share.isNull(), "non mesuré").otherwise(F.format_string("%.1f %%", share * 100))
+    return F.when(share.isNull(), "non mesuré").otherwise(F.format_string("%.1f%%", share * 100))
 
 
 def mark(passed: Column) -> Column:

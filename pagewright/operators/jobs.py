@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import ACTIVE_JOBS
+from ..config import ACTIVE_JOBS, REINDEXABLE
 
 
 def last_jobs(jobs: DataFrame, *keys: str) -> DataFrame:
@@ -34,6 +34,22 @@ def ocr_admission(documents: DataFrame, jobs: DataFrame) -> DataFrame:
     return rows.select("document_id", "status", verdict.alias("verdict"))
 
 
+def enqueued(documents: DataFrame, jobs: DataFrame, kind: str, at: Column) -> DataFrame:
+    """New queued jobs (job_id, document_id, kind, status, created_at) of the documents whose status admits ``kind``.
+
+    A transcription starts by ``ocr_admission``, preprocessing with a new document, indexing with a validated one; never
+    beside an active job of the same kind. The id comes from document, kind and time, so a task that runs again gives it anew.
+    """
+    if kind == "transcribe":
+        ready = ocr_admission(documents, jobs).filter("verdict = 'admitted'")
+    else:
+        statuses = {"preprocess": ("new",), "index": REINDEXABLE}[kind]
+        active = jobs.filter((F.col("kind") == kind) & F.col("status").isin(*ACTIVE_JOBS))
+        ready = documents.filter(F.col("status").isin(*statuses)).join(active, "document_id", "left_anti")
+    job_id = F.sha2(F.concat_ws(":", F.col("document_id").cast("string"), F.lit(kind), at.cast("string")), 256)
+    return ready.select(job_id.alias("job_id"), "document_id", F.lit(kind).alias("kind"), F.lit("queued").alias("status"), at.alias("created_at"))
+
+
 def deletable(documents: DataFrame, jobs: DataFrame) -> DataFrame:
     """Documents without an active job."""
     return documents.join(jobs.filter(F.col("status").isin(*ACTIVE_JOBS)), "document_id", "left_anti")

@@ -11,7 +11,7 @@ from .config import SCORES
 from .functions import text as T
 from .functions.edits import Tracked
 from .functions.models import embedded, generated
-from .operators import divergence, evaluation, jobs, layout, review, search, tables
+from .operators import divergence, evaluation, jobs, labels, layout, review, search, tables
 from .sources import views
 from .sources.views import table
 
@@ -231,6 +231,38 @@ def _(spark, d):
     return views.blocks(spark, d).filter("score < 0.5").groupBy("page_id", "revision", "score").agg(F.count(F.lit(1)).alias("n"))
 
 
+OPEN_PAGES = f"""{SUMMARIES}, grouped AS (SELECT document_id, count(*) AS total, count(*) FILTER (WHERE state = 'validated') AS done,
+  string_agg(page_number::varchar, ', ' ORDER BY page_number) FILTER (WHERE score < 0.5) AS alerts, count(*) FILTER (WHERE score < 0.5) AS n_alerts,
+  string_agg(page_number::varchar, ', ' ORDER BY page_number) FILTER (WHERE state <> 'validated' AND score < 0.5) AS open_alerts, count(*) FILTER (WHERE state <> 'validated' AND score < 0.5) AS n_open,
+  string_agg(page_number::varchar, ', ' ORDER BY page_number) FILTER (WHERE state = 'untranscribed') AS unread FROM summaries GROUP BY document_id)"""
+
+
+@query("fn_progress_label", f"""WITH {OPEN_PAGES} SELECT document_id, done || ' / ' || total || CASE WHEN total > 1 THEN ' pages validées' ELSE ' page validée' END
+|| CASE WHEN n_alerts > 0 THEN ' · ' || n_alerts || CASE WHEN n_alerts > 1 THEN ' alertes' ELSE ' alerte' END || ' (p. ' || alerts || ')' ELSE '' END AS label FROM grouped""")
+def _(spark, d):
+    return labels.progress_labels(summaries(spark, d))
+
+
+@query("fn_bulk_refusal", f"""WITH {OPEN_PAGES} SELECT document_id, CASE WHEN done = total THEN 'Toutes les pages sont déjà validées.'
+WHEN document_id % 3 = 0 THEN 'Document « OCR en cours… » : la validation groupée attend la fin de la transcription.'
+WHEN unread IS NOT NULL THEN 'Pages sans transcription (p. ' || unread || ') : lancer l''OCR ou saisir leur texte d''abord.' END AS refusal FROM grouped""")
+def _(spark, d):
+    documents = views.pages(spark, d).select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 3 == 0, "transcribing").otherwise("awaiting_validation"))
+    return labels.bulk_refusals(documents, summaries(spark, d))
+
+
+@query("fn_bulk_confirmation", f"""WITH {OPEN_PAGES} SELECT document_id, 'Valider ' || (total - done) || CASE WHEN total - done > 1 THEN ' pages' ELSE ' page' END || ' sans les relire une à une.'
+|| CASE WHEN n_open > 0 THEN ' Parmi elles, ' || n_open || CASE WHEN n_open = 1 THEN ' porte' ELSE ' portent' END || ' une alerte : p. ' || open_alerts || '.' ELSE '' END
+|| ' Elles resteront marquées « validée en lot » et ne serviront pas de référence pour mesurer l''OCR.' AS text FROM grouped""")
+def _(spark, d):
+    return labels.bulk_confirmations(summaries(spark, d))
+
+
+@query("fn_displayed_revision", f"WITH {SUMMARIES} SELECT document_id, page_id, coalesce(latest_revision, 0) AS revision FROM summaries")
+def _(spark, d):
+    return labels.displayed_revisions(summaries(spark, d))
+
+
 # --- Jobs -----------------------------------------------------------------------------------------------------------
 
 
@@ -246,6 +278,14 @@ def _(spark, d):
     return jobs.ocr_admission(views.job_documents(spark, d).select("document_id", "status"), views.jobs(spark, d))
 
 
+@query("job_enqueue", f"""WITH {JOBS}, {JOB_DOCUMENTS}, last AS (SELECT document_id, arg_max(kind, (created_at, job_id)) AS kind FROM jobs GROUP BY document_id)
+SELECT document_id, 'transcribe' AS kind, 'queued' AS status FROM docs LEFT JOIN last USING (document_id)
+WHERE document_id NOT IN (SELECT document_id FROM jobs WHERE kind = 'transcribe' AND status IN ('queued', 'running')) AND (status = 'preprocessed' OR (status = 'failed' AND last.kind = 'transcribe'))""")
+def _(spark, d):
+    documents = views.job_documents(spark, d).select("document_id", "status")
+    return jobs.enqueued(documents, views.jobs(spark, d), "transcribe", F.to_timestamp(F.lit("2026-01-01"))).select("document_id", "kind", "status")
+
+
 @query("job_delete_guard", f"WITH {JOBS}, {JOB_DOCUMENTS} SELECT document_id, status FROM docs WHERE document_id NOT IN (SELECT document_id FROM jobs WHERE status IN ('queued', 'running'))")
 def _(spark, d):
     return jobs.deletable(views.job_documents(spark, d).select("document_id", "status"), views.jobs(spark, d))
@@ -516,7 +556,7 @@ def _(spark, d):
     return summaries(spark, d).select("page_id", F.concat(kind, F.lit(" p. "), F.col("page_number").cast("string"), F.lit(" · "), T.score_label(F.col("score"))).alias("label"))
 
 
-@query("fn_percent", "SELECT l_orderkey, CASE WHEN x IS NULL THEN 'non mesuré' ELSE printf('%.1f', round(x * 100, 1)) || ' %' END AS label FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 5 <> 0 THEN (l_orderkey % 100) / 100.0::double END AS x FROM (SELECT DISTINCT l_orderkey FROM lineitem))")
+@query("fn_percent", "SELECT l_orderkey, CASE WHEN x IS NULL THEN 'non mesuré' ELSE printf('%.1f', round(x * 100, 1)) || '%' END AS label FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 5 <> 0 THEN (l_orderkey % 100) / 100.0::double END AS x FROM (SELECT DISTINCT l_orderkey FROM lineitem))")
 def _(spark, d):
     rows = table(spark, d, "lineitem").select("l_orderkey").distinct()
     share = F.when(F.col("l_orderkey") % 5 != 0, (F.col("l_orderkey") % 100) / F.lit(100.0))

@@ -59,6 +59,18 @@ def chosen_image(pages: DataFrame) -> DataFrame:
     return pages.withColumn("image_path", F.coalesce(F.nullif("preprocessed_image_path", F.lit("")), "raw_image_path"))
 
 
+def page_image(spark: SparkSession, root: str, pages: DataFrame, document_id: str, page_number: int, variant: str = "preprocessed") -> DataFrame:
+    """One row (path, length, content): the image of a page below ``root``.
+
+    ``variant`` is preprocessed or raw. No such page, no image of that variant, or a path that leads out of ``root`` is an error.
+    """
+    row = pages.filter((F.col("document_id") == document_id) & (F.col("page_number") == page_number)).select(F.col(f"{variant}_image_path").alias("path")).first()
+    parts = (row["path"] or "").split("/") if row else []
+    if not any(parts) or parts[0] == "" or ".." in parts:
+        raise FileNotFoundError(f"document {document_id}, page {page_number}: no {variant} image")
+    return spark.read.format("binaryFile").load(f"{root}/{row['path']}").select("path", "length", "content")
+
+
 def corpus_pages(spark: SparkSession, folder: str) -> DataFrame:
     """page_number, path of ``folder``/pages; numbers must run from 1 without a gap or a double."""
     rows = spark.read.format("binaryFile").load(f"{folder}/pages").select("path", F.regexp_extract("path", r"page-(\d+)\.[^./]+$", 1).try_cast("int").alias("page_number"))

@@ -9,6 +9,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..config import REFRESH_SECONDS
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -39,6 +42,11 @@ def run_available(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame,
         raise TimeoutError("the stream didn't end in time")
 
 
+def watched(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None], every: int = REFRESH_SECONDS, mode: str = "append") -> StreamingQuery:
+    """A running query that hands on what is new every few seconds, until it is stopped."""
+    return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(processingTime=f"{every} seconds").foreachBatch(each).start()
+
+
 def to_memory(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
     """The stream's result as a table, for tests and small reports."""
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -9,6 +9,7 @@ from pagewright.functions import text as T
 from pagewright.functions.edits import Tracked
 from pagewright.functions.models import batches, embedded, generated, transcribed
 from pagewright.operators import divergence, evaluation, jobs, layout, review, search, tables
+from pagewright.plans import evaluation as evaluation_run
 from pagewright.plans import pipeline
 
 NBSP = " "
@@ -317,3 +318,88 @@ def test_context_budget_of_each_query(spark):
     hits = spark.createDataFrame(rows, "query_id int, rank int, chunk_id string, page_number int, document_id string, content string, budget int")
     got = {r.query_id: r for r in search.context(hits, F.col("budget")).collect()}
     assert got[1].sources == ["a"] and got[2].sources == ["a", "b"] and T.transcription_timeout(1.5) == 600
+
+
+def test_thumbnails(spark):
+    page = np.dstack([striped(0)] * 3)
+    rows = spark.createDataFrame([(400, 300, 3, bytearray(page.tobytes())), (20, 30, 1, bytearray(bytes(600)))], "height int, width int, nChannels int, data binary")
+    got = images.thumbnails(rows, 100).collect()
+    sizes = [(int.from_bytes(r.thumbnail[16:20]), int.from_bytes(r.thumbnail[20:24]), r.thumbnail[25]) for r in got]
+    assert sizes == [(100, 133, 2), (30, 20, 0)]
+    with pytest.raises(ValueError):
+        images.thumbnails(rows, 32)
+    wide = np.zeros((10, 700, 3), np.uint8)
+    assert images.thumbnail(wide, 240).shape == (3, 240, 3)
+
+
+def test_thumbnail_files_can_be_read(spark, tmp_path):
+    page = np.dstack([np.full((40, 300), v, np.uint8) for v in (10, 120, 250)])
+    (tmp_path / "page.png").write_bytes(images.png(page))
+    got = spark.read.format("image").load(str(tmp_path)).select("image.*").first()
+    assert (got.height, got.width, got.nChannels) == (40, 300, 3) and bytes(got.data) == page.tobytes()
+
+
+def test_enqueued(spark):
+    documents = spark.createDataFrame([(1, "new"), (2, "new"), (3, "validated"), (4, "preprocessed"), (5, "indexed")], "document_id int, status string")
+    log = spark.createDataFrame([("a", 2, "preprocess", "running"), ("b", 5, "index", "done")], "job_id string, document_id int, kind string, status string").withColumn("created_at", F.current_timestamp())
+    at = F.to_timestamp(F.lit("2026-01-01"))
+    ids = lambda kind: sorted(r.document_id for r in jobs.enqueued(documents, log, kind, at).collect())
+    assert (ids("preprocess"), ids("transcribe"), ids("index")) == ([1], [4], [3, 5])
+
+
+def test_normalisation_carries_second_pass_blocks(spark):
+    block = "array<struct<start_offset:int,end_offset:int,score:double,method:string>>"
+    text = "un mot cou-\npé ici"
+    rows = [(1, 1, "ocr", text, [(15, 18, 0.2, "double_pass"), (3, 6, 0.3, "structural"), (15, 900, 0.1, "double_pass")]), (2, 1, "human", "rien", [])]
+    revisions = spark.createDataFrame(rows, f"page_id int, revision int, origin string, content string, blocks {block}")
+    pages = spark.createDataFrame([(1, 7, 1), (2, 7, 2)], "page_id int, document_id int, page_number int")
+    known = spark.createDataFrame([(7, "coupé")], "document_id int, text string")
+    (got,) = pipeline.normalise(pages, revisions, known).collect()
+    assert (got.page_id, got.revision, got.content) == (1, 2, "un mot coupé ici")
+    assert sorted((got.content[b.start_offset : b.end_offset], b.score) for b in got.blocks if b.method == "double_pass") == [("ici", 0.1), ("ici", 0.2)]
+    documents = spark.createDataFrame([(7, "indexed"), (8, "transcribing")], "document_id int, status string")
+    assert pipeline.normalise_document(documents, pages, revisions, 7, known).count() == 1
+    with pytest.raises(ValueError):
+        pipeline.normalise_document(documents, pages, revisions, 8)
+    with pytest.raises(LookupError):
+        pipeline.normalise_document(documents, pages, revisions, 9)
+
+
+def test_drive():
+    seen = iter(["new", "preprocessing", "preprocessed", "transcribing", "awaiting_validation"])
+    launched = []
+    assert evaluation_run.driven(lambda: next(seen), lambda: launched.append(1), 9, 9, 0) == "awaiting_validation" and launched == [1]
+    assert evaluation_run.driven(lambda: "indexed", lambda: launched.append(1), 9, 9, 0) == "indexed" and launched == [1]
+    with pytest.raises(RuntimeError):
+        evaluation_run.awaited(lambda: "failed", {"indexed"}, 9, 0)
+    with pytest.raises(TimeoutError):
+        evaluation_run.awaited(lambda: "transcribing", {"indexed"}, 0.05, 0.01)
+
+
+def test_evaluation_index_and_report(spark, tmp_path):
+    models = pipeline.Models(lambda: lambda b: b, lambda: lambda b: [[1.0, 0.0]] * len(b), 2)
+    pages = spark.createDataFrame([(1, 7, 1), (2, 7, 2)], "page_id int, document_id int, page_number int")
+    revisions = spark.createDataFrame([(1, 1, "ocr", "brut"), (1, 2, "normalized", "lu"), (1, 3, "human", "corrigé"), (2, 1, "human", "saisi")], "page_id int, revision int, origin string, content string")
+    index = str(tmp_path / "chunks")
+    for _ in range(2):
+        assert evaluation_run.build_index(spark, index, "fonds", pages, revisions, models) == 1
+    assert [(r.chunk_id, r.content) for r in spark.read.parquet(evaluation_run.index_path(index, "fonds")).collect()] == [("7:1", "lu")]
+
+    measured = spark.createDataFrame([(1, "typed", 1, 10, 0.1, 2, 2, 1), (2, "reread", 0, 30, 0.0, 0, 0, 0)], "page_number int, reference_origin string, distance int, length int, cer double, expected int, read int, correct int")
+    tables_ = spark.createDataFrame([("lots", 0, "A", 2, 10, 2, 10, True, [], True), ("lots", 1, "B", 1, 5, 0, 0, False, [3], False)], "control string, segment int, name string, lots int, total int, lots_read int, total_read int, closed boolean, missing_pages array<int>, passed boolean")
+    numbers = spark.createDataFrame([("prix", 1, ["12"], ["7", "8"], False, False)], "control string, page_id int, found array<string>, missing array<string>, page_missing boolean, passed boolean")
+    asked = spark.createDataFrame([("q1", 1, [1, 2], "dix", "10"), ("q2", None, [2], None, None)], "query_id string, rank int, pages array<int>, answer string, found string")
+    report = evaluation_run.markdown(spark, "fonds", 3, [3], {"modele": "m"}, {"ocr": 12.4}, measured, [3], tables_, numbers, asked)
+    assert report.split("\n") == [
+        "# Évaluation — fonds", "", "- modele : m", "- Pages transcrites : 2/3 (non transcrites : [3])", "- Durée ocr : 12 s", "",
+        "## Transcription", "", "- Taux d'erreur par caractère : 2.5% sur 2 page(s) de référence", "  - saisies : 10.0% sur 1 page(s)",
+        "  - relectures : 0.0% sur 1 page(s) — un minimum : la relecture part du texte de l'OCR",
+        "- Nombres : 1 justes sur 2 attendus (rappel 50.0%, précision 50.0%)", "- Références sans transcription : [3]", "",
+        "| Page | Origine | Taux d'erreur | Nombres justes |", "|---|---|---|---|", "| 1 | saisie | 10.0% | 1/2 |", "| 2 | relecture | 0.0% | 0/0 |", "",
+        "## Contrôles objectifs (1/3)", "", "- ✓ lots — A : 2/2 lots, somme 10/10, ligne de total lue",
+        "- ✗ lots — B : 0/1 lots, somme 0/5, ligne de total absente, pages non transcrites [3]", "- ✗ prix (page 1) : 1 trouvés, manquants ['7', '8']", "",
+        "## Recherche", "", "- Rappel (2 questions) : @1 50.0%, @3 50.0%, @5 50.0%, @10 50.0%", "- Réponses exactes : 100.0%", "",
+        "| | Question | Rang | Pages retrouvées | Valeur trouvée |", "|---|---|---|---|---|", "| ✓ | q1 | 1 | [1, 2] | 10 |", "| ✗ | q2 | — | [2] | — |", "",
+    ]
+    empty = evaluation_run.markdown(spark, "vide", 1, [1], {}, {}, measured.limit(0), [], tables_.limit(0), numbers.limit(0), asked.limit(0))
+    assert "non mesuré (ni page saisie" in empty and "(0/0)" in empty and "aucune question" in empty
