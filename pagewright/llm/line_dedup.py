@@ -124,12 +124,23 @@ def merged_leaf(sketches: list[bytes], n_tokens: int, params: LineParams, first:
     return template
 
 
+#: The lines of one leaf are dealt over this many tasks where they meet what is known of their leaf.
+LEAF_PIECES = 16
+
+
+def with_leaf(lines: DataFrame, leaves: DataFrame, how: str = "inner") -> DataFrame:
+    """``lines`` with the columns of their leaf. A leaf's row is repeated for each piece, so that a leaf with a third of all lines is no hot key."""
+    dealt = lines.withColumn("piece", F.pmod(F.xxhash64("hash"), F.lit(LEAF_PIECES).cast("long")))
+    repeated = leaves.withColumn("piece", F.explode(F.expr(f"sequence(0L, {LEAF_PIECES - 1}L)")))
+    return dealt.join(repeated.hint("merge"), ["leaf", "piece"], how).drop("piece")
+
+
 def templates_of(lines: DataFrame, params: LineParams, scratch: Scratch) -> DataFrame:
     """hash, template (a line's hash) for the lines that follow another line's template; others are their own."""
     # Equal lines become one row on the map side, so that a line in a third of all documents is no hot key.
     distinct = scratch.write(lines.groupBy("hash").agg(F.first(F.struct("leaf", "n_tokens", "sketch")).alias("line")).select("hash", "line.*"), "lines")
     shared = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("leaf")
-    rest = scratch.write(distinct.join(shared.hint("merge"), "leaf").select("hash", "leaf", "n_tokens", "sketch"), "rest-0")
+    rest = scratch.write(with_leaf(distinct, shared).select("hash", "leaf", "n_tokens", "sketch"), "rest-0")
     scratch.drop("lines")
     found, at_once, turn = [lines.select("hash", F.col("hash").alias("template")).limit(0)], params.max_leaf, 0
     while not rest.isEmpty():
@@ -137,7 +148,7 @@ def templates_of(lines: DataFrame, params: LineParams, scratch: Scratch) -> Data
         # Hashes are evenly spread, so the first lines of a leaf are those below a share of its span.
         is_first = F.col("size").isNull() | (F.col("hash").cast("double") <= F.col("low") + (F.col("high") - F.col("low")) * at_once / F.col("size"))
         pieces = F.ceil(F.col("size") / at_once).cast("long")
-        dealt = scratch.write(rest.join(large, "leaf", "left").select("hash", "leaf", "n_tokens", "sketch", pieces.alias("pieces"), is_first.alias("is_first")), f"dealt-{turn}")
+        dealt = scratch.write(with_leaf(rest, large, "left").select("hash", "leaf", "n_tokens", "sketch", pieces.alias("pieces"), is_first.alias("is_first")), f"dealt-{turn}")
         scratch.drop(f"rest-{turn}")
         firsts, others = dealt.filter("is_first"), dealt.filter("not is_first")
         found.append(scratch.write(first_templates(firsts, params), f"templates-{turn}"))
