@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 from ..config import MAX_PAGE_BYTES, MAX_PAGES
 from ..functions.text import image_path, is_image, natural_key, suffix_of, ustrip
 from ..schemas import migrated, schema
+from .store import Log
 
 
 def stored(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table by its declared schema; filters and columns reach the scan."""
+    """A stored table by its declared schema, its newest version if it has versions; filters and columns reach the scan."""
+    log = Log(spark, f"{root}/{name}/_log")
+    number, entry = log.latest()
+    if number:
+        folders = [f"{root}/{name}/{f}" for own in entry["folders"].values() for f in own]
+        return migrated(spark.read.option("mergeSchema", "true").parquet(*folders) if folders else empty(spark, name), name)
     return migrated(spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}"), name)
 
 
