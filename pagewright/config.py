@@ -28,7 +28,7 @@ REFRESH_SECONDS, POLL_SECONDS = 5, 10
 NOT_MEASURED = "non mesuré"
 EMBED_BATCH = 16
 RRF_K = 60
-CANDIDATE_FACTOR, MIN_CANDIDATES = 3, 10
+CANDIDATE_FACTOR, MIN_CANDIDATES, VECTOR_FACTOR = 3, 10, 5
 RANKS = (1, 3, 5, 10)
 BM25_K1, BM25_B = 1.2, 0.75
 CHARS_PER_TOKEN, CONTEXT_TOKENS, ANSWER_TOKENS = 1.8, 8192, 512

@@ -168,19 +168,14 @@ def transcription_timeout(model_seconds: float, pages: int = 200, passes: int =
     return pages * passes * model_seconds
 
 
-def bm25_term(tf: Column, df: Column, length: Column, n: Column, average: Column, k1: float = 1.2, b: float = 0.75) -> Column:
-    """One term's share of a passage's BM25 score."""
-    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
-    return idf * tf / (tf + k1 * (1 - b + b * length / average))
-
+def bm25_idf(df: Column, n: Column) -> Column:
+    """The weight of a term that ``df`` of ``n`` passages have."""
+    return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine of two vectors, in double; null where one has no length."""
 
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-    return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def bm25_share(idf: Column, tf: Column, length: Column, average: Column, k1: float = 1.2, b: float = 0.75) -> Column:
+    """One term's share of a passage's BM25 score."""
+    return idf * tf / (tf + k1 * (1 - b + b * length / average))
 
 
 def match_offsets(text: Column, pattern: str) -> Column:

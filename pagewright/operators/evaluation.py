@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import RANKS
+from ..functions.distance import edit_distance
 from ..functions.text import fractions, layout_normalised, mark, number_normalised, number_tokens, percent_label
+from ..session import with_code
+
+#: Up to so many questions travel to all executors.
+SMALL = 100_000
+#: Words of the shingle by which a question finds the texts that may hold it.
+SHINGLE = 5
 
 
 def cer(pairs: DataFrame) -> DataFrame:
     """reference, hypothesis: edit distance over the length of the reference, layout aside; an empty reference gives null."""
     rows = pairs.withColumns({"ref_": layout_normalised(F.col("reference")), "hyp_": layout_normalised(F.col("hypothesis"))})
-    rows = rows.withColumns({"distance": F.levenshtein("ref_", "hyp_"), "length": F.char_length("ref_")}).drop("ref_", "hyp_")
+    with_code(pairs.sparkSession)
+    rows = rows.withColumns({"distance": edit_distance(F.col("ref_"), F.col("hyp_")), "length": F.char_length("ref_")}).drop("ref_", "hyp_")
     return rows.withColumn("cer", F.try_divide(F.col("distance").cast("double"), F.col("length").cast("double")))
 
 
@@ -88,6 +96,43 @@ def table_controls(pages: DataFrame, controls: DataFrame, declared: DataFrame) -
     return rows.withColumn("passed", (F.size("missing_pages") == 0) & F.col("closed") & (F.col("lots_read") == F.col("lots")) & (F.col("total_read") == F.col("total")))
 
 
+def _tokens(text: Column) -> Column:
+    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def _shingles(tokens: Column, width: int) -> Column:
+    """Of some words in a row: their hash, and how many letters they have."""
+    at = F.when(F.size(tokens) >= width, F.sequence(F.lit(1), F.size(tokens) - width + 1)).otherwise(F.array().cast("array<int>"))
+    joined = F.transform(at, lambda i: F.array_join(F.slice(tokens, i, width), " "))
+    return F.transform(joined, lambda s: F.struct(F.char_length(s).alias("letters"), F.xxhash64(s).alias("key")))
+
+
+def containing(texts: DataFrame, questions: DataFrame) -> DataFrame:
+    """query_id, page_id for every text (page_id, text) that holds a question (query_id, question) letter by letter.
+
+    Whatever stands between two white spaces of a question is whole words of a text that holds it. So a question is looked up
+    by the longest run of up to five of those words, by hash; then the texts that have it are compared. Questions
+    without such words, of one or two words, are compared with every text.
+    """
+    asked = questions.select("query_id", "question", _tokens(F.col("question")).alias("t"))
+    inner = F.slice("t", F.lit(2), F.greatest(F.size("t") - 2, F.lit(0)))
+    asked = asked.select("query_id", "question", inner.alias("t")).withColumn("width", F.least(F.size("t"), F.lit(SHINGLE)))
+    words, found = texts.select("page_id", _tokens(F.col("text")).alias("t")), []
+    for (width,) in asked.select("width").distinct().collect():  # 0 to SHINGLE
+        own = asked.filter(F.col("width") == width)
+        small = own.limit(SMALL + 1).count() <= SMALL
+        if not width:
+            short = own.select("query_id", "question")
+            pairs = texts.select("page_id", "text").join(F.broadcast(short) if small else short, F.contains("text", "question")).select("query_id", "page_id")
+        else:
+            keys = own.select("query_id", "question", F.array_max(_shingles(F.col("t"), width)).alias("s")).select("query_id", "question", F.col("s.key").alias("key"))
+            has = words.select("page_id", F.explode(F.array_distinct(F.transform(_shingles(F.col("t"), width), lambda s: s["key"]))).alias("key"))
+            may = has.join(F.broadcast(keys) if small else keys, "key").select("query_id", "question", "page_id").distinct()
+            pairs = texts.select("page_id", "text").join(may, "page_id").filter(F.contains("text", "question")).select("query_id", "page_id")
+        found.append(pairs)
+    return reduce(DataFrame.unionByName, found) if found else questions.select("query_id").limit(0).join(texts.select("page_id").limit(0))
+
+
 def first_expected_rank(hits: DataFrame, questions: DataFrame) -> DataFrame:
     """query_id, rank of the first hit on an expected page (questions: query_id, pages), or null."""
     rows = questions.select("query_id", "pages").join(hits.select("query_id", "rank", "page_number"), "query_id", "left")

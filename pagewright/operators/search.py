@@ -1,76 +1,38 @@
-"""Ranked retrieval: postings, BM25, exact vectors, reciprocal rank fusion, answer context.
-
-The index is two derived tables: postings (chunk_id, term, tf, length) and vectors; both can be rebuilt at any time.
-A batch of queries is one plan: scores join postings to the queries' few terms (a side of checked size), and
-rankings are kept by bounded top-k before anything is sorted whole.
-"""
+"""Ranked retrieval: BM25 and vectors, over stored indexes or tables as they are, reciprocal rank fusion, answer context."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..config import BM25_B, BM25_K1, CANDIDATE_FACTOR, MIN_CANDIDATES, NO_PASSAGE, RRF_K
-from ..functions.text import bm25_term, cosine, cut_passage
+from ..config import BM25_B, BM25_K1, CANDIDATE_FACTOR, MIN_CANDIDATES, NO_PASSAGE, RRF_K, VECTOR_FACTOR
+from ..functions.analysis import analysed
+from ..functions.models import embedded
+from ..functions.text import bm25_idf, bm25_share, cut_passage
+from .lexical import LexicalIndex
+from .vectors import VectorIndex, nearest
 
-#: Up to so many query terms or query vectors travel to all executors; more meet the index in a shuffle.
+#: Up to so many terms of a batch of queries travel to all executors; more meet the texts in a shuffle.
 SMALL = 100_000
 
-# French stop words and elisions of the published analyzer (the short function words).
-ELISIONS = r"^(?:l|m|t|qu|n|s|j|d|c|jusqu|quoiqu|lorsqu|puisqu)['’]"
-STOP_WORDS = tuple("au aux avec ce ces dans de des du elle en et eux il je la le leur lui ma mais me même mes moi mon ne nos notre nous on ou par pas pour qu que qui sa se ses son sur ta te tes toi ton tu un une vos votre vous c d j l à m n s t y".split())
-
-
-def analysed(text, french: bool = False):
-    """The terms of a text: letters and digits, lower-cased; with ``french``, without elisions and stop words."""
-    if not french:
-        return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+"), 0)
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}]+(?:['’][\p{L}\p{N}]+)*"), 0)
-    bare = F.transform(words, lambda w: F.regexp_replace(w, ELISIONS, ""))
-    return F.filter(bare, lambda w: (w != "") & ~w.isin(*STOP_WORDS))
-
-
-def postings(chunks: DataFrame, french: bool = False) -> DataFrame:
-    """chunk_id, term, tf, length."""
-    terms = chunks.select("chunk_id", analysed(F.col("content"), french).alias("terms")).select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term"))
-    return terms.groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def term_stats(index: DataFrame) -> DataFrame:
-    return index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-
-
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and their average length in terms."""
-    return chunks.select(F.size(analysed(F.col("content"))).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
-
 
 def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(SMALL + 1).count() <= SMALL else df
 
 
-def bm25(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score for queries (query_id, question): every chunk that shares a term."""
-    wanted = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("question")))).alias("term"))
-    terms = _small(wanted.select("term").distinct())
-    lengths = chunks.select("chunk_id", analysed(F.col("content")).alias("terms"))
-    matched = lengths.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(terms, "term").groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    stats = corpus_stats(chunks)
-    scored = matched.join(term_stats(matched), "term").join(F.broadcast(stats))  # one row
-    part = bm25_term(F.col("tf"), F.col("df"), F.col("length"), F.col("n"), F.col("average"), BM25_K1, BM25_B)
-    return scored.withColumn("part", part).join(_small(wanted), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
-
+def bm25(chunks: DataFrame, queries: DataFrame, french: bool = False) -> DataFrame:
+    """query_id, chunk_id, score for queries (query_id, question): every chunk that shares a term.
 
-def knn(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, chunk_id, score: exact cosine of every vector with every query vector, by blocks of ``SMALL`` queries."""
-    wanted = queries.select("query_id", F.col("embedding").alias("query_vector"))
-    blocks = max(1, -(-wanted.count() // SMALL))
-    found = None
-    for k in range(blocks):
-        block = wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
-        near = vectors.join(F.broadcast(block)).select("query_id", "chunk_id", F.round(cosine(F.col("embedding"), F.col("query_vector")), 9).alias("score"))
-        found = near if found is None else found.unionByName(near)
-    return found
+    Reads the chunks themselves, for a corpus that has no LexicalIndex: one pass, in which a chunk keeps the queries' terms alone.
+    """
+    wanted = queries.select("query_id", F.explode(F.array_distinct(analysed(F.col("question"), french, french))).alias("term"))
+    lengths = chunks.select("chunk_id", analysed(F.col("content"), french, french).alias("terms"))
+    matched = lengths.select("chunk_id", F.size("terms").alias("length"), F.explode("terms").alias("term")).join(_small(wanted.select("term").distinct()), "term").groupBy("chunk_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("average"))
+    df = matched.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    scored = matched.join(df, "term").join(F.broadcast(stats))  # one row
+    part = bm25_share(bm25_idf(F.col("df"), F.col("n")), F.col("tf"), F.col("length"), F.col("average"), BM25_K1, BM25_B)
+    return scored.withColumn("part", part).join(_small(wanted), "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 9).alias("score"))
 
 
 def top(scores: DataFrame, k: int) -> DataFrame:
@@ -90,15 +52,42 @@ def fused(*rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     return rows.groupBy("query_id", "chunk_id").agg(F.round(F.sum(1.0 / (k + F.col("rank"))), 9).alias("score"))
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
-    """The top_k of BM25 and vectors fused, with what a hit returns; never the vector."""
+def depth(top_k: int) -> int:
+    """How many hits of each ranking are fused."""
     if not 1 <= top_k <= 50:
         raise ValueError("top_k must be from 1 to 50")
-    n = max(CANDIDATE_FACTOR * top_k, MIN_CANDIDATES)
-    best = top(fused(top(bm25(chunks, queries), n), top(knn(vectors, queries), n)), top_k)
+    return max(CANDIDATE_FACTOR * top_k, MIN_CANDIDATES)
+
+
+def shown(best: DataFrame, chunks: DataFrame) -> DataFrame:
+    """What a hit returns; never the vector."""
     return best.join(chunks.select("chunk_id", "document_id", "page_number", "content"), "chunk_id").select("query_id", "rank", "chunk_id", "document_id", "page_number", "content", "score")
 
 
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, top_k: int = 5) -> DataFrame:
+    """The top_k of BM25 and vectors fused, over tables as they are."""
+    n = depth(top_k)
+    return shown(top(fused(top(bm25(chunks, queries), n), nearest(vectors, queries, n)), top_k), chunks)
+
+
+def searched(lexical: LexicalIndex, vectors: VectorIndex, chunks: DataFrame, queries: DataFrame, top_k: int = 5, candidates: int | None = None) -> DataFrame:
+    """The same over the stored indexes; the corpus is read for the hits' own texts alone.
+
+    ``candidates`` is how many vectors a query looks at; all of them where it isn't given.
+    """
+    n = depth(top_k)
+    return shown(top(fused(lexical.top(queries, n), vectors.top(queries, n, candidates)), top_k), chunks)
+
+
+def search(lexical: LexicalIndex, vectors: VectorIndex, chunks: DataFrame, questions: DataFrame, embed, dim: int, top_k: int = 5, exact: bool = False) -> DataFrame:
+    """From questions as they were typed (query_id, question) to hits: each gets its vector from the model that the chunks have theirs from.
+
+    A question looks at five times as many vectors as are fused, or as many as the index has found to be needed; at all of them with ``exact``.
+    """
+    asked = embedded(questions.select("query_id", "question"), embed, dim, column="question")
+    return searched(lexical, vectors, chunks, asked, top_k, None if exact else max(VECTOR_FACTOR * depth(top_k), vectors.candidates))
+
+
 def context(hits: DataFrame, max_chars: int | Column) -> DataFrame:
     """query_id, context, sources: passages in order while they fit; the first that doesn't ends the list.
 
@@ -126,12 +115,3 @@ def prompts(queries: DataFrame, contexts: DataFrame, rules: str) -> DataFrame:
 def with_document_names(hits: DataFrame, documents: DataFrame) -> DataFrame:
     """The file name of each hit's document, or a label from its id."""
     return hits.join(documents.select("document_id", "source_filename"), "document_id", "left").withColumn("label", F.coalesce("source_filename", F.concat(F.lit("document "), F.substring(F.col("document_id").cast("string"), 1, 8))))
-
-
-def upserted(index: DataFrame, new: DataFrame) -> DataFrame:
-    """``new`` chunks over the index, by chunk_id."""
-    return index.join(new, "chunk_id", "left_anti").unionByName(new)
-
-
-def without_document(index: DataFrame, document_id) -> DataFrame:
-    return index.filter(F.col("document_id") != document_id)

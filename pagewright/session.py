@@ -25,6 +25,17 @@ def session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, for stored results. Where none is set, a temporary one, in local mode only."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.pagewright.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="pagewright-")
+        spark.conf.set("spark.pagewright.checkpoint.dir", root)
+    return root.rstrip("/")
+
+
 def with_code(spark: SparkSession) -> SparkSession:
     """Send this package to the workers, once for each application: they may not have it on their path."""
     app = spark.sparkContext.applicationId
