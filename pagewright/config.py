@@ -32,6 +32,8 @@ CANDIDATE_FACTOR, MIN_CANDIDATES, VECTOR_FACTOR = 3, 10, 5
 RANKS = (1, 3, 5, 10)
 BM25_K1, BM25_B = 1.2, 0.75
 CHARS_PER_TOKEN, CONTEXT_TOKENS, ANSWER_TOKENS = 1.8, 8192, 512
+JOB_SECONDS, OCR_SECONDS, OCR_PASSES = 3600, 300, 2
+INTERRUPTED = "interrompu : délai dépassé ou arrêt du worker"
 CUT_MARK = "[passage coupé : trop long pour le contexte du modèle]"
 NO_PASSAGE = "Aucun passage trouvé."
 

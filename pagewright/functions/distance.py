@@ -1,24 +1,28 @@
 """Edit distance of texts of any length.
 
-Short pairs are measured by Spark's own function. Long ones first within a band, whose cost grows with the band and not with
-the other text; a wider band follows where the narrow one doesn't suffice. What is further apart than that is measured
-with bit vectors: a column of the distance table is two whole numbers of as many bits as the text has letters, so that a step is a few
-operations on them, whatever the distance.
+Short pairs are measured by Spark's own function, long ones with bit vectors, once their common beginning and end are off: a
+column of the distance table is two whole numbers of as many bits as the text has letters, so a step is a few operations on
+them. (Spark's limited distance isn't used for long pairs: it looks for each letter from the beginning of the text.)
 """
 
 from __future__ import annotations
 
+from os.path import commonprefix
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Pairs of up to so many cells are measured whole, others within these bands first.
+#: Pairs of up to so many cells of the table are short.
 CELLS = 4_000_000
-BANDS = (64, 512)
 
 
 def bit_distance(a: str, b: str) -> int:
     """Edit distance in len(b) steps over numbers of len(a) bits: ups and downs between neighbours of a column."""
+    head = len(commonprefix((a, b)))
+    a, b = a[head:], b[head:]
+    tail = len(commonprefix((a[::-1], b[::-1])))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
     if not a or not b:
         return len(a) + len(b)
     full, top = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -44,9 +48,5 @@ def edit_distance(a: Column, b: Column) -> Column:
     def by_bits(first: pd.Series, second: pd.Series) -> pd.Series:
         return pd.Series([None if x is None or y is None else bit_distance(x, y) for x, y in zip(first, second)], dtype="Int32")
 
-    small = F.char_length(a).cast("long") * F.char_length(b) <= CELLS
-    banded = F.coalesce(*(F.nullif(F.levenshtein(a, b, band), F.lit(-1)) for band in BANDS))
-    near = F.when(small, F.levenshtein(a, b)).otherwise(banded)
-    # Only pairs that no band holds are sent to Python; all others as nulls.
-    far = near.isNull()
-    return F.coalesce(near, by_bits(F.when(far, a), F.when(far, b)))
+    small = F.coalesce(F.char_length(a).cast("long") * F.char_length(b) <= CELLS, F.lit(True))
+    return F.when(small, F.levenshtein(a, b)).otherwise(by_bits(F.when(~small, a), F.when(~small, b)))
