@@ -11,6 +11,8 @@ STATUS_LABELS = {
     "new": "importé", "preprocessing": "prétraitement…", "preprocessed": "prétraité", "transcribing": "OCR en cours…",
     "awaiting_validation": "à valider", "validated": "validé", "indexed": "indexé", "failed": "en échec",
 }
+PAGE_ICONS = {"untranscribed": ("⬜", "non transcrite"), "to_review": ("👁️", "à relire"), "draft": ("✏️", "brouillon"), "validated": ("✅", "validée")}
+BULK_ICON, ALERT_ICON, UNKNOWN_ICON = ("☑️", "validée en lot"), "⚠️", "❔"
 PAGE_STATES = ("untranscribed", "to_review", "draft", "validated")
 JOB_STATUSES = ("queued", "running", "done", "failed")
 REVIEWABLE = ("awaiting_validation", "validated", "indexed")

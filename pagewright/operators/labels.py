@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..config import REVIEWABLE, STATUS_LABELS
+from ..config import ALERT_ICON, BULK_ICON, PAGE_ICONS, REVIEWABLE, STATUS_LABELS, UNKNOWN_ICON
+from ..functions.text import score_label
 from .review import GALLERY, progress
 
 
@@ -70,3 +71,17 @@ def bulk_confirmations(summaries: DataFrame) -> DataFrame:
 def displayed_revisions(summaries: DataFrame) -> DataFrame:
     """What a screen shows of each page, to be held against what is there later; 0 where it has no text."""
     return summaries.select("document_id", "page_id", F.coalesce("latest_revision", F.lit(0)).alias("revision"))
+
+
+def thumbnails(summaries: DataFrame) -> DataFrame:
+    """page_id, icon, state_label, score_label, alert, label: what a page's thumbnail says.
+
+    An alert takes the place of the state's icon, whatever the state; the state's name stays.
+    """
+    known = F.create_map(*(F.lit(x) for code, shown in PAGE_ICONS.items() for x in (code, f"{shown[0]}|{shown[1]}")))
+    bulk = (F.col("state") == "validated") & F.col("bulk_validated")
+    shown = F.split(F.when(bulk, "|".join(BULK_ICON)).otherwise(F.coalesce(F.try_element_at(known, F.col("state")), F.concat(F.lit(f"{UNKNOWN_ICON}|"), F.col("state")))), r"\|")
+    alert = GALLERY["alerts"]()
+    rows = summaries.withColumns({"icon": F.when(alert, ALERT_ICON).otherwise(shown[0]), "state_label": shown[1], "score_label": score_label(F.col("score")), "alert": alert})
+    label = F.concat(F.col("icon"), F.lit(" p. "), F.col("page_number").cast("string"), F.lit(" · "), F.col("score_label"))
+    return rows.select("page_id", "icon", "state_label", "score_label", "alert", label.alias("label"))

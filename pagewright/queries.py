@@ -13,9 +13,11 @@ from .functions import text as T
 from .functions.edits import Tracked
 from .functions.models import embedded, generated
 from .operators import divergence, evaluation, jobs, labels, layout, review, search, tables
+from .plans.validation import validation
 from .session import shared_dir
 from .sources import sinks, views
 from .sources.views import table
+from .streaming import worker
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -167,12 +169,20 @@ def _(spark, d):
     return review.bulk_approved(views.revisions(spark, d)).select("page_id", "revision", "content", "origin", "is_validated", "bulk_validated")
 
 
-@query("rev_bulk_validate", f"""WITH {SUMMARIES}, good AS (SELECT document_id FROM summaries GROUP BY document_id HAVING bool_and(state <> 'untranscribed')) SELECT document_id, count(*) FILTER (WHERE state <> 'validated') AS approved, count(*) FILTER (WHERE state = 'validated') AS already, count(*) FILTER (WHERE state <> 'validated') > 0 AS index_job FROM summaries JOIN good USING (document_id) GROUP BY document_id""")
+# Every fifth document is still being transcribed, every seventh was shown with an older revision of its first page.
+@query("rev_bulk_validate", f"""WITH {SUMMARIES}, docs AS (SELECT document_id, count(*) FILTER (WHERE state = 'untranscribed') AS unread, count(*) FILTER (WHERE latest_revision IS NOT NULL AND page_number = 1) AS first_read,
+  coalesce(string_agg(page_number::varchar, ',' ORDER BY page_number) FILTER (WHERE state <> 'validated'), '') AS open, count(*) FILTER (WHERE state = 'validated') AS already FROM summaries GROUP BY document_id),
+judged AS (SELECT *, CASE WHEN document_id % 5 = 2 THEN 'not transcribed' WHEN unread > 0 THEN 'a page without text' WHEN document_id % 7 = 3 AND first_read > 0 THEN 'a page has changed' ELSE 'ok' END AS verdict FROM docs)
+SELECT document_id, verdict, CASE WHEN verdict = 'ok' THEN open ELSE '' END AS validated_pages, CASE WHEN verdict = 'ok' THEN already ELSE 0 END AS already_validated,
+ CASE WHEN verdict = 'ok' AND open <> '' THEN 'validated' WHEN document_id % 5 = 2 THEN 'transcribing' ELSE 'awaiting_validation' END AS document_status, verdict = 'ok' AND open <> '' AS index_job FROM judged""")
 def _(spark, d):
-    now = summaries(spark, d)
-    conflict = review.conflicts(now.select("document_id", "page_id", F.col("latest_revision").alias("revision")), now).filter(F.col("conflict").isNotNull())
-    approved = F.count_if(F.col("state") != "validated")
-    return now.join(conflict, "document_id", "left_anti").groupBy("document_id").agg(approved.alias("approved"), F.count_if(F.col("state") == "validated").alias("already"), (approved > 0).alias("index_job"))
+    pages, rows = views.pages(spark, d), views.revisions(spark, d)
+    now = review.page_summaries(pages, rows)
+    documents = pages.select("document_id").distinct().withColumn("status", F.when(F.col("document_id") % 5 == 2, "transcribing").otherwise("awaiting_validation"))
+    older = F.when((F.col("document_id") % 7 == 3) & (F.col("page_number") == 1), 1).otherwise(0)
+    shown = labels.displayed_revisions(now).join(now.select("page_id", "page_number"), "page_id").select("document_id", "page_id", (F.col("revision") - older).alias("revision"))
+    found = validation(documents, pages, rows, shown, F.to_timestamp(F.lit("2026-01-01")))
+    return found.results.withColumn("validated_pages", F.array_join("validated_pages", ","))
 
 
 @query("join_missing_pages", f"WITH {REVISIONS}, {PAGES} SELECT page_id FROM pages_ WHERE page_id NOT IN (SELECT page_id FROM revisions)")
@@ -299,10 +309,24 @@ def _(spark, d):
     return jobs.document_progress(views.job_documents(spark, d))
 
 
-@query("job_state_machine", f"WITH {JOBS} SELECT document_id, arg_max(status, (created_at, job_id)) AS status, count(*) AS jobs FROM jobs GROUP BY document_id")
+@query("job_state_machine", f"WITH {JOBS} SELECT document_id, kind, arg_max(status, (created_at, job_id)) AS status FROM jobs GROUP BY document_id, kind")
+def _(spark, d):
+    log = views.jobs(spark, d).select(F.concat_ws(":", F.col("document_id").cast("string"), "kind").alias("job_id"), "status", F.col("created_at").alias("at"), F.col("job_id").alias("seq"), F.lit(None).cast("string").alias("error"), "document_id", "kind")
+    known = log.select("job_id", "document_id", "kind").distinct().withColumn("status", F.lit("queued"))
+    return jobs.state_events(known, log).select("document_id", "kind", "status")
+
+
+# Without SQL: each step depends on the one before. Three events in a row are a job's; eight queues.
+@query("job_serial_worker")
 def _(spark, d):
-    j = views.jobs(spark, d)
-    return j.groupBy("document_id").agg(F.max_by("status", F.struct("created_at", "job_id")).alias("status"), F.count(F.lit(1)).alias("jobs"))
+    e = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    job, rest = F.floor(F.col("event_id") / 3), F.col("event_id") % 3
+    events = e.select(
+        (job % 8).cast("string").alias("queue"), job.cast("string").alias("job_id"), F.col("user_id").cast("string").alias("document_id"), F.when(job % 2 == 0, "index").otherwise("transcribe").alias("kind"),
+        F.when(rest == 0, "submit").when(rest == 1, "done").otherwise("cancel").alias("event"), F.col("ts").cast("timestamp").alias("at"), (job % 20 + 1).cast("int").alias("pages"), F.lit(None).cast("string").alias("error"),
+    )
+    folder = f"{shared_dir(spark)}/worker-{uuid.uuid4().hex}"
+    return worker.run_worker(events, f"{folder}/out", f"{folder}/checkpoint")
 
 
 @query("flt_status_in", f"WITH {JOBS} SELECT job_id, status FROM jobs WHERE status IN ('queued', 'running')")
@@ -659,10 +683,12 @@ def _(spark, d):
     return p.select("document_id", T.widget_key("k", F.col("ids")).alias("key"))
 
 
-@query("fn_thumbnail_label", f"""WITH {SUMMARIES} SELECT page_id, CASE WHEN score < 0.5 THEN 'alert' WHEN state = 'validated' AND bulk_validated THEN 'bulk' ELSE state END || ' p. ' || page_number || ' · ' || coalesce(replace(printf('%.2f', score), '.', ','), '—') AS label FROM summaries""")
+@query("fn_thumbnail_label", f"""WITH {SUMMARIES} SELECT page_id, icon, state_label, score_label, alert, icon || ' p. ' || page_number || ' · ' || score_label AS label FROM (SELECT page_id, page_number, coalesce(score < 0.5, false) AS alert,
+ CASE WHEN score < 0.5 THEN '⚠️' WHEN state = 'validated' AND bulk_validated THEN '☑️' WHEN state = 'validated' THEN '✅' WHEN state = 'draft' THEN '✏️' WHEN state = 'to_review' THEN '👁️' ELSE '⬜' END AS icon,
+ CASE WHEN state = 'validated' AND bulk_validated THEN 'validée en lot' WHEN state = 'validated' THEN 'validée' WHEN state = 'draft' THEN 'brouillon' WHEN state = 'to_review' THEN 'à relire' ELSE 'non transcrite' END AS state_label,
+ coalesce(replace(printf('%.2f', score), '.', ','), '—') AS score_label FROM summaries)""")
 def _(spark, d):
-    kind = F.when(F.col("score") < 0.5, "alert").when((F.col("state") == "validated") & F.col("bulk_validated"), "bulk").otherwise(F.col("state"))
-    return summaries(spark, d).select("page_id", F.concat(kind, F.lit(" p. "), F.col("page_number").cast("string"), F.lit(" · "), T.score_label(F.col("score"))).alias("label"))
+    return labels.thumbnails(summaries(spark, d))
 
 
 @query("fn_percent", "SELECT l_orderkey, CASE WHEN x IS NULL THEN 'non mesuré' ELSE printf('%.1f', round(x * 100, 1)) || '%' END AS label FROM (SELECT l_orderkey, CASE WHEN l_orderkey % 5 <> 0 THEN (l_orderkey % 100) / 100.0::double END AS x FROM (SELECT DISTINCT l_orderkey FROM lineitem))")

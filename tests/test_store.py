@@ -212,3 +212,56 @@ def test_write_bytes_stays_in_its_folder(spark, tmp_path):
             sinks.write_bytes(spark, str(tmp_path), spark.createDataFrame([(path, b"x")], "path string, content binary"))
     sinks.write_bytes(spark, str(tmp_path), spark.createDataFrame([("inbox/d/0001.png", b"x"), ("inbox/d/0002.png", b"")], "path string, content binary"))
     assert (tmp_path / "inbox/d/0001.png").read_bytes() == b"x" and (tmp_path / "inbox/d/0002.png").read_bytes() == b""
+
+
+# --- Bulk validation ------------------------------------------------------------------------------------------------
+
+
+def reviewed(spark, tmp_path):
+    root = str(tmp_path)
+    pages = spark.createDataFrame([("p1", "d1", 1), ("p2", "d1", 2), ("p3", "d2", 1), ("p4", "d3", 1)], "page_id string, document_id string, page_number int")
+    schema = "page_id string, revision int, origin string, content string, is_validated boolean, bulk_validated boolean"
+    rows = spark.createDataFrame([("p1", 1, "ocr", "a", False, False), ("p2", 1, "ocr", "b", False, False), ("p2", 2, "human", "b2", True, False), ("p3", 1, "ocr", "c", False, False)], schema)
+    sinks.append_revisions(root, rows)
+    jobs = Store(spark, f"{root}/jobs", schemas.schema("jobs"), ("id",), "document_id")
+    documents = spark.createDataFrame([("d1", "awaiting_validation"), ("d2", "transcribing"), ("d3", "validated")], "document_id string, status string")
+    return root, pages, rows, jobs, documents
+
+
+def asked(spark, found_pages, revisions):
+    from pagewright.operators import labels, review
+
+    return labels.displayed_revisions(review.page_summaries(found_pages, revisions))
+
+
+def test_bulk_validation_is_all_or_nothing(spark, tmp_path):
+    from pagewright.plans.validation import validate, validation
+
+    root, pages, rows, jobs, documents = reviewed(spark, tmp_path)
+    at = F.to_timestamp(F.lit("2026-01-01"))
+    table = sinks.revisions_store(spark, root, rows)
+    shown = asked(spark, pages, rows)
+    got = {r.document_id: tuple(r)[1:] for r in validate(root, jobs, validation(documents, pages, table.read(), shown, at)).collect()}
+    assert got == {
+        "d1": ("ok", [1], 1, "validated", True), "d2": ("not transcribed", [], 0, "transcribing", False), "d3": ("a page without text", [], 0, "validated", False),
+    }
+    assert [(r.page_id, r.revision, r.content, r.bulk_validated) for r in table.read(["p1"]).filter("is_validated").collect()] == [("p1", 2, "a", True)]
+    assert [(j.document_id, j.kind, j.status) for j in jobs.read().collect()] == [("d1", "index", "queued")]
+    # Shown before: a page has changed. Shown anew: nothing is left, no job.
+    one = documents.filter("document_id = 'd1'")
+    assert validation(one, pages, table.read(), shown, at).results.first().verdict == "a page has changed"
+    again = validate(root, jobs, validation(one, pages, table.read(), asked(spark, pages, table.read()), at)).first()
+    assert tuple(again)[1:] == ("ok", [], 2, "awaiting_validation", False) and jobs.read().count() == 1
+
+
+def test_of_two_bulk_validations_one_is_refused(spark, tmp_path, monkeypatch):
+    from pagewright.plans.validation import validate, validation
+
+    root, pages, rows, jobs, documents = reviewed(spark, tmp_path)
+    at, shown = F.to_timestamp(F.lit("2026-01-01")), asked(spark, pages, rows)
+    make = lambda: validation(documents, pages, sinks.revisions_store(spark, root, rows).read(), shown, at)
+    mine = make()
+    interleaved(monkeypatch, lambda: validate(root, jobs, make()))
+    with pytest.raises(Duplicate, match="another validation"):
+        validate(root, jobs, mine)
+    assert jobs.read().count() == 1 and sinks.revisions_store(spark, root, rows).read().count() == 5
