@@ -39,6 +39,35 @@ INTERRUPTED = "interrompu : délai dépassé ou arrêt du worker"
 CUT_MARK = "[passage coupé : trop long pour le contexte du modèle]"
 NO_PASSAGE = "Aucun passage trouvé."
 
+# The sentences of the evaluation report.
+REPORT_TEXTS = {
+    "title": "# Évaluation — {corpus}",
+    "pages": "- Pages transcrites : {read}/{pages}{absent}",
+    "unread_pages": " (non transcrites : {pages})",
+    "seconds": "- Durée {step} : {s:.0f} s",
+    "transcription": "## Transcription",
+    "cer": "- Taux d'erreur par caractère : {cer} sur {n} page(s) de référence",
+    "no_cer": "- Taux d'erreur par caractère : {no} (ni page saisie, ni relecture validée)",
+    "saisie": "  - saisies : {cer} sur {n} page(s)",
+    "relecture": "  - relectures : {cer} sur {n} page(s) — un minimum : la relecture part du texte de l'OCR",
+    "numbers": "- Nombres : {justes} justes sur {attendus} attendus (rappel {rappel}, précision {precision})",
+    "unread": "- Références sans transcription : {pages}",
+    "page_head": "| Page | Origine | Taux d'erreur | Nombres justes |",
+    "controls": "## Contrôles objectifs ({justes}/{total})",
+    "table": "- {mark} {controle} — {nom} : {lots_lus}/{lots_attendus} lots, somme {somme}/{total_attendu}, ligne de total {closed}{absent}",
+    "read": "lue",
+    "not_read": "absente",
+    "absent_pages": ", pages non transcrites {pages}",
+    "number": "- {mark} {nom} (page {page}) : {found} trouvés, {detail}",
+    "no_page": "page non transcrite",
+    "missing": "manquants {values}",
+    "search": "## Recherche",
+    "no_question": "- {no} (aucune question)",
+    "recall": "- Rappel ({n} questions) : {listed}",
+    "answers": "- Réponses exactes : {share}",
+    "question_head": "| | Question | Rang | Pages retrouvées | Valeur trouvée |",
+}
+
 # Scores of the confidence checks.
 SCORES = {"arithmetic": 0.15, "illegible": 0.2, "replacement": 0.3, "empty_cell": 0.4, "ragged_row": 0.4, "numeric_divergence": 0.2, "uncertain_break": 0.45}
 ABSOLUTE_TOLERANCE, RELATIVE_TOLERANCE = "0.02", "0.005"

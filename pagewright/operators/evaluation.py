@@ -65,6 +65,9 @@ def expected_number_controls(expected: DataFrame, pages: DataFrame) -> DataFrame
     rows = consumed(expected, number_counts(pages)).join(pages.select("page_id", F.lit(True).alias("there")), "page_id", "left")
     found = F.array_sort(F.collect_list(F.when(F.col("found"), F.struct("position", "value"))))
     missing = F.array_sort(F.collect_list(F.when(~F.col("found"), F.struct("position", "value"))))
+    if "declared_at" in expected.columns:
+        order = expected.groupBy("control", "page_id").agg(F.min("declared_at").alias("declared_at"))
+        return expected_number_controls(expected.drop("declared_at"), pages).join(order, ["control", "page_id"])
     out = rows.groupBy("control", "page_id").agg(found.alias("f"), missing.alias("m"), (~F.coalesce(F.bool_or("there"), F.lit(False))).alias("page_missing"))
     return out.select("control", "page_id", F.transform("f", lambda x: x["value"]).alias("found"), F.transform("m", lambda x: x["value"]).alias("missing"), "page_missing", (~F.col("page_missing") & (F.size("m") == 0)).alias("passed"))
 

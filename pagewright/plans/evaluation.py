@@ -8,16 +8,15 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import MAX_PAGES, NOT_MEASURED, POLL_SECONDS, RANKS, REVIEWABLE
+from ..config import POLL_SECONDS, REVIEWABLE
 from ..functions.models import embedded
-from ..functions.text import mark, percent_label
-from ..operators.evaluation import exact_answers, number_rates, recall_at, weighted_cer
 from ..operators.review import chunks, machine_reading
 from ..sources.sinks import delete_files, upsert_chunks
 from .pipeline import Models
+from .report import rendered, report
 
 
 def awaited(status: Callable[[], str], wanted: set[str], seconds: float, every: float = POLL_SECONDS) -> str:
@@ -63,90 +62,6 @@ def controls_passed(*controls: DataFrame) -> DataFrame:
     return rows.agg(F.count_if("passed").alias("passed"), F.count(F.lit(1)).alias("total"))
 
 
-def _list(values: Column) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(values, lambda v: v.cast("string")), ", "), F.lit("]"))
-
-
-def _lines(df: DataFrame, section: int, order: Column, *texts: Column) -> DataFrame:
-    """section, at, line: the given texts of each row below one another, null ones left out."""
-    at = F.struct(order.cast("string").alias("row"), F.col("pos").alias("line"))
-    return df.select("*", F.posexplode(F.array(*texts))).filter("col IS NOT NULL").select(F.lit(section).alias("section"), at.alias("at"), F.col("col").alias("line"))
-
-
-def transcription_lines(measured: DataFrame, unread: list[int]) -> DataFrame:
-    """``measured``: page_number, reference_origin, distance, length, cer, expected, read, correct of pages with a reference."""
-    nothing = F.col("pages") == 0
-    by_origin = weighted_cer(measured, "reference_origin").select("reference_origin", "cer", "pages")
-    total = weighted_cer(measured).join(number_rates(measured))  # one row each
-    zero = {c: F.coalesce(c, F.lit(0)) for c in ("expected", "correct")}
-    head = F.when(nothing | F.col("cer").isNull(), f"- Taux d'erreur par caractère : {NOT_MEASURED} (ni page saisie, ni relecture validée)").otherwise(
-        F.concat(F.lit("- Taux d'erreur par caractère : "), percent_label(F.col("cer")), F.lit(" sur "), F.col("pages").cast("string"), F.lit(" page(s) de référence"))
-    )
-    numbers = F.concat(
-        F.lit("- Nombres : "), F.col("correct").cast("string"), F.lit(" justes sur "), F.col("expected").cast("string"), F.lit(" attendus (rappel "),
-        percent_label(F.col("recall")), F.lit(", précision "), percent_label(F.col("precision")), F.lit(")"),
-    )
-    missing = F.lit(f"- Références sans transcription : {sorted(unread)}" if unread else None).cast("string")
-    typed = F.col("reference_origin") == "typed"
-    share = F.concat(F.when(typed, "  - saisies : ").otherwise("  - relectures : "), percent_label(F.col("cer")), F.lit(" sur "), F.col("pages").cast("string"), F.lit(" page(s)"), F.when(typed, "").otherwise(" — un minimum : la relecture part du texte de l'OCR"))
-    cells = [F.col("page_number").cast("string"), F.when(typed, "saisie").otherwise("relecture"), percent_label(F.col("cer")), F.concat_ws("/", F.col("correct").cast("string"), F.col("expected").cast("string"))]
-    table = F.when(F.col("pages") > 0, "| Page | Origine | Taux d'erreur | Nombres justes |")
-    return (
-        _lines(total.withColumns(zero), 1, F.lit("a"), F.lit("## Transcription"), F.lit(""), head)
-        .unionByName(_lines(by_origin, 1, F.when(typed, "b").otherwise("c"), share))
-        .unionByName(_lines(total.withColumns(zero), 1, F.lit("d"), numbers, missing, F.when(table.isNotNull(), ""), table, F.when(table.isNotNull(), "|---|---|---|---|")))
-        .unionByName(_lines(measured, 1, F.format_string("e%06d", "page_number"), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))))
-        .unionByName(_lines(total.select("pages"), 1, F.lit("z"), F.lit("")))
-    )
-
-
-def control_lines(tables: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``tables`` as table_controls gives them, ``numbers`` as expected_number_controls does."""
-    absent = F.when(F.size("missing_pages") > 0, F.concat(F.lit(", pages non transcrites "), _list(F.col("missing_pages")))).otherwise("")
-    count = lambda a, b: F.concat_ws("/", F.col(a).cast("string"), F.col(b).cast("string"))
-    table = F.concat(
-        F.lit("- "), mark(F.col("passed")), F.lit(" "), F.col("control"), F.lit(" — "), F.col("name"), F.lit(" : "), count("lots_read", "lots"), F.lit(" lots, somme "),
-        count("total_read", "total"), F.lit(", ligne de total "), F.when(F.col("closed"), "lue").otherwise("absente"), absent,
-    )
-    detail = F.when(F.col("page_missing"), "page non transcrite").otherwise(F.concat(F.lit("manquants "), _list(F.transform("missing", lambda v: F.concat(F.lit("'"), v, F.lit("'"))))))
-    number = F.concat(F.lit("- "), mark(F.col("passed")), F.lit(" "), F.col("control"), F.lit(" (page "), F.col("page_id").cast("string"), F.lit(") : "), F.size("found").cast("string"), F.lit(" trouvés, "), detail)
-    title = F.concat(F.lit("## Contrôles objectifs ("), count("passed", "total"), F.lit(")"))
-    totals = controls_passed(tables, numbers)
-    return (
-        _lines(totals, 2, F.lit("a"), title, F.lit(""))
-        .unionByName(_lines(tables, 2, F.concat(F.lit("b"), F.col("control"), F.format_string("%06d", "segment")), table))
-        .unionByName(_lines(numbers, 2, F.concat(F.lit("c"), F.col("control"), F.format_string("%06d", "page_id")), number))
-        .unionByName(_lines(totals, 2, F.lit("z"), F.lit("")))
-    )
-
-
-def search_lines(questions: DataFrame, spark: SparkSession) -> DataFrame:
-    """``questions``: query_id, rank, pages (those found, best first), answer, found. A question passes with a rank and, if it was answered, a found value."""
-    one = spark.range(1)
-    start = _lines(one, 3, F.lit("a"), F.lit("## Recherche"), F.lit(""))
-    end = _lines(one, 3, F.lit("z"), F.lit(""))
-    n = questions.count()
-    if not n:
-        return start.unionByName(_lines(one, 3, F.lit("b"), F.lit(f"- {NOT_MEASURED} (aucune question)"))).unionByName(end)
-    recalls = recall_at(questions, RANKS).agg(F.array_sort(F.collect_list(F.struct("k", "recall"))).alias("r"))
-    listed = F.array_join(F.transform("r", lambda x: F.concat(F.lit("@"), x["k"].cast("string"), F.lit(" "), percent_label(x["recall"]))), ", ")
-    passed = F.col("rank").isNotNull() & (F.col("answer").isNull() | F.col("found").isNotNull())
-    cells = [mark(passed), F.col("query_id").cast("string"), F.coalesce(F.col("rank").cast("string"), F.lit("—")), _list(F.slice("pages", 1, 5)), F.coalesce("found", F.lit("—"))]
-    columns = [F.lit(""), F.lit("| | Question | Rang | Pages retrouvées | Valeur trouvée |"), F.lit("|---|---|---|---|---|")]
-    return (
-        start.unionByName(_lines(recalls, 3, F.lit("b"), F.concat(F.lit(f"- Rappel ({n} questions) : "), listed)))
-        .unionByName(_lines(exact_answers(questions), 3, F.lit("c"), F.concat(F.lit("- Réponses exactes : "), percent_label(F.col("exact_answers"))), *columns))
-        .unionByName(_lines(questions, 3, F.concat(F.lit("d"), F.col("query_id").cast("string")), F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))))
-        .unionByName(end)
-    )
-
-
-def markdown(spark: SparkSession, corpus: str, pages: int, unread_pages: list[int], configuration: dict, seconds: dict[str, float], measured: DataFrame, unread: list[int], tables: DataFrame, numbers: DataFrame, questions: DataFrame) -> str:
-    """The whole report. What wasn't measured says so; it is never 0."""
-    if pages > MAX_PAGES:
-        raise ValueError(f"{pages} pages, more than the {MAX_PAGES} of a document")
-    lines = [f"# Évaluation — {corpus}", "", *(f"- {k} : {v}" for k, v in configuration.items())]
-    lines.append(f"- Pages transcrites : {pages - len(unread_pages)}/{pages}" + (f" (non transcrites : {sorted(unread_pages)})" if unread_pages else ""))
-    lines += [*(f"- Durée {step} : {s:.0f} s" for step, s in seconds.items()), ""]
-    body = transcription_lines(measured, unread).unionByName(control_lines(tables, numbers)).unionByName(search_lines(questions, spark))
-    return "\n".join([*lines, *(r["line"] for r in body.orderBy("section", "at").collect())])
+def markdown(spark: SparkSession, *parts) -> str:
+    """The Markdown of a report of the same parts."""
+    return rendered(report(spark, *parts).first())

@@ -12,7 +12,8 @@ from .config import SCORES, VECTOR_FACTOR
 from .functions import text as T
 from .functions.edits import Tracked
 from .functions.models import embedded, generated
-from .operators import divergence, evaluation, jobs, labels, layout, review, search, tables
+from .operators import breaks, divergence, evaluation, jobs, labels, layout, review, search, tables
+from .plans.report import levels
 from .plans.validation import validation
 from .session import shared_dir
 from .sources import sinks, views
@@ -630,6 +631,16 @@ def _(spark, d):
     return evaluation.weighted_cer(evaluation.cer(turns(spark, d)), "conv_id").withColumn("cer", F.round("cer", 9))
 
 
+# Errors and, standing in for numbers, some counts of each page: over all pages, by origin, by page.
+@query("rpt_build", f"""WITH {MEASURED}, m AS (SELECT page_id AS page_number, CASE WHEN conv_id % 2 = 0 THEN 'typed' ELSE 'reread' END AS reference_origin, distance, length, length % 7 AS expected, length % 5 AS read, least(length % 7, length % 5) AS correct FROM measured)
+SELECT CASE grouping(reference_origin, page_number) WHEN 3 THEN 'all' WHEN 1 THEN 'origin' ELSE 'page' END AS level, reference_origin, page_number, round(sum(distance)::double / nullif(sum(length), 0), 9) AS cer, sum(length)::bigint AS characters, count(*) AS pages,
+ sum(expected)::bigint AS expected, sum(read)::bigint AS read, sum(correct)::bigint AS correct, round(sum(correct)::double / nullif(sum(expected), 0), 9) AS recall, round(sum(correct)::double / nullif(sum(read), 0), 9) AS precision FROM m GROUP BY GROUPING SETS ((), (reference_origin), (reference_origin, page_number))""")
+def _(spark, d):
+    n = F.col("length")
+    measured = evaluation.cer(turns(spark, d)).select(F.col("page_id").alias("page_number"), F.when(F.col("conv_id") % 2 == 0, "typed").otherwise("reread").alias("reference_origin"), "distance", "length", (n % 7).alias("expected"), (n % 5).alias("read"), F.least(n % 7, n % 5).alias("correct"))
+    return levels(measured).withColumns({c: F.round(c, 9) for c in ("cer", "recall", "precision")})
+
+
 # Without SQL: the token needs a look-ahead, which the SQL side's patterns don't have.
 @query("agg_number_multiset")
 def _(spark, d):
@@ -808,6 +819,67 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", shout("text").alias("text"))
 
 
+# The text pages as a typewriter leaves them: words cut at line ends, pages with their number above or below, the last word of a page cut too.
+TYPED = r"""typed AS (SELECT doc_id // 10 AS document_id, doc_id % 10 + 1 AS page_number, CASE WHEN doc_id % 3 = 0 THEN '- ' || (doc_id % 10 + 3) || E' -\n' ELSE '' END || regexp_replace(text, '(\p{L}{3})(\p{L}{3,}) (\p{L}+) ', E'\\1-\n\\2 \\3 ', 'g')
+  || CASE WHEN doc_id % 4 = 1 THEN ' the-' ELSE '' END || CASE WHEN doc_id % 3 = 1 THEN E'\n' || CASE WHEN doc_id % 7 = 0 THEN 'O9' ELSE (doc_id % 10 + 3)::varchar END ELSE '' END AS text FROM documents),
+ split AS (SELECT document_id, page_number, generate_subscripts(parts, 1) - 1 AS line, unnest(parts) AS raw FROM (SELECT document_id, page_number, string_split(text, E'\n') AS parts FROM typed)),
+ filled AS (SELECT document_id, page_number, line, trim(raw, E' \t\r\n') AS text FROM split WHERE trim(raw, E' \t\r\n') <> ''),
+ outer_ AS (SELECT document_id, page_number, min(line) AS a, max(line) AS b FROM filled GROUP BY ALL),
+ edged AS (SELECT f.* , (f.line <> a)::int AS edge, page_number - nullif(translate(regexp_extract(f.text, '^-?[ \t]*([0-9IO]{1,3})[ \t]*-?$', 1), 'IO', '10'), '')::int AS lag FROM filled f JOIN outer_ o USING (document_id, page_number) WHERE f.line IN (a, b)),
+ counted AS (SELECT document_id, lag, count(DISTINCT page_number) AS votes, min(page_number * 2 + edge) AS first FROM edged WHERE lag IS NOT NULL GROUP BY ALL),
+ offsets AS (SELECT document_id, arg_min(lag, (-votes, first)) AS lag, max(votes) AS votes FROM counted GROUP BY document_id),
+ hidden AS (SELECT document_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\p{L}+([ \t]+-)', chr(1) || '\1', 'g'), '\p{L}+(-+(?:[ \t\n]|\z))', chr(1) || '\1', 'g'), '(-+[ \t\n]+)\p{L}+', '\1' || chr(1), 'g'), '((?:\A|[ \t\n])-+)\p{L}+', '\1' || chr(1), 'g'), '\A([ \t\n]*)\p{Ll}\p{L}*', '\1' || chr(1)) AS text FROM typed),
+ runs AS (SELECT DISTINCT document_id, unnest(regexp_extract_all(text, '[\p{L}\x01]+(?:-[\p{L}\x01]+)*')) AS run FROM hidden),
+ parts AS (SELECT document_id, string_split(lower(run), '-') AS parts FROM runs),
+ lexicon AS (SELECT DISTINCT document_id, word FROM (SELECT document_id, unnest(parts) AS word FROM parts UNION ALL SELECT document_id, array_to_string(parts[1:n], '-') FROM (SELECT document_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM parts)) WHERE NOT contains(word, chr(1)))"""
+BROKEN = r"""followed AS (SELECT *, rtrim(raw, E' \t') AS text, ltrim(lead(raw) OVER (PARTITION BY document_id, page_number ORDER BY line), E' \t') AS follows FROM split),
+ breaks AS (SELECT document_id, page_number, line, regexp_extract(text, '(\p{L}*)([ \t]*)-+$', 1) AS "left", regexp_extract(text, '(\p{L}*)([ \t]*)-+$', 2) <> '' AS apart,
+  CASE WHEN regexp_matches(follows, '^(?:[-*•+][ \t]|\d{1,3}[ \t]?°|[IVXLC]{1,6}[ \t]?[-.°)][ \t]|\d{1,3}[.)][ \t]|[a-z]\)[ \t-])') THEN '' ELSE regexp_extract(follows, '^\p{L}+') END AS "right" FROM followed WHERE follows IS NOT NULL AND regexp_matches(text, '\p{L}.*-$')),
+ ends AS (SELECT f.document_id, f.page_number, f.line, f.text, arg_min(g.text, g.line) AS first FROM filled f JOIN outer_ o ON f.document_id = o.document_id AND f.page_number = o.page_number AND f.line = o.b JOIN filled g ON g.document_id = f.document_id AND g.page_number = f.page_number GROUP BY ALL),
+ last_ AS (SELECT *, lead(first) OVER w AS follows, lead(page_number) OVER w AS next FROM ends WINDOW w AS (PARTITION BY document_id ORDER BY page_number)),
+ page_ends AS (SELECT document_id, page_number, line, regexp_extract(text, '(\p{L}*)([ \t]*)-+$', 1) AS "left", regexp_extract(text, '(\p{L}*)([ \t]*)-+$', 2) <> '' AS apart, regexp_extract(follows, '^\p{L}+') AS "right" FROM last_ WHERE next = page_number + 1 AND regexp_matches(text, '\p{L}.*-$'))"""
+JUDGED = r"""SELECT b.*, CASE WHEN apart OR "left" = '' OR NOT regexp_matches("right", '^\p{{Ll}}') THEN 'filler' WHEN length("left") > 1 AND upper("left") = "left" THEN 'doubt'
+ WHEN EXISTS (FROM lexicon x WHERE x.document_id = b.document_id AND word = lower("left") || lower("right")) THEN 'cut' WHEN EXISTS (FROM lexicon x WHERE x.document_id = b.document_id AND word = lower("left") || '-' || lower("right")) THEN 'joined'
+ ELSE CASE (EXISTS (FROM lexicon x WHERE x.document_id = b.document_id AND word = lower("left")))::int + (EXISTS (FROM lexicon x WHERE x.document_id = b.document_id AND word = lower("right")))::int WHEN 2 THEN 'filler' WHEN 0 THEN 'cut' ELSE 'doubt' END END AS kind FROM {breaks} b"""
+
+
+def typed_pages(spark, d):
+    p, n = views.text_pages(spark, d), F.col("page_number")
+    number = F.when(F.col("chunk_id") % 7 == 0, "O9").otherwise((n + 2).cast("string"))
+    text = F.concat(
+        F.when(F.col("chunk_id") % 3 == 0, F.concat(F.lit("- "), (n + 2).cast("string"), F.lit(" -\n"))).otherwise(""), F.regexp_replace("content", r"(\p{L}{3})(\p{L}{3,}) (\p{L}+) ", "$1-\n$2 $3 "),
+        F.when(F.col("chunk_id") % 4 == 1, " the-").otherwise(""), F.when(F.col("chunk_id") % 3 == 1, F.concat(F.lit("\n"), number)).otherwise(""),
+    )
+    return p.select("document_id", n.alias("page_number"), text.alias("text"))
+
+
+@query("agg_page_offset_mode", f"WITH {TYPED} SELECT document_id, lag, votes FROM offsets")
+def _(spark, d):
+    return breaks.page_offsets(typed_pages(spark, d))
+
+
+@query("lay_page_number_strip", f"WITH {TYPED} SELECT e.document_id, e.page_number, min(line) AS line FROM edged e JOIN offsets o ON e.document_id = o.document_id AND e.lag = o.lag AND o.votes >= 2 GROUP BY ALL")
+def _(spark, d):
+    return breaks.page_number_lines(typed_pages(spark, d)).withColumn("line", F.col("line").cast("bigint"))
+
+
+@query("agg_lexicon_set", f"WITH {TYPED} SELECT document_id, word FROM lexicon")
+def _(spark, d):
+    return breaks.lexicon(typed_pages(spark, d))
+
+
+@query("join_lexicon_lookup", f"WITH {TYPED}, {BROKEN} {JUDGED.format(breaks='breaks')}")
+def _(spark, d):
+    pages = typed_pages(spark, d)
+    return breaks.judged_breaks(breaks.line_breaks(pages), breaks.lexicon(pages)).withColumn("line", F.col("line").cast("bigint"))
+
+
+@query("join_adjacent_pages", f"WITH {TYPED}, {BROKEN} {JUDGED.format(breaks='page_ends')}")
+def _(spark, d):
+    pages = typed_pages(spark, d)
+    return breaks.judged_breaks(breaks.page_breaks(pages), breaks.lexicon(pages)).withColumn("line", F.col("line").cast("bigint"))
+
+
 @query("lay_normalize_pages")
 def _(spark, d):
     pages = views.text_pages(spark, d).select("document_id", "page_number", F.col("content").alias("text"), F.lit(True).alias("editable"))

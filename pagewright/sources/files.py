@@ -104,18 +104,18 @@ def corpus_questions(spark: SparkSession, folder: str, pages: int) -> DataFrame:
     for q in rows:
         if not q["pages"] or not all(1 <= p <= pages for p in q["pages"]):
             raise ValueError(f"question {q['id']}: a page out of range")
-    return spark.createDataFrame([(q["id"], q["question"], q["pages"], q.get("valeurs", [])) for q in rows], "query_id string, question string, pages array<int>, values array<string>")
+    return spark.createDataFrame([(q["id"], q["question"], q["pages"], q.get("valeurs", []), k) for k, q in enumerate(rows)], "query_id string, question string, pages array<int>, values array<string>, declared_at int")
 
 
 def corpus_controls(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Table controls, their declared tables, and expected numbers."""
+    """Table controls, their declared tables, and expected numbers, each with its place in the file (declared_at)."""
     found = corpus_config(spark, folder, "controles")
     tables, numbers = found.get("tables", []), found.get("nombres", [])
     controls = [(t["nom"], t["pages"][0], t["pages"][-1], t["denominateur"]) for t in tables]
-    declared = [(t["nom"], k, x["nom"], x["lots"], x["total"]) for t in tables for k, x in enumerate(t["lots"] if isinstance(t["lots"], list) else [])]
-    expected = [(n["nom"], n["page"], k, v) for n in numbers for k, v in enumerate(n["nombres"])]
+    declared = [(t["nom"], k, x["nom"], x["lots"], x["total"], at) for at, t in enumerate(tables) for k, x in enumerate(t["lots"] if isinstance(t["lots"], list) else [])]
+    expected = [(n["nom"], n["page"], k, v, at) for at, n in enumerate(numbers) for k, v in enumerate(n["nombres"])]
     return (
         spark.createDataFrame(controls, "control string, first_page int, last_page int, denominator bigint"),
-        spark.createDataFrame(declared, "control string, segment bigint, name string, lots bigint, total bigint"),
-        spark.createDataFrame(expected, "control string, page_id int, position int, value string"),
+        spark.createDataFrame(declared, "control string, segment bigint, name string, lots bigint, total bigint, declared_at int"),
+        spark.createDataFrame(expected, "control string, page_id int, position int, value string, declared_at int"),
     )

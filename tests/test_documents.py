@@ -1,5 +1,9 @@
 """The document operators on literal rows."""
 
+import json
+import random
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,9 +12,11 @@ from pagewright.functions import images
 from pagewright.functions import text as T
 from pagewright.functions.edits import Tracked
 from pagewright.functions.models import batches, embedded, generated, transcribed
-from pagewright.operators import divergence, evaluation, jobs, layout, review, search, tables
+from pagewright.operators import breaks, divergence, evaluation, jobs, layout, review, search, tables
 from pagewright.plans import evaluation as evaluation_run
 from pagewright.plans import pipeline
+from pagewright.plans import report as evaluation_report
+from pagewright.sources import sinks
 
 NBSP = " "
 INVOICE = """Facture 12
@@ -383,7 +389,7 @@ def test_evaluation_index_and_report(spark, tmp_path):
     index = str(tmp_path / "chunks")
     for _ in range(2):
         assert evaluation_run.build_index(spark, index, "fonds", pages, revisions, models) == 1
-    assert [(r.chunk_id, r.content) for r in spark.read.parquet(evaluation_run.index_path(index, "fonds")).collect()] == [("7:1", "lu")]
+    assert [(r.chunk_id, r.content) for r in sinks.read_index(spark, evaluation_run.index_path(index, "fonds")).collect()] == [("7:1", "lu")]
 
     measured = spark.createDataFrame([(1, "typed", 1, 10, 0.1, 2, 2, 1), (2, "reread", 0, 30, 0.0, 0, 0, 0)], "page_number int, reference_origin string, distance int, length int, cer double, expected int, read int, correct int")
     tables_ = spark.createDataFrame([("lots", 0, "A", 2, 10, 2, 10, True, [], True), ("lots", 1, "B", 1, 5, 0, 0, False, [3], False)], "control string, segment int, name string, lots int, total int, lots_read int, total_read int, closed boolean, missing_pages array<int>, passed boolean")
@@ -401,5 +407,44 @@ def test_evaluation_index_and_report(spark, tmp_path):
         "## Recherche", "", "- Rappel (2 questions) : @1 50.0%, @3 50.0%, @5 50.0%, @10 50.0%", "- Réponses exactes : 100.0%", "",
         "| | Question | Rang | Pages retrouvées | Valeur trouvée |", "|---|---|---|---|---|", "| ✓ | q1 | 1 | [1, 2] | 10 |", "| ✗ | q2 | — | [2] | — |", "",
     ]
+    # The corpus' own order, and the same row as JSON.
+    listed = [x.withColumn("declared_at", F.when(F.col(k) == v, 9).otherwise(1)) for x, k, v in ((tables_, "name", "A"), (numbers, "control", ""), (asked, "query_id", "q1"))]
+    row = evaluation_report.report(spark, "fonds", 3, [3], {"modele": "m"}, {"ocr": 12.4}, measured, [3], *listed).first()
+    whole = json.loads(row.json)
+    assert [t["nom"] for t in whole["controles"]["tables"]] == ["B", "A"] and [q["id"] for q in whole["recherche"]["detail"]] == ["q2", "q1"]
+    assert list(whole)[:4] == ["corpus", "pages", "pages_non_transcrites", "configuration"] and whole["transcription"]["nombres"] == {"attendus": 2, "lus": 2, "justes": 1, "rappel": 0.5, "precision": 0.5}
+    assert whole["transcription"]["cer_par_origine"] == {"saisie": 0.1, "relecture": 0.0} and whole["recherche"]["detail"][0]["rang"] is None and whole["recherche"]["rappel_a_1"] == 0.5
+    assert "- ✗ lots — B" in evaluation_report.rendered(row).split("\n- ✓ lots — A")[0]
     empty = evaluation_run.markdown(spark, "vide", 1, [1], {}, {}, measured.limit(0), [], tables_.limit(0), numbers.limit(0), asked.limit(0))
     assert "non mesuré (ni page saisie" in empty and "(0/0)" in empty and "aucune question" in empty
+
+
+def test_breaks_are_those_of_the_layout(spark):
+    """Lexicon, votes and kinds of breaks by joins, against the rules that lay a document out."""
+    rng = random.Random(11)
+    words = ["mai", "son", "maison", "quarante", "et", "un", "Le", "AB", "porte", "-", "--", "chef", "lieu", "chef-lieu", "a-t-il", ",", "é"]
+    pages = []
+    for document in range(6):
+        for number in range(1, 6):
+            text = "".join(rng.choice(words) + rng.choice([" ", " ", "-\n", " -\n", "\n", ".", "", "\n\n"]) for _ in range(rng.randrange(1, 90)))
+            text = rng.choice(["- %d -\n" % (number + 3), "", "OI\n"]) + text + rng.choice(["\n%d" % (number + 4), "", " "])
+            pages.append((document, number, text))
+    df = spark.createDataFrame(pages, "document_id int, page_number int, text string").repartition(3)
+    found = {d: set() for d in range(6)}
+    for r in breaks.lexicon(df).collect():
+        found[r.document_id].add(r.word)
+    offsets = {r.document_id: (r.lag, r.votes) for r in breaks.page_offsets(df).collect()}
+    for document in range(6):
+        own = [layout.Page(n, t, True) for d, n, t in pages if d == document]
+        lexicon = layout.Lexicon()
+        for page in own:
+            lexicon.read(page.live, is_page=True)
+        assert found[document] == lexicon
+        votes = Counter(lag for p in own for lag in dict.fromkeys(p.number - n for n in map(layout.printed_number, p.edges()) if n is not None))
+        assert offsets.get(document) == (votes.most_common(1)[0] if votes else None)
+    seen = breaks.line_breaks(df).unionByName(breaks.page_breaks(df))
+    judged = breaks.judged_breaks(seen, breaks.lexicon(df)).collect()
+    assert len(judged) == seen.distinct().count() > 50
+    for r in judged:
+        assert r.kind == layout.judged(r.left, r.apart, r.right, found[r.document_id])
+    assert {r.kind for r in judged} == {layout.FILLER, layout.CUT, layout.JOINED, layout.DOUBT}
