@@ -39,7 +39,7 @@ from .common import Scratch, fresh, mapped, texts
 @dataclass(frozen=True)
 class JoinParams:
     words: int = 5
-    #: The threshold, as percent, so that the verdict is exact in whole numbers.
+    #: The threshold, as percent, so that the verdict is exact in whole numbers; 93 or less, as a key has seven bits for bands.
     percent: int = 80
     #: Blocks that alike sets share beyond the one that the pigeonhole promises: for empty ones, and a share for common ones.
     empty: int = 2
@@ -49,6 +49,10 @@ class JoinParams:
     #: 64-bit words of the narrow folded sketch, a power of two.
     folded: int = 8
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.percent <= 93 or self.words < 1:
+            raise ValueError("percent must be from 1 to 93 and words 1 or more")
+
     @property
     def band(self) -> float:
         """Sizes of a band reach from one power of this to the next."""
