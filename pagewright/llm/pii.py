@@ -48,6 +48,10 @@ CONTEXT = {
 }
 
 
+#: Matches that are placed at once, and code points of a piece of text.
+BLOCK, PIECE = 128, 1024
+
+
 @dataclass(frozen=True)
 class PiiParams:
     min_score: float = 0.6
@@ -60,14 +64,23 @@ class PiiParams:
 def spans_of(kind: str, text: str) -> Column:
     """array<struct<start, end, match>> of all leftmost non-overlapping matches, not yet validated."""
     pattern = PATTERNS[kind].replace("\\", "\\\\").replace("'", "\\'")
-    return F.expr(
-        f"""aggregate(
-              filter(zip_with(regexp_extract_all({text}, '{pattern}', 0), split({text}, '{pattern}', -1), (m, g) -> struct(m, g)), x -> x.m is not null),
-              struct(0L as at, cast(array() as array<struct<start:bigint,end:bigint,match:string>>) as spans),
-              (a, x) -> struct(a.at + char_length(x.g) + char_length(x.m) as at,
-                               concat(a.spans, array(struct(a.at + char_length(x.g) as start, a.at + char_length(x.g) + char_length(x.m) as end, x.m as match))) as spans),
-              a -> a.spans)"""
-    )
+    span = "struct(a.at + char_length(x.g) as start, a.at + char_length(x.g) + char_length(x.m) as end, x.m as match)"
+    after = "a.at + char_length(x.g) + char_length(x.m)"
+    empty = "cast(array() as array<struct<start:bigint,end:bigint,match:string>>)"
+    # Appending copies an array, so matches are placed by blocks: first where each block begins, then within it.
+    pairs = f"filter(zip_with(regexp_extract_all({text}, '{pattern}', 0), split({text}, '{pattern}', -1), (m, g) -> struct(m, g)), x -> x.m is not null)"
+    blocks = f"transform(sequence(0, (size(p) - 1) div {BLOCK}), b -> slice(p, cast(b * {BLOCK} + 1 as int), {BLOCK}))"
+    starts = f"aggregate(bs, struct(0L as at, cast(array() as array<bigint>) as s), (a, b) -> struct(aggregate(b, a.at, (at, x) -> at + char_length(x.g) + char_length(x.m)) as at, concat(a.s, array(a.at)) as s), a -> a.s)"
+    within = f"aggregate(b, struct(begin as at, {empty} as spans), (a, x) -> struct({after} as at, concat(a.spans, array({span})) as spans), a -> a.spans)"
+    placed = f"get(transform(array({blocks}), bs -> flatten(zip_with(bs, {starts}, (b, begin) -> {within}))), 0)"
+    return F.expr(f"get(transform(array({pairs}), p -> if(size(p) = 0, {empty}, {placed})), 0)")
+
+
+def part(start: str, length: str) -> str:
+    """SQL of at most a piece's length of the text, from the two pieces that it can lie in."""
+    k = f"cast({start} div {PIECE} as int)"
+    both = f"concat(coalesce(get(pieces, {k}), ''), coalesce(get(pieces, {k} + 1), ''))"
+    return f"substring({both}, cast({start} % {PIECE} as int) + 1, cast({length} as int))"
 
 
 def valid(kind: str, match: str = "x.match") -> str:
@@ -91,18 +104,22 @@ def valid(kind: str, match: str = "x.match") -> str:
 
 def pii_spans(docs: DataFrame, params: PiiParams = PiiParams()) -> DataFrame:
     """doc_id and, per kind, an array of spans (start, end, match, score), in the order of the text."""
+    if params.context_reach > PIECE:
+        raise ValueError(f"context_reach must be {PIECE} or less")
     rows = texts(docs)
     found = {}
     for kind, pattern in PATTERNS.items():
         gate = F.col("text").rlike("^" + NEEDS[kind]) if kind in NEEDS else F.lit(True)
         found[f"raw_{kind}"] = F.when(gate & F.col("text").rlike(pattern), spans_of(kind, "text")).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,match:string>>)"))
-    rows = rows.withColumns(found)
+    # Pieces of the text, for what stands near a span: taking a part of the whole text walks through it from its beginning.
+    rows = rows.withColumns(found | {"pieces": F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))})
     scored = {}
     for kind in PATTERNS:
         score = f"cast({PRIOR[kind]} as double)"
         if kind in CONTEXT:
             reach = params.context_reach
-            near = f"lower(concat(substring(text, cast(greatest(x.start - {reach}, 0) as int) + 1, cast(x.start - greatest(x.start - {reach}, 0) as int)), ' ', substring(text, cast(x.end as int) + 1, {reach})))"
+            before = part("greatest(x.start - {reach}, 0)", "x.start - greatest(x.start - {reach}, 0)").format(reach=reach)
+            near = f"lower(concat({before}, ' ', {part('x.end', str(reach))}))"
             score = f"least(1.0D, {score} + if({near} rlike '{CONTEXT[kind]}', {params.context_gain}D, 0.0D))"
         kept = "" if kind in BASE else f" and x.score >= {params.min_score}"
         scored[kind] = F.expr(f"filter(transform(filter(raw_{kind}, x -> {valid(kind)}), x -> struct(x.start, x.end, x.match, {score} as score)), x -> true{kept})")
