@@ -4,12 +4,13 @@ Tree: segments of a path get a lexical class where they are plainly variable (nu
 path's shape. Labels are the pages that the listed rules judge, or counts that the caller gives. What other hosts'
 labels say of a shape (each host with a label votes with its own share of bad pages, smoothed towards ``prior``) stands
 in for ``strength`` labelled pages of the host itself, so that evidence reaches hosts and branches without labels.
-Level by level, each child of a node is held against the node's share by a two-proportion z; children that lie alike
-(within chance, above, below) are similar branches and merge into one wildcard, unless there is but one of a kind. In a
-node with more than ``max_children`` children the segment is variable: there only children that have labels of their own
-and differ by more than ``apart`` stay out of the wildcard. A template is then a path from the root to a leaf; its purity
-is the smoothed share of bad pages among its labelled ones. Urls that no rule fits get the verdict of their template:
-block at ``min_purity``, else allow.
+Level by level, siblings merge when they are alike. A child's evidence puts it into one of five classes of shares, equally
+wide where chance is equally large (by the arcsine of the root), and its own labels move it to the class of its own
+share when they contradict the evidence: ``min_labelled`` of them or more, ``apart`` standard deviations away. Children of one
+class are one wildcard, a child that is alone in its class keeps its segment. So whether two siblings merge depends on the two
+of them, and neither on how many others there are nor on what those are like. A template is then a path from the root to a
+leaf; its purity is the smoothed share of bad pages among its labelled ones. Urls that no rule fits get the verdict of
+their template: block at ``min_purity``, else allow.
 
 Defined results: a null url, or one without ``://``, has empty host and path, no rule, and its (empty) template's
 verdict; repeated rows give repeated results; an empty table gives an empty one. Other columns aren't read.
@@ -18,6 +19,7 @@ verdict; repeated rows give repeated results; an empty table gives an empty one.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from math import pi
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,11 +40,9 @@ RULES = (
 class UrlParams:
     #: Levels of the tree; what lies deeper is one wildcard.
     depth: int = 4
-    #: A node with more children than this has a variable segment.
-    max_children: int = 50
-    #: Children whose share of bad pages lies nearer to their node's than this are like it.
-    z: float = 1.0
-    #: What keeps a child of a variable segment out of the wildcard: so many labelled pages, and so large a z.
+    #: Classes of shares: siblings of one class are alike.
+    classes: int = 5
+    #: Labels that move a child out of the class of its evidence: so many, and so many standard deviations away.
     min_labelled: int = 5
     apart: float = 3.0
     prior: float = 0.2
@@ -90,6 +90,11 @@ def smoothed(bad: Column, labelled: Column, expected: Column, params: UrlParams)
     return (bad + params.strength * expected) / (labelled + params.strength)
 
 
+def classed(share: Column, params: UrlParams) -> Column:
+    """The class of a share, from 0: chance moves shares of one number of labels equally far in any class."""
+    return F.least(F.floor(F.asin(F.sqrt(share)) * (2 * params.classes / pi)), F.lit(params.classes - 1)).cast("int")
+
+
 def templates(shapes: DataFrame, params: UrlParams) -> DataFrame:
     """host, shape, template, purity for rows of host, shape (array of masked segments), pages, labelled, bad."""
     scratch = Scratch(shapes.sparkSession, "url-filter")
@@ -99,13 +104,13 @@ def templates(shapes: DataFrame, params: UrlParams) -> DataFrame:
     share = smoothed(F.col("bad"), F.col("labelled"), F.col("hoped") / F.col("pages"), params)
     for level in range(params.depth):
         child = tree.withColumn("segment", F.coalesce(F.get("shape", F.lit(level)), F.lit("\0")))
-        own = scratch.write(child.groupBy("host", "template", "segment").agg(*sums).withColumn("share", share), f"children-{level}")
-        nodes = own.groupBy("host", "template").agg(F.count(F.lit(1)).alias("children"), *sums[:2], F.sum("hoped").alias("hoped"), F.sum("pages").alias("pages")).select("host", "template", "children", share.alias("node_share"))
-        z = F.try_divide(F.col("share") - F.col("node_share"), F.sqrt(F.col("node_share") * (1 - F.col("node_share")) / (F.col("labelled") + params.strength)))
-        own = own.join(nodes, ["host", "template"]).withColumn("z", F.coalesce(z, F.lit(0.0)))
-        variable = (F.col("children") > params.max_children) & ~((F.col("labelled") >= params.min_labelled) & (F.abs("z") >= params.apart))
-        kind = F.when(F.col("segment") == "\0", "").when(variable | (F.abs("z") < params.z), "/*").when(F.col("z") > 0, "/*+").otherwise("/*-")
-        own = own.withColumn("kind", kind)
+        own = child.groupBy("host", "template", "segment").agg(*sums).withColumn("hope", F.col("hoped") / F.col("pages"))
+        z = F.try_divide(F.col("bad") - F.col("labelled") * F.col("hope"), F.sqrt(F.col("labelled") * F.col("hope") * (1 - F.col("hope"))))
+        contradicted = (F.col("labelled") >= params.min_labelled) & (F.abs(F.coalesce(z, F.lit(0.0))) >= params.apart)
+        which = classed(F.when(contradicted, share).otherwise(F.col("hope")), params)
+        usual = classed(F.lit(params.prior), params)
+        kind = F.when(F.col("segment") == "\0", "").when(which == usual, "/*").otherwise(F.concat(F.lit("/*"), which.cast("string")))
+        own = scratch.write(own.select("host", "template", "segment", kind.alias("kind")), f"children-{level}")
         alike = own.groupBy("host", "template", "kind").agg(F.count(F.lit(1)).alias("alike"))
         step = F.when((F.col("kind") == "") | ((F.col("alike") > 1)), F.col("kind")).otherwise(F.concat(F.lit("/"), "segment"))
         step = own.join(alike, ["host", "template", "kind"]).select("host", "template", "segment", step.alias("step"))
