@@ -3,24 +3,41 @@
 from __future__ import annotations
 
 import tomllib
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import MAX_PAGE_BYTES, MAX_PAGES
 from ..functions.text import image_path, is_image, natural_key, suffix_of, ustrip
+from ..migrations import VERSION, at_version, version_of
 from ..schemas import migrated, schema
 from .store import Log
 
 
-def stored(spark: SparkSession, root: str, name: str) -> DataFrame:
-    """A stored table by its declared schema, its newest version if it has versions; filters and columns reach the scan."""
+def stored(spark: SparkSession, root: str, name: str, version: int = VERSION) -> DataFrame:
+    """A stored table, of the newest commit if it has commits; filters and columns reach the scan.
+
+    By default with the declared schema. With an older ``version`` of the schema, as a reader of that version knows it.
+    """
     log = Log(spark, f"{root}/{name}/_log")
     number, entry = log.latest()
-    if number:
-        folders = [f"{root}/{name}/{f}" for own in entry["folders"].values() for f in own]
-        return migrated(spark.read.option("mergeSchema", "true").parquet(*folders) if folders else empty(spark, name), name)
-    return migrated(spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}"), name)
+    if not number:
+        found = at_version(spark.read.option("mergeSchema", "true").parquet(f"{root}/{name}"), name, version)
+    else:
+        # One look at a file for each commit's folder tells its version.
+        by_commit: dict[str, list[str]] = {}
+        for own in entry["folders"].values():
+            for folder in own:
+                by_commit.setdefault(folder.split("/bucket_=")[0], []).append(f"{root}/{name}/{folder}")
+        if not by_commit:
+            return empty(spark, name)
+        groups: dict[int, list[str]] = {}
+        for own in by_commit.values():
+            groups.setdefault(version_of(spark.read.parquet(own[0])), []).extend(own)
+        parts = [at_version(spark.read.option("mergeSchema", "true").parquet(*own), name, version) for _, own in sorted(groups.items())]
+        found = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return migrated(found, name) if version == VERSION else found
 
 
 def stored_jdbc(spark: SparkSession, url: str, name: str, properties: dict[str, str], key: str | None = None, bounds: tuple[int, int, int] | None = None) -> DataFrame:

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..migrations import stamped
+
 
 class Files:
     """What the store needs of a file system, by Hadoop's own client, so that any store will do."""
@@ -154,7 +156,7 @@ class Store:
         name = f"data/{uuid.uuid4().hex}"
         columns = [F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]
         # Adaptive execution splits a bucket that is too large for one file and joins small ones.
-        placed = rows.select(*columns, self._bucket(buckets)).hint("rebalance", "bucket_")
+        placed = stamped(rows.select(*columns, self._bucket(buckets)).hint("rebalance", "bucket_"))
         placed.write.partitionBy("bucket_").parquet(f"{self.root}/{name}")
         own = [n for n in self.files.names(f"{self.root}/{name}") if n.startswith("bucket_=")]
         return {int(n.split("=")[1]): [f"{name}/{n}"] for n in own}

@@ -265,3 +265,39 @@ def test_of_two_bulk_validations_one_is_refused(spark, tmp_path, monkeypatch):
     with pytest.raises(Duplicate, match="another validation"):
         validate(root, jobs, mine)
     assert jobs.read().count() == 1 and sinks.revisions_store(spark, root, rows).read().count() == 5
+
+
+# --- Versions of the schema -----------------------------------------------------------------------------------------
+
+
+def test_round_trip_of_schema_versions(spark, tmp_path):
+    from pagewright import migrations as m
+
+    old = spark.createDataFrame([("p", 1, "ocr", True), ("p", 2, "human", False)], "page_id string, revision int, origin string, is_validated boolean")
+    assert m.version_of(old) == 1
+    new = m.at_version(old, "revisions")
+    assert new.columns[-1] == "bulk_validated" and {r.bulk_validated for r in new.collect()} == {False}
+    now = m.stamped(new.unionByName(new.limit(1).withColumns({"revision": F.lit(3), "origin": F.lit("normalized")})))
+    assert m.version_of(now) == m.VERSION
+    assert sorted(tuple(r) for r in m.at_version(now, "revisions", 1).collect()) == sorted(tuple(r) for r in old.collect())
+    assert m.at_version(now, "revisions", 3).count() == 2 and "bulk_validated" in m.at_version(now, "revisions", 3).columns
+    documents = m.stamped(spark.createDataFrame([("d", "preprocessed"), ("e", "new")], "id string, status string"))
+    assert {r.id: r.status for r in m.at_version(documents, "documents", 1).collect()} == {"d": "preprocessing", "e": "new"}
+    with pytest.raises(ValueError):
+        m.at_version(old, "revisions", m.VERSION + 1)
+
+
+def test_files_of_two_versions_are_read_as_one(spark, tmp_path, monkeypatch):
+    from pagewright import migrations as m
+    from pagewright.sources import store as store_module
+
+    root = str(tmp_path)
+    first = spark.createDataFrame([("p", 1, "ocr")], "page_id string, revision int, origin string")
+    with monkeypatch.context() as old:
+        old.setattr(store_module, "stamped", lambda df: m.stamped(df, 2))
+        sinks.append_revisions(root, first)
+    sinks.append_revisions(root, spark.createDataFrame([("p", 2, "normalized", True), ("q", 1, "human", True)], "page_id string, revision int, origin string, bulk_validated boolean"))
+    got = files.stored(spark, root, "revisions")
+    assert {(r.page_id, r.revision): r.bulk_validated for r in got.collect()} == {("p", 1): False, ("p", 2): True, ("q", 1): True}
+    before = files.stored(spark, root, "revisions", version=2)
+    assert {(r.page_id, r.revision) for r in before.collect()} == {("p", 1), ("q", 1)} and "bulk_validated" not in before.columns
