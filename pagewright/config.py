@@ -81,4 +81,4 @@ class Settings:
     second_pass_below: float = 0.5
     top_k: int = 5
     max_edge_px: int = 1600
-    contrast: str = "none"
+    contrast: str = "clahe"

@@ -58,12 +58,12 @@ def denoised(image: np.ndarray, size: int = 5, sigma: float = 50.0) -> np.ndarra
     return np.clip(np.rint(total / weight), 0, 255).astype(np.uint8)
 
 
-def contrasted(image: np.ndarray, mode: str = "none") -> np.ndarray:
+def contrasted(image: np.ndarray, mode: str = "clahe") -> np.ndarray:
     if mode == "none":
         return image
     if mode == "clahe":
         return clahe(image)
-    if mode == "threshold":
+    if mode == "adaptive_threshold":
         return adaptive_threshold(image)
     raise ValueError(f"no such contrast: {mode!r}")
 
@@ -151,7 +151,7 @@ def skew(image: np.ndarray) -> float:
     return float(angles[best]) if sharp[best] >= PEAK * np.median(sharp) else 0.0
 
 
-def preprocessed(image: np.ndarray, max_edge: int = 1600, denoise: bool = True, deskew: bool = True, contrast: str = "none") -> tuple[np.ndarray, float, list[str]]:
+def preprocessed(image: np.ndarray, max_edge: int = 1600, denoise: bool = True, deskew: bool = True, contrast: str = "clahe") -> tuple[np.ndarray, float, list[str]]:
     """The page made ready, its tilt, and the steps that were applied."""
     steps, out, tilt = ["gray"], gray(image), 0.0
     if denoise:

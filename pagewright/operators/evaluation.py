@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import RANKS
 from ..functions.distance import edit_distance
-from ..functions.text import fractions, layout_normalised, mark, number_normalised, number_tokens, percent_label
+from ..functions.text import first_accepted, fractions, layout_normalised, mark, number_normalised, number_tokens, percent_label
 from ..session import with_code
 
 #: Up to so many questions travel to all executors.
@@ -167,3 +167,12 @@ def exact_answers(results: DataFrame) -> DataFrame:
     """One row: the share of answered questions (answer) in whose answer an accepted value (found) stands; null without any."""
     answered = F.when(F.col("answer").isNotNull(), F.col("found").isNotNull().cast("double"))
     return results.agg(F.avg(answered).alias("exact_answers"))
+
+
+def question_results(questions: DataFrame, ranks: DataFrame, answers: DataFrame) -> DataFrame:
+    """query_id, rank, answer, found: the first accepted value that a question's answer holds, beside its rank.
+
+    ``questions``: query_id, values; ``ranks`` as first_expected_rank gives them; ``answers``: query_id, answer (null: not asked).
+    """
+    rows = questions.select("query_id", "values").join(ranks, "query_id", "left").join(answers.select("query_id", "answer"), "query_id", "left")
+    return rows.select("query_id", "rank", "answer", F.when(F.col("answer").isNotNull(), first_accepted(F.col("answer"), F.col("values"))).alias("found"))

@@ -13,6 +13,7 @@ from .functions import text as T
 from .functions.edits import Tracked
 from .functions.models import embedded, generated
 from .operators import breaks, divergence, evaluation, jobs, labels, layout, review, search, tables
+from .plans.evaluation import controls_passed
 from .plans.report import levels
 from .plans.validation import validation
 from .session import shared_dir
@@ -528,6 +529,24 @@ def _(spark, d):
     return ranks(spark, d).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+# The stand-in model answers with the beginning of what it is given. Accepted values: a short word of each language.
+CONTEXTS = """p AS (SELECT query_id, rank, chunk_id, '[' || rank || '] page ' || (chunk_id % 10 + 1) || ' du document ' || (chunk_id // 10) || E'\\n' || text AS passage FROM hits JOIN documents ON doc_id = chunk_id),
+ u AS (SELECT *, sum(length(passage) + 2) OVER (PARTITION BY query_id ORDER BY rank) - 2 AS used FROM p), k AS (SELECT query_id, rank, CASE WHEN used <= 4000 THEN passage ELSE left(passage, 3946) || '[passage coupé : trop long pour le contexte du modèle]' END AS passage FROM u WHERE used <= 4000 OR rank = 1),
+ contexts AS (SELECT query_id, string_agg(passage, E'\\n\\n' ORDER BY rank) AS context FROM k GROUP BY query_id)"""
+ACCEPTED = (" de ", " the ", " der ", " que ")
+
+
+@query("ret_eval_questions", f"""WITH {SCORED}, {EXPECTED}, {CONTEXTS}, ranks AS (SELECT query_id, min(rank) AS rank FROM (SELECT DISTINCT query_id FROM knn) LEFT JOIN (SELECT h.query_id, rank FROM hits h JOIN expected USING (query_id, chunk_id)) USING (query_id) GROUP BY query_id),
+asked AS (SELECT query_id, rank, left(context || E'\\n\\n' || text, 120) AS answer FROM ranks LEFT JOIN contexts USING (query_id) LEFT JOIN benchmark ON item_id = query_id),
+answered AS (SELECT *, regexp_replace(regexp_replace(lower(answer), '([0-9])[ .\u00a0\u202f]+([0-9])', '\\1\\2', 'g'), '\\s+', ' ', 'g') AS t FROM asked)
+SELECT query_id, rank, answer, CASE {' '.join(f"WHEN contains(t, '{v}') THEN '{v}'" for v in ACCEPTED)} END AS found FROM answered""")
+def _(spark, d):
+    questions = views.questions(spark, d).select("query_id", "question", F.array(*(F.lit(v) for v in ACCEPTED)).alias("values"))
+    asked = search.prompts(questions, search.context(hits(spark, d), 4000), RULES)
+    answers = generated(asked, lambda: lambda prompts: [p[len(RULES) + 2 :][:120] for p in prompts], 100_000)
+    return evaluation.question_results(questions, ranks(spark, d), answers).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query("agg_recall_at_k", f"WITH {SCORED}, {EXPECTED}, r AS (SELECT query_id, min(rank) AS rank FROM (SELECT DISTINCT query_id FROM knn) LEFT JOIN (SELECT h.query_id, rank FROM hits h JOIN expected USING (query_id, chunk_id)) USING (query_id) GROUP BY query_id) SELECT k, avg((coalesce(rank <= k, false))::int)::double AS recall FROM r, (VALUES (1), (3), (5), (10)) v(k) GROUP BY k")
 def _(spark, d):
     return evaluation.recall_at(ranks(spark, d))
@@ -666,6 +685,73 @@ def _(spark, d):
     return evaluation.consumed(expected, have).groupBy("page_id").agg(F.count_if("found").alias("found"), F.count(F.lit(1)).alias("expected"))
 
 
+# Pages of fractions: nations as controls, suppliers as what their pages list. Each page ends with a whole, so that segments close.
+FRACTIONS = """lots AS (SELECT s_nationkey AS nation, s_nationkey * 4 + s_suppkey % 4 + 1 AS page_number, s_suppkey, s_suppkey % 900 + 1 AS value FROM supplier WHERE s_suppkey % 17 <> 0),
+ listed AS (SELECT nation, page_number, row_number() OVER (PARTITION BY nation ORDER BY page_number, s_suppkey) AS lot, value, s_suppkey, page_number - nation * 4 - 1 AS place FROM lots)"""
+
+
+def fraction_pages(spark, d):
+    s = table(spark, d, "supplier").filter("s_suppkey % 17 <> 0").select(F.col("s_nationkey").alias("nation"), (F.col("s_nationkey") * 4 + F.col("s_suppkey") % 4 + 1).cast("int").alias("page_number"), "s_suppkey", (F.col("s_suppkey") % 900 + 1).alias("value"))
+    own = s.groupBy("nation", "page_number").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", "value"))).alias("lots"))
+    written = F.transform("lots", lambda x: F.concat(F.lit("lot "), x["value"].cast("string"), F.lit(" / 1.000")))
+    return own.select("nation", "page_number", F.concat(F.array_join(written, ", "), F.lit(" total 1000/1000 et 5/12")).alias("text"))
+
+
+@query("fn_fractions", f"WITH {FRACTIONS} SELECT page_number, string_agg(value::varchar, ',' ORDER BY s_suppkey) || ',1000' AS numerators FROM listed GROUP BY page_number")
+def _(spark, d):
+    found = T.fractions(F.col("text"), F.lit(1000).cast("bigint"))
+    return fraction_pages(spark, d).select(F.col("page_number").cast("bigint").alias("page_number"), F.array_join(F.transform(found, lambda n: n.cast("string")), ",").alias("numerators"))
+
+
+# Each nation declares its four pages as tables; every third states one lot too many, pages that no supplier has are missing.
+DECLARED = """declared AS (SELECT nation, unnest(range(4)) AS segment FROM (SELECT DISTINCT nation FROM lots)),
+ seen AS (SELECT nation, dense_rank() OVER (PARTITION BY nation ORDER BY page_number) - 1 AS segment, count(*) AS lots, sum(value)::bigint AS total FROM listed GROUP BY nation, page_number),
+ absent AS (SELECT nation, string_agg(p::varchar, ',' ORDER BY p) AS missing FROM (SELECT DISTINCT nation, unnest(range(nation * 4 + 1, nation * 4 + 5)) AS p FROM lots) WHERE p NOT IN (SELECT page_number FROM lots) GROUP BY nation),
+ judged AS (SELECT d.nation AS control, d.segment, coalesce(s.lots, 0) AS lots_read, coalesce(s.total, 0)::bigint AS total_read, s.lots IS NOT NULL AS closed, coalesce(missing, '') AS missing_pages,
+  missing IS NULL AND s.lots IS NOT NULL AND s.lots = coalesce(s.lots, 0) + CASE WHEN d.nation % 3 = 0 AND d.segment = 1 THEN 1 ELSE 0 END AS passed FROM declared d LEFT JOIN seen s USING (nation, segment) LEFT JOIN absent a ON a.nation = d.nation)"""
+
+
+def declared_tables(spark, d):
+    pages = fraction_pages(spark, d)
+    controls = pages.select("nation").distinct().select(F.col("nation").alias("control"), (F.col("nation") * 4 + 1).cast("int").alias("first_page"), (F.col("nation") * 4 + 4).cast("int").alias("last_page"), F.lit(1000).cast("bigint").alias("denominator"))
+    own = pages.withColumn("n", T.fractions(F.col("text"), F.lit(1000).cast("bigint"))).select("nation", "page_number", (F.size("n") - 1).cast("bigint").alias("lots"), (F.aggregate("n", F.lit(0).cast("bigint"), lambda a, x: a + x) - 1000).alias("total"))
+    from pyspark.sql import Window
+
+    place = own.withColumn("segment", (F.row_number().over(Window.partitionBy("nation").orderBy("page_number")) - 1).cast("bigint"))
+    four = controls.select("control", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(3).cast("bigint"))).alias("segment"))
+    stated = four.join(place.withColumnRenamed("nation", "control"), ["control", "segment"], "left")
+    more = F.when((F.col("control") % 3 == 0) & (F.col("segment") == 1), 1).otherwise(0)
+    declared = stated.select("control", "segment", F.col("segment").cast("string").alias("name"), (F.coalesce("lots", F.lit(0)) + more).cast("bigint").alias("lots"), F.coalesce("total", F.lit(0)).cast("bigint").alias("total"))
+    return evaluation.table_controls(pages.select("page_number", "text"), controls, declared)
+
+
+@query("chk_tables", f"WITH {FRACTIONS}, {DECLARED} SELECT * FROM judged")
+def _(spark, d):
+    rows = declared_tables(spark, d)
+    return rows.select("control", "segment", "lots_read", "total_read", "closed", F.array_join(F.transform("missing_pages", lambda p: p.cast("string")), ",").alias("missing_pages"), "passed")
+
+
+NUMBERS = "e AS (SELECT l_orderkey AS page_id, l_quantity::bigint AS q, row_number() OVER (PARTITION BY l_orderkey, l_quantity::bigint) AS nth FROM lineitem), a AS (SELECT l_suppkey * 4 AS page_id, l_quantity::bigint AS q, count(*) AS n FROM lineitem GROUP BY ALL), numbers AS (SELECT e.page_id, count(*) FILTER (WHERE nth <= coalesce(n, 0)) AS found, count(*) FILTER (WHERE nth > coalesce(n, 0)) AS missing, e.page_id NOT IN (SELECT page_id FROM a) AS page_missing FROM e LEFT JOIN a USING (page_id, q) GROUP BY e.page_id)"
+
+
+def expected_numbers(spark, d):
+    li = table(spark, d, "lineitem").withColumn("quantity", F.col("l_quantity").cast("bigint").cast("string"))
+    expected = li.select(F.lit("quantities").alias("control"), F.col("l_orderkey").alias("page_id"), F.monotonically_increasing_id().alias("position"), F.col("quantity").alias("value"))
+    pages = li.groupBy((F.col("l_suppkey") * 4).alias("page_id")).agg(F.array_join(F.collect_list("quantity"), " ; ").alias("text"))
+    return evaluation.expected_number_controls(expected, pages)
+
+
+@query("chk_expected_numbers", f"WITH {NUMBERS} SELECT page_id, found, missing, page_missing, NOT page_missing AND missing = 0 AS passed FROM numbers")
+def _(spark, d):
+    rows = expected_numbers(spark, d)
+    return rows.select("page_id", F.size("found").cast("bigint").alias("found"), F.size("missing").cast("bigint").alias("missing"), "page_missing", "passed")
+
+
+@query("agg_controls_pass", f"WITH {FRACTIONS}, {DECLARED}, {NUMBERS} SELECT (SELECT count(*) FROM judged WHERE passed) + (SELECT count(*) FROM numbers WHERE NOT page_missing AND missing = 0) AS passed, (SELECT count(*) FROM judged) + (SELECT count(*) FROM numbers) AS total")
+def _(spark, d):
+    return controls_passed(declared_tables(spark, d), expected_numbers(spark, d))
+
+
 @query("win_segments", """WITH v AS (SELECT l_orderkey AS control, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS position, l_linenumber * 100 AS value FROM lineitem),
 s AS (SELECT *, coalesce(sum((value = 300)::int) OVER (PARTITION BY control ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS segment FROM v)
 SELECT control, segment, count(*) FILTER (WHERE value <> 300) AS lots, coalesce(sum(value) FILTER (WHERE value <> 300), 0)::bigint AS total, bool_or(value = 300) AS closed FROM s GROUP BY 1, 2""")

@@ -268,11 +268,11 @@ def test_images(spark):
         assert abs(images.skew(images.rotated(page, tilt))) <= 0.5
     with pytest.raises(ValueError):
         images.contrasted(striped(0), "other")
-    assert set(np.unique(images.contrasted(striped(0), "threshold"))) <= {0, 255} and images.contrasted(striped(0), "clahe").shape == (400, 300)
+    assert set(np.unique(images.contrasted(striped(0), "adaptive_threshold"))) <= {0, 255} and images.contrasted(striped(0), "clahe").shape == (400, 300)
     page = striped(0)
     rows = spark.createDataFrame([(400, 300, 1, bytearray(page.tobytes()))], "height int, width int, nChannels int, data binary")
     got = images.preprocessed_images(rows, max_edge=200).first().page
-    assert (got.height, got.width) == (200, 150) and got.steps == ["gray", "denoise", "downscale"] and got.pixel_ratio == 0.25
+    assert (got.height, got.width) == (200, 150) and got.steps == ["gray", "denoise", "clahe", "downscale"] and got.pixel_ratio == 0.25
 
 
 def test_pipeline_resumes(spark):
