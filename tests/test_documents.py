@@ -272,7 +272,7 @@ def test_images(spark):
     page = striped(0)
     rows = spark.createDataFrame([(400, 300, 1, bytearray(page.tobytes()))], "height int, width int, nChannels int, data binary")
     got = images.preprocessed_images(rows, max_edge=200).first().page
-    assert (got.height, got.width) == (200, 150) and got.steps == ["gray", "denoise", "clahe", "downscale"] and got.pixel_ratio == 0.25
+    assert (got.height, got.width) == (200, 150) and got.steps == ["gray", "denoise", "downscale", "clahe"] and got.pixel_ratio == 0.25
 
 
 def test_pipeline_resumes(spark):
