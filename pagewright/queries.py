@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import SCORES, VECTOR_FACTOR
+from .functions import edits
 from .functions import text as T
-from .functions.edits import Tracked
 from .functions.models import embedded, generated
 from .operators import breaks, divergence, evaluation, jobs, labels, layout, review, search, tables
 from .plans.evaluation import controls_passed
@@ -892,17 +892,40 @@ def _(spark, d):
     return summaries(spark, d).filter("score < 0.5").select("page_id", "score")
 
 
-@query("fn_apply_edits", "SELECT doc_id, '***' || substr(text, 4) AS text FROM documents")
+# Two rewrites of each text of 20 characters or more, one after the other; shorter ones stay.
+FIRST_EDITS, LATER_EDITS = ((10, 14, ""), (0, 3, "***"), (20, 20, "_")), ((5, 5, "<b>"), (0, 1, ""))
+REWRITTEN = """d AS (SELECT doc_id, text, length(text) >= 20 AS long FROM documents), e AS (SELECT doc_id, long, CASE WHEN long THEN '***' || substr(text, 4, 7) || substr(text, 15, 6) || '_' || substr(text, 21) ELSE text END AS text FROM d)"""
+MOVED_ONCE = "CASE WHEN {p} < 3 THEN 0 WHEN {p} < 10 THEN {p} WHEN {p} < 14 THEN 10 WHEN {p} < 20 THEN {p} - 4 ELSE {p} - 3 END"
+MOVED_TWICE = "CASE WHEN {p} < 1 THEN 0 WHEN {p} < 5 THEN {p} - 1 ELSE {p} + 2 END"
+
+
+def edit_columns(text):
+    kind = "array<struct<start:int,end:int,replacement:string>>"
+    listed = lambda edits: F.array(*(F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("replacement")) for a, b, c in edits))
+    return [F.when(F.char_length(text) >= 20, listed(edits)).otherwise(F.array().cast(kind)).cast(kind) for edits in (FIRST_EDITS, LATER_EDITS)]
+
+
+def rewrites(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", "text").withColumns(dict(zip(("a", "b"), edit_columns(F.col("text")))))
+    once = rows.withColumn("a", edits.ordered(F.col("a"), F.col("text"))).withColumn("once", edits.rewritten(F.col("text"), F.col("a")))
+    return once.withColumn("b", edits.ordered(F.col("b"), F.col("once"))).withColumns({"start": F.col("doc_id").cast("int") % 25, "end": F.least(F.col("doc_id").cast("int") % 25 + 4, F.char_length("text"))})
+
+
+@query("fn_apply_edits", f"WITH {REWRITTEN} SELECT doc_id, text FROM e")
 def _(spark, d):
-    from .session import with_code
+    return rewrites(spark, d).select("doc_id", F.col("once").alias("text"))
+
 
-    with_code(spark)
+@query("fn_remap_span", f"SELECT doc_id, CASE WHEN length(text) >= 20 THEN {MOVED_ONCE.format(p='(doc_id % 25)')} ELSE doc_id % 25 END::int AS start, CASE WHEN length(text) >= 20 THEN {MOVED_ONCE.format(p='least(doc_id % 25 + 4, length(text))')} ELSE least(doc_id % 25 + 4, length(text)) END::int AS \"end\" FROM documents")
+def _(spark, d):
+    return rewrites(spark, d).select("doc_id", edits.moved_span(F.col("start"), F.col("end"), F.col("a")).alias("s")).select("doc_id", "s.*")
 
-    @F.pandas_udf("string")
-    def shout(texts):
-        return texts.map(lambda t: Tracked(t).edited([(0, min(3, len(t)), "***")]).text)
 
-    return table(spark, d, "documents").select("doc_id", shout("text").alias("text"))
+@query("fn_compose_rewrite", f"""WITH {REWRITTEN}, p AS (SELECT doc_id, length(text) >= 20 AS long, {MOVED_ONCE.format(p='(doc_id % 25)')} AS q, doc_id % 25 AS p FROM documents)
+SELECT e.doc_id, CASE WHEN e.long THEN substr(e.text, 2, 4) || '<b>' || substr(e.text, 6) ELSE e.text END AS text, CASE WHEN p.long THEN {MOVED_TWICE.format(p='q')} ELSE p END::int AS start FROM e JOIN p USING (doc_id)""")
+def _(spark, d):
+    rows = rewrites(spark, d)
+    return rows.select("doc_id", edits.rewritten(F.col("once"), F.col("b")).alias("text"), edits.moved_span(F.col("start"), F.col("start"), F.col("a"), F.col("b"))["start"].alias("start"))
 
 
 # The text pages as a typewriter leaves them: words cut at line ends, pages with their number above or below, the last word of a page cut too.

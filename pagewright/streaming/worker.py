@@ -137,16 +137,24 @@ def job_events(spark: SparkSession, folder: str, files: int = 1) -> DataFrame:
 
 
 def worked(events: DataFrame, late: str = "0 seconds") -> DataFrame:
-    """Status events (queue, job_id, document_id, kind, status, at, seq, error) of the jobs of a stream of EVENTS; ``seq`` counts by queue."""
-    spark = with_code(events.sparkSession)
-    spark.conf.set(*PROVIDER)
+    """Status events (queue, job_id, document_id, kind, status, at, seq, error) of the jobs of a stream of EVENTS; ``seq`` counts by queue.
+
+    The session that starts the query needs the state store of PROVIDER.
+    """
+    with_code(events.sparkSession)
     timed = events.withWatermark("at", late)
     return timed.groupBy("queue").transformWithStateInPandas(SerialWorker(), outputStructType=STATUS, outputMode="Append", timeMode="EventTime")
 
 
 def run_worker(events: DataFrame, out: str, checkpoint: str, late: str = "0 seconds", seconds: int = 600) -> DataFrame:
     """Works off what there is, and returns all status events so far; going on from the checkpoint, each comes once."""
-    query = worked(events, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    conf = events.sparkSession.conf
+    before = conf.get(PROVIDER[0], None)
+    conf.set(*PROVIDER)
+    try:  # a query takes its settings along when it starts
+        query = worked(events, late).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.unset(PROVIDER[0]) if before is None else conf.set(PROVIDER[0], before)
     if not query.awaitTermination(seconds):
         query.stop()
         raise TimeoutError("the stream didn't end in time")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pagewright.functions import images
+from pagewright.functions import edits, images
 from pagewright.functions import text as T
 from pagewright.functions.edits import Tracked
 from pagewright.functions.models import batches, embedded, generated, transcribed
@@ -111,6 +111,30 @@ def laid(*texts, known=(), locked=()):
     return {p.number: p for p in layout.laid_out([(i, t, i not in locked) for i, t in enumerate(texts, 1)], known)}
 
 
+def test_edit_columns_are_tracked_edits(spark):
+    rng, rows = random.Random(13), []
+    for k in range(120):
+        text, at, own = "".join(rng.choice("abé😀\n") for _ in range(rng.randrange(0, 30))), 0, []
+        while at <= len(text) and rng.random() < 0.8:
+            start = rng.randrange(at, len(text) + 1)
+            end = rng.randrange(start, min(len(text), start + 5) + 1)
+            if own and (start, end) == own[-1][:2]:
+                break
+            own.append((start, end, rng.choice(["", "x", "yy", "😀"])))
+            at = end
+        rng.shuffle(own)
+        rows.append((k, text, own))
+    kind = "array<struct<start:int,end:int,replacement:string>>"
+    df = spark.createDataFrame(rows, f"k int, text string, edits {kind}").withColumn("edits", edits.ordered(F.col("edits"), F.col("text")))
+    places = F.transform(F.sequence(F.lit(0), F.char_length("text")), lambda p: edits.moved(p, F.col("edits")))
+    for r in df.select("k", edits.rewritten(F.col("text"), F.col("edits")).alias("text"), places.alias("map")).collect():
+        want = Tracked(rows[r.k][1]).edited(rows[r.k][2])
+        assert (r.text, r.map) == (want.text, want.map)
+    for bad in ([(0, 3, ""), (2, 4, "")], [(0, 99, "")]):
+        with pytest.raises(Exception, match="overlaps"):
+            spark.createDataFrame([("hello", bad)], f"text string, edits {kind}").select(edits.ordered(F.col("edits"), F.col("text"))).collect()
+
+
 def test_layout_rules():
     assert laid("Le contrat-\nne contenait pas, ne dit rien au contrat.")[1].text == "Le contrat ne contenait pas, ne dit rien au contrat."
     assert laid("Une exis-\ntence longue")[1].text == "Une existence longue"
