@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import SCORES, VECTOR_FACTOR
+from .config import NO_PASSAGE, SCORES, VECTOR_FACTOR
 from .functions import edits
 from .functions import text as T
 from .functions.models import embedded, generated
@@ -474,12 +474,18 @@ def _(spark, d):
     return table(spark, d, "benchmark").select("item_id", T.context_budget(T.prompt_budget(8192, 512), RULES, F.col("text")).cast("bigint").alias("budget"))
 
 
-@query("ret_answer")
+# The stand-in model answers with the length of its prompt.
+@query("ret_answer", f"""WITH {SCORED}, q AS (SELECT item_id AS query_id, text AS question, {T.prompt_budget(8192, 512) - len(RULES) - 4} - length(text) AS budget FROM benchmark WHERE item_id IN (SELECT vec_id FROM embeddings)),
+ p AS (SELECT query_id, budget, rank, chunk_id, '[' || rank || '] page ' || (chunk_id % 10 + 1) || ' du document ' || (chunk_id // 10) || E'\\n' || text AS passage FROM hits JOIN documents ON doc_id = chunk_id JOIN q USING (query_id)),
+ u AS (SELECT *, sum(length(passage) + 2) OVER (PARTITION BY query_id ORDER BY rank) - 2 AS used FROM p), k AS (SELECT query_id, rank, chunk_id, CASE WHEN used <= budget THEN length(passage) ELSE budget END AS size FROM u WHERE used <= budget OR rank = 1),
+ c AS (SELECT query_id, sum(size) + 2 * (count(*) - 1) AS size, string_agg(chunk_id::varchar, ',' ORDER BY rank) AS sources FROM k GROUP BY query_id)
+SELECT query_id, ({len(RULES)} + 4 + size + length(question))::bigint || ' caractères' AS answer, CASE WHEN size IS NULL THEN '{NO_PASSAGE}' END AS fixed_answer, coalesce(sources, '') AS sources FROM q LEFT JOIN c USING (query_id)""")
 def _(spark, d):
     questions = views.questions(spark, d)
     budgets = questions.select("query_id", T.context_budget(T.prompt_budget(8192, 512), RULES, F.col("question")).alias("budget"))
     rows = search.prompts(questions, search.context(hits(spark, d).join(budgets, "query_id"), F.col("budget")), RULES)
-    return generated(rows, lambda: lambda prompts: [f"{len(p)} caractères" for p in prompts], 100_000).select("query_id", "answer", "fixed_answer", "sources")
+    answers = generated(rows, lambda: lambda prompts: [f"{len(p)} caractères" for p in prompts], 100_000)
+    return answers.select("query_id", "answer", "fixed_answer", F.array_join("sources", ",").alias("sources"))
 
 
 @query("agg_exact_answers", "SELECT avg((contains(lower(text), ' the ') OR contains(lower(text), ' de '))::int)::double AS exact_answers FROM benchmark")
@@ -603,10 +609,11 @@ def _(spark, d):
     return sinks.revisions_store(spark, root, rows).read().select("page_id", "revision", "origin")
 
 
-@query("src_embed_http")
+@query("src_embed_http", "SELECT doc_id AS chunk_id, length(text)::double AS letters, (length(text) - length(replace(text, ' ', '')))::double AS spaces, 1.0::double AS one FROM documents")
 def _(spark, d):
     pages = views.text_pages(spark, d)
-    return embedded(pages, lambda: lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts], 3).select("chunk_id", "embedding")
+    rows = embedded(pages, lambda: lambda texts: [[float(len(t)), float(t.count(" ")), 1.0] for t in texts], 3)
+    return rows.select("chunk_id", *(F.col("embedding")[k].cast("double").alias(name) for k, name in enumerate(("letters", "spaces", "one"))))
 
 
 # --- Text and evaluation --------------------------------------------------------------------------------------------
