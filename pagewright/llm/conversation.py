@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -48,7 +49,9 @@ START, SYSTEM, USER, ASSISTANT = range(4)
 #: What may come after each state, by the initial that is read.
 NEXT = ({"s": SYSTEM, "u": USER}, {"u": USER}, {"a": ASSISTANT}, {"u": USER})
 TURN = {"u": "user", "a": "assistant"}
-Layer = list["tuple[int, str] | None"]
+Layer = tuple["tuple[int, str] | None", ...]
+#: Most conversations are short and alike: steps of audits up to this length are kept, so many at most in a worker.
+SHORT, KEPT = 16, 50_000
 
 
 def closed(layer: Layer, cost: int) -> Layer:
@@ -61,13 +64,19 @@ def closed(layer: Layer, cost: int) -> Layer:
                     to = NEXT[state].get(initial)
                     if to is not None:
                         grown[to] = min(x for x in (grown[to], (best[0] + cost, best[1] + "I")) if x)
-        layer = grown
+        layer = tuple(grown)
     return layer
 
 
 def step(layer: Layer, initial: str, fault: str, times: int, p: RepairParams) -> Layer:
+    """One row more, from what is kept where the layer is short."""
+    short = max(len(best[1]) if best else 0 for best in layer) <= SHORT
+    return (_kept_step if short and times == 1 else _step)(layer, initial, fault, times, p)
+
+
+def _step(layer: Layer, initial: str, fault: str, times: int, p: RepairParams) -> Layer:
     """One row more: deleted, kept or given the role that the grammar asks for, then closed. Its repeats must go."""
-    after: Layer = [best and (best[0] + p.delete, best[1] + "D") for best in layer]
+    after = [best and (best[0] + p.delete, best[1] + "D") for best in layer]
     if fault not in ("blank", "duplicate"):
         extra = p.truncated if fault == "truncated" else 0
         for state, best in enumerate(layer):
@@ -81,12 +90,15 @@ def step(layer: Layer, initial: str, fault: str, times: int, p: RepairParams) ->
     if times > 1:
         # Insertions before a deletion sort behind those after it, so the layer is closed once, at the end.
         after = [best and (best[0] + p.delete * (times - 1), best[1] + "D" * (times - 1)) for best in after]
-    return closed(after, p.insert)
+    return closed(tuple(after), p.insert)
+
+
+_kept_step = lru_cache(KEPT)(_step)
 
 
 def applied(layer: Layer, table: list[Layer]) -> Layer:
     """The layer after a stretch: from each state to each state."""
-    out: Layer = [None] * 4
+    out: list = [None] * 4
     for best, row in zip(layer, table):
         if best:
             for to, way in enumerate(row):
@@ -94,7 +106,7 @@ def applied(layer: Layer, table: list[Layer]) -> Layer:
                     new = (best[0] + way[0], best[1] + way[1])
                     if out[to] is None or new < out[to]:
                         out[to] = new
-    return out
+    return tuple(out)
 
 
 KEY = ("conv_id", "turn", "role", "digest")
@@ -139,16 +151,19 @@ def faults(rows: DataFrame) -> DataFrame:
 
 def _stretches(p: RepairParams):
     def run(batches):
-        held = _Stretch(p)
-        for batch in batches:
-            for row in batch.itertuples(index=False, name=None):
-                if held.n and (held.n == p.stretch or row[0] != held.conv):
-                    yield pd.DataFrame([held.out()])
-                if not held.n:
-                    held.begin(row)
-                held.add(row)
-        if held.n:
-            yield pd.DataFrame([held.out()])
+        def rows():
+            held = _Stretch(p)
+            for batch in batches:
+                for row in batch.itertuples(index=False, name=None):
+                    if held.n and (held.n == p.stretch or row[0] != held.conv):
+                        yield held.out()
+                    if not held.n:
+                        held.begin(row)
+                    held.add(row)
+            if held.n:
+                yield held.out()
+
+        yield from _blocks(rows(), [c.split(" ")[0] for c in STRETCHES.split(", ")], 200)
 
     return run
 
@@ -162,7 +177,7 @@ class _Stretch:
     def begin(self, row) -> None:
         # A conversation that follows another one of this task begins here; any other may go on from any state.
         entries = (START,) if self.conv is not None and self.conv != row[0] else range(4)
-        self.table = [closed([(0, "") if i == k else None for i in range(4)], self.p.insert) if k in entries else None for k in range(4)]
+        self.table = [closed(tuple((0, "") if i == k else None for i in range(4)), self.p.insert) if k in entries else None for k in range(4)]
         self.key, self.conv, self.first, self.last, self.illegal = row[:4], row[0], row[2][:1], None, 0
         self.counts = dict.fromkeys(COUNTS, 0)
 
@@ -189,14 +204,14 @@ class _Conversation:
     """One conversation in its last task: its stretches first, then its rows as stored, one at a time."""
 
     def __init__(self, conv: str) -> None:
-        self.conv, self.layer, self.audit = conv, [(0, ""), None, None, None], None
+        self.conv, self.layer, self.audit = conv, ((0, ""), None, None, None), None
         self.counts, self.illegal, self.last = dict.fromkeys(COUNTS, 0), 0, None
         self.low = self.high = None
         self.turns, self.state, self.at = 0, START, 0
 
     def stretch(self, row) -> None:
         flat = [(int(c), a) if c >= 0 else None for c, a in zip(row.costs, row.audits)]
-        self.layer = applied(self.layer, [flat[k : k + 4] for k in range(0, 16, 4)])
+        self.layer = applied(self.layer, [tuple(flat[k : k + 4]) for k in range(0, 16, 4)])
         for c in COUNTS:
             self.counts[c] += int(getattr(row, f"n_{c}"))
         self.illegal += int(row.n_illegal) + (self.last is not None and self.last + row.first not in PAIRS)
