@@ -1,14 +1,16 @@
 """Quality rules: per-text digests and cross-document line frequency, in DataFrame functions only.
 
 Base rules come from the text alone: too few words, or too many words inside repeated three-word windows.
-The method proper hashes every normalised line, counts in how many distinct texts of one host (``source``) it
-stands, takes away the lines above a limit, and rejects documents of which too little is left. Exact copies of a
-text count once, so that a copied document isn't taken for boilerplate (copies are the joins' business), and the
-document that carries a line first (the smallest doc_id) isn't charged for it and keeps it. ``quality_filter`` returns
-the texts without the lines that are charged; n_chars (where there is one of a whole-number type) follows the text.
+The method proper hashes every normalised line, counts in how many distinct documents of one host (``source``) it
+stands, takes away the lines above the host's limit (a share of its documents, between a floor and a ceiling), and
+rejects documents of which too little is left. The document that carries a line first (the smallest doc_id) isn't
+charged for it and keeps it, and so do exact copies of that document, so that a copied document isn't taken for
+boilerplate (copies are the joins' business). ``quality_filter`` returns the texts without the lines that are charged;
+n_chars (where there is one of a whole-number type) follows the text.
 
 Defined results: null text is an empty text (0 words, fails the base rules); a null source is a host of its own;
-repeated rows give repeated result rows; an empty table gives an empty result; columns other than doc_id, text and
+repeated rows give repeated result rows and count as one document; a null doc_id is an id like others where documents
+are counted, its rows are never charged; an empty table gives an empty result; columns other than doc_id, text and
 source are neither read nor returned. A window's hash leaves its low bits to the window's number (64 - log2(n) bits
 are compared), so in a text of about a million words n_repeat_words may count a chance match.
 """
@@ -27,8 +29,11 @@ from .common import SPACES, Scratch, fresh, texts
 class QualityParams:
     min_words: int = 50
     max_repeat_percent: int = 50
-    #: A line in more distinct texts of one host than this is boilerplate.
-    max_texts_per_host: int = 100
+    #: A line in more documents of one host than its limit is boilerplate: this share of the host's documents,
+    #: at least ``min_docs_per_host`` and at most ``max_docs_per_host``.
+    host_share: float = 0.02
+    min_docs_per_host: int = 20
+    max_docs_per_host: int = 100
     #: A document is depleted when less than this share of its line characters is left.
     min_left: float = 0.5
 
@@ -64,11 +69,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def frequent_lines(rows: DataFrame, params: QualityParams) -> DataFrame:
-    """host, hash and first document of the lines above the limit."""
-    lines = rows.select("host", "text_hash", "doc_id", F.explode("lines").alias("line")).select("host", "text_hash", "doc_id", F.col("line.hash").alias("hash"))
-    # A row for each line and text first, so that a line in a third of all rows is summed on the map side.
-    by_text = lines.groupBy("host", "hash", "text_hash").agg(F.min("doc_id").alias("first_doc"))
-    return by_text.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_texts"), F.min("first_doc").alias("first_doc")).filter(F.col("n_texts") > params.max_texts_per_host).select("host", "hash", "first_doc")
+    """host, hash and the first document's text (by hash) of the lines above the limit of their host."""
+    lines = rows.select("host", "text_hash", "doc_id", F.explode(F.array_distinct("lines.hash")).alias("hash"))
+    # A row for each line and document first, so that a line in a third of all rows is summed on the map side.
+    by_doc = lines.groupBy("host", "hash", "doc_id").agg(F.min("text_hash").alias("text_hash"))
+    # Nothing below the floor meets the hosts' sizes: few rows of all, one host's included.
+    counted = by_doc.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct("doc_id", "text_hash")).alias("first")).filter(F.col("n_docs") > min(params.min_docs_per_host, params.max_docs_per_host))
+    hosts = rows.select("host", "doc_id").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    limit = F.least(F.lit(float(params.max_docs_per_host)), F.greatest(F.lit(float(params.min_docs_per_host)), params.host_share * F.col("host_docs")))
+    return counted.join(hosts, "host").filter(F.col("n_docs") > limit).select("host", "hash", F.col("first.text_hash").alias("first_text"))
 
 
 def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
@@ -79,10 +88,10 @@ def quality_rules(docs: DataFrame, params: QualityParams = QualityParams()) -> D
 
 def judged(rows: DataFrame, frequent: DataFrame, params: QualityParams) -> DataFrame:
     charged = (
-        rows.select("host", "doc_id", F.explode("lines").alias("line"))
-        .select("host", "doc_id", F.col("line.hash").alias("hash"), F.col("line.chars").alias("chars"))
+        rows.select("host", "doc_id", "text_hash", F.explode("lines").alias("line"))
+        .select("host", "doc_id", "text_hash", F.col("line.hash").alias("hash"), F.col("line.chars").alias("chars"))
         .join(frequent, ["host", "hash"])
-        .filter(F.col("doc_id") != F.col("first_doc"))
+        .filter(F.col("doc_id").isNotNull() & (F.col("text_hash") != F.col("first_text")))
         .groupBy("doc_id")
         .agg(F.sum("chars").alias("gone"))
     )
@@ -100,7 +109,7 @@ def quality_filter(docs: DataFrame, params: QualityParams = QualityParams()) ->
     rows = scratch.write(digests(docs), "digests")
     frequent = scratch.write(frequent_lines(rows, params), "frequent")
     verdicts = scratch.write(judged(rows, frequent, params).filter(~F.col("kept")).select("doc_id").distinct(), "rejected")
-    lines = rows.select("host", "doc_id", F.explode("lines.hash").alias("hash")).join(frequent, ["host", "hash"]).filter(F.col("doc_id") != F.col("first_doc"))
+    lines = rows.select("host", "doc_id", "text_hash", F.explode("lines.hash").alias("hash")).join(frequent, ["host", "hash"]).filter(F.col("doc_id").isNotNull() & (F.col("text_hash") != F.col("first_text")))
     ids, hosts, hashes = (fresh(docs, c) for c in ("gone_doc_id", "gone_host", "gone_hashes"))
     gone = scratch.write(lines.groupBy(F.col("doc_id").alias(ids), F.col("host").alias(hosts)).agg(F.collect_set("hash").alias(hashes)), "gone")
     scratch.drop("digests", "frequent")

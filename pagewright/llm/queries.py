@@ -85,7 +85,7 @@ def queries() -> dict[str, Query]:
     return {q.__name__: q for q in QUERIES}
 
 
-#: Quality rules, line by line: normalised lines in place of their hashes. 100 and 0.5 are the operator's parameters.
+#: Quality rules, line by line: normalised lines in place of their hashes. 0.02, 20, 100 and 0.5 are the operator's parameters.
 QUALITY_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, chr(1)) AS host FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM d),
@@ -93,8 +93,10 @@ windows AS (SELECT doc_id, i, words[i] AS a, words[i + 1] AS b, words[i + 2] AS
 twice AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS k FROM windows),
 repeats AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM twice WHERE k > 1) GROUP BY doc_id),
 lines AS (SELECT doc_id, host, text, line, translate(lower(line), E'0123456789 \t\r.,;:!?', '0000000000') AS norm FROM (SELECT doc_id, host, text, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-frequent AS (SELECT host, norm, min(doc_id) AS first_doc FROM lines GROUP BY host, norm HAVING count(DISTINCT text) > 100),
-gone AS (SELECT doc_id, sum(length(line)) AS n FROM lines JOIN frequent USING (host, norm) WHERE doc_id <> first_doc GROUP BY doc_id),
+hosts AS (SELECT host, count(DISTINCT doc_id) AS n FROM d GROUP BY host),
+counted AS (SELECT host, norm, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc FROM lines GROUP BY host, norm),
+frequent AS (SELECT c.host, c.norm, f.text AS first_text FROM counted c JOIN hosts h ON h.host = c.host JOIN d f ON f.doc_id = c.first_doc WHERE n_docs > least(100.0, greatest(20.0, 0.02 * h.n))),
+gone AS (SELECT doc_id, sum(length(line)) AS n FROM lines JOIN frequent USING (host, norm) WHERE text <> first_text GROUP BY doc_id),
 own AS (SELECT doc_id, sum(length(line)) AS n, count(*) - count(DISTINCT line) AS dup FROM lines GROUP BY doc_id),
 out AS (SELECT doc_id, len(words)::bigint AS n_words, length(array_to_string(words, ''))::bigint AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::bigint AS n_symbols,
   coalesce(own.dup, 0)::bigint AS n_dup_lines, coalesce(repeats.n, 0)::bigint AS n_repeat_words, CASE WHEN own.n > 0 THEN 1 - coalesce(gone.n, 0)::double / own.n ELSE 1.0 END::double AS left_share

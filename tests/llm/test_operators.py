@@ -152,14 +152,45 @@ def test_quality_rejects_documents_of_boilerplate(spark):
     body = " ".join(f"boiler{i}" for i in range(60))
     rows = [(i, body + f"\nown line {i}", "s") for i in range(30)] + [(100 + i, " ".join(f"own{i}x{j}" for j in range(60)), "s") for i in range(5)]
     rows += [(200, body + "\nelsewhere", "other")]
-    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), quality.QualityParams(max_texts_per_host=20)).collect()}
+    got = {r.doc_id: r.kept for r in quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"), quality.QualityParams(max_docs_per_host=20)).collect()}
     assert [d for d, k in got.items() if k] and {d for d, k in got.items() if k} == {0, 200} | {100 + i for i in range(5)}
 
 
-def test_quality_takes_copies_for_one_text(spark):
+def test_quality_keeps_copies_of_the_first_document(spark):
     body = " ".join(f"word{i}" for i in range(60))
-    got = quality.quality_filter(spark.createDataFrame([(i, body, "s") for i in range(30)], "doc_id long, text string, source string"), quality.QualityParams(max_texts_per_host=20))
-    assert got.count() == 30
+    rows = [(i, body, "s") for i in range(30)] + [(40, body + "\nand more", "s")]
+    got = quality.quality_filter(spark.createDataFrame(rows, "doc_id long, text string, source string"), quality.QualityParams(max_docs_per_host=20))
+    assert {r.doc_id for r in got.collect()} == set(range(30))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_quality_lines_are_brute_force(spark, seed):
+    rng, params = random.Random(seed), quality.QualityParams(host_share=0.1, min_docs_per_host=4, max_docs_per_host=9, min_words=3)
+    line = lambda: f"{rng.choice(['Read', 'read', 'share'])} it {rng.randrange(40)} {rng.choice('abcdef')}"
+    rows = [(i, "\n".join([f"own {chr(97 + i % 26)}{chr(97 + i // 26)} words of this"] + [line() for _ in range(rng.randrange(4))]), rng.choice(["big"] * 4 + ["small", None])) for i in range(150)]
+    rows += [(200 + i, rows[rng.randrange(150)][1], "big") for i in range(12)] + [rows[7], (400, None, "big"), (401, "", None)]
+    norm = lambda x: re.sub("[ ,.;:!?]", "", re.sub("[0-9]", "0", x.lower()))
+    stands, hosts = {}, {}
+    for d, t, h in rows:
+        hosts.setdefault(h, set()).add(d)
+        for x in (t or "").split("\n"):
+            if x.strip():
+                stands.setdefault((h, norm(x)), {})[d] = t
+    limit = {h: min(9, max(4, 0.1 * len(ids))) for h, ids in hosts.items()}
+    first = {k: at[min(at)] for k, at in stands.items() if len(at) > limit[k[0]]}
+    charged = lambda t, h, x: x.strip() and first.get((h, norm(x)), t) != t
+    left = {}
+    for d, t, h in rows:
+        own = [x for x in (t or "").split("\n") if x.strip()]
+        left[d] = (1 - sum(len(x) for x in own if charged(t, h, x)) / sum(map(len, own))) if own else 1.0
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = quality.quality_rules(docs, params).collect()
+    assert len(got) == len(rows) and len(set(limit.values())) > 1
+    assert {r.doc_id: round(r.left_share, 9) for r in got} == {d: round(x, 9) for d, x in left.items()}
+    assert any(not r.kept and not r.base_failed for r in got) and any(r.kept and r.left_share < 1 for r in got)
+    kept = {r.doc_id for r in got if r.kept}
+    texts = {d: "\n".join(x for x in (t or "").split("\n") if not charged(t, h, x)) for d, t, h in rows if d in kept}
+    assert {r.doc_id: r.text for r in quality.quality_filter(docs, params).collect()} == texts
 
 
 def test_quality_filter_takes_frequent_lines_away(spark):
@@ -167,7 +198,7 @@ def test_quality_filter_takes_frequent_lines_away(spark):
     texts = {i: f"Read  more: {i % 10}\n{own(i)}\nREAD MORE 7" for i in range(25)} | {30: f"read more 1\n{own(25)}"}
     rows = [(i, t, None if i < 30 else "other", len(t), "h") for i, t in texts.items()]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long, host string")
-    got = {r.doc_id: r for r in quality.quality_filter(docs, quality.QualityParams(max_texts_per_host=20)).collect()}
+    got = {r.doc_id: r for r in quality.quality_filter(docs, quality.QualityParams(max_docs_per_host=20)).collect()}
     assert {d: r.text for d, r in got.items()} == {i: texts[i] if i in (0, 30) else own(i) for i in texts}
     assert all(r.n_chars == len(r.text) and r.host == "h" for r in got.values())
 
