@@ -4,10 +4,12 @@ import json
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright import queries
 from pagewright.functions import edits, images
 from pagewright.functions import text as T
 from pagewright.functions.edits import Tracked
@@ -472,3 +474,13 @@ def test_breaks_are_those_of_the_layout(spark):
     for r in judged:
         assert r.kind == layout.judged(r.left, r.apart, r.right, found[r.document_id])
     assert {r.kind for r in judged} == {layout.FILLER, layout.CUT, layout.JOINED, layout.DOUBT}
+
+
+def test_accepted_values_and_their_sql_follow_one_rule(spark, tmp_path):
+    texts = ["Under\nthe bridge", "pont  de   bois", "all the way de la", "1 2.3 4 de ", "x\x0bDE\x85y", "none\u200bde ", None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "item_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: r.accepted for r in queries.QUERIES["fn_answer_contains"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
+    assert got == dict(con.sql(queries.SQL["fn_answer_contains"]).fetchall())
+    assert got == {0: " the ", 1: " de ", 2: " the ", 3: " de ", 4: " de ", 5: None, 6: None, 7: None}
