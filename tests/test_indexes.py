@@ -9,11 +9,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pagewright import queries
 from pagewright.functions.analysis import analysed, stemmed
 from pagewright.functions.distance import bit_distance, edit_distance
-from pagewright.operators import evaluation, search
+from pagewright.operators import blocks, evaluation, search
 from pagewright.operators.lexical import LexicalIndex
 from pagewright.operators.vectors import VectorIndex, nearest
+from pagewright.sources import views
 
 
 def corpus(n=240, topics=8, seed=1):
@@ -212,3 +214,20 @@ def test_distance_of_long_texts(spark):
     got = {r.i: r.d for r in rows.select("i", edit_distance(F.col("a"), F.col("b")).alias("d")).collect()}
     assert got == {1: sum(x != y for x, y in zip(long, near)), 2: bit_distance(long[:3000], other[:3000]), 3: None, 4: 3, 5: 0}
     assert 0 < far < 100_000
+
+
+def test_knn_gives_every_question_and_every_vector(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr("pagewright.operators.vectors.BLOCK", 7)  # several blocks on both sides
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)  # no question passes through the driver
+    asked, stored = views.questions(spark, sf_dir), views.vectors(spark, sf_dir)
+    got = {(r.query_id, r.chunk_id): r.score for r in queries.QUERIES["ret_knn"](spark, sf_dir).collect()}
+    a, b = ({r[0]: np.array(r[1], float) for r in df.select(i, "embedding").collect()} for df, i in ((asked, "query_id"), (stored, "chunk_id")))
+    want = {(q, c): float(x @ y / np.sqrt((x @ x) * (y @ y))) for q, x in a.items() for c, y in b.items()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-6 for k in want)
+    best = {(r.query_id, r["rank"]): r.chunk_id for r in nearest(stored, asked, 5).collect()}
+    order = {q: sorted(b, key=lambda c: (-round(want[q, c], 9), c)) for q in a}
+    assert best == {(q, k + 1): order[q][k] for q in a for k in range(5)}
+    one = blocks.Best(2, 2)
+    for at, scores, ids in (([0, 1, 0], [1.0, 1.0, 1.0], [5, 6, 3]), ([0, 1], [1.0, 2.0], [4, 9])):
+        one.add(np.array(at), np.array(scores), np.array(ids))
+    assert one.ids.tolist() == [3, 4, 9, 6] and one.floor.tolist() == [1.0, 1.0]
