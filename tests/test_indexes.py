@@ -231,3 +231,21 @@ def test_knn_gives_every_question_and_every_vector(spark, sf_dir, tmp_path, monk
     for at, scores, ids in (([0, 1, 0], [1.0, 1.0, 1.0], [5, 6, 3]), ([0, 1], [1.0, 2.0], [4, 9])):
         one.add(np.array(at), np.array(scores), np.array(ids))
     assert one.ids.tolist() == [3, 4, 9, 6] and one.floor.tolist() == [1.0, 1.0]
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_a_larger_batch_is_scored_in_blocks(spark, tmp_path, monkeypatch, k):
+    from pagewright.operators import lexical
+
+    monkeypatch.setattr(lexical, "FEW", 0)
+    monkeypatch.setattr(lexical, "CHUNKS", 60)
+    monkeypatch.setattr(lexical.LexicalIndex, "_joined", None)  # pairs of question and cell are never rows
+    monkeypatch.setattr("pyspark.sql.DataFrame.toArrow", None)  # and terms don't pass through the driver
+    texts = corpus() + ["t3w1 t3w2 the"] * 9
+    index = LexicalIndex.build(chunks(spark, texts), str(tmp_path / "i"))
+    questions = ("t3w1 t3w2 the of", "t5w0", "nowhere", "", "a a to t1w1 t2w2 t3w3", "THE", "the of t3w2 t3w1")
+    want = {q: brute(texts, text) for q, text in enumerate(questions)}
+    if k == 1:
+        assert {(r.query_id, r.chunk_id): pytest.approx(r.score, abs=1e-8) for r in index.scores(asked(spark, *questions)).collect()} == {(q, i): s for q, rows in want.items() for i, s in rows.items()}
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in index.top(asked(spark, *questions), k).collect()}
+    assert got == {(q, n): i for q, rows in want.items() for n, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in rows.items())[:k], 1)}
