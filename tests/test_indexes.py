@@ -249,3 +249,37 @@ def test_a_larger_batch_is_scored_in_blocks(spark, tmp_path, monkeypatch, k):
         assert {(r.query_id, r.chunk_id): pytest.approx(r.score, abs=1e-8) for r in index.scores(asked(spark, *questions)).collect()} == {(q, i): s for q, rows in want.items() for i, s in rows.items()}
     got = {(r.query_id, r["rank"]): r.chunk_id for r in index.top(asked(spark, *questions), k).collect()}
     assert got == {(q, n): i for q, rows in want.items() for n, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in rows.items())[:k], 1)}
+
+
+@pytest.mark.parametrize("k", [1, 5, 400])
+def test_a_batch_against_texts_without_an_index(spark, monkeypatch, k):
+    from pagewright.operators import lexical
+
+    monkeypatch.setattr(lexical, "CHUNKS", 60)
+    monkeypatch.setattr(lexical.LexicalIndex, "build", None)
+    texts = corpus() + ["t3w1 t3w2 the"] * 9 + ["", None]
+    questions = ("t3w1 t3w2 the of", "t5w0", "nowhere", "", "a a to t1w1 t2w2 t3w3", "THE", "the of t3w2 t3w1")
+    want = {q: brute([t or "" for t in texts], text) for q, text in enumerate(questions)}
+    got = {(r.query_id, r["rank"]): r.chunk_id for r in lexical.best(chunks(spark, texts), asked(spark, *questions), k).collect()}
+    assert got == {(q, n): i for q, rows in want.items() for n, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in rows.items())[:k], 1)}
+
+
+def test_a_batch_of_questions_writes_no_index(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(LexicalIndex, "build", None)
+    monkeypatch.setattr(VectorIndex, "build", None)
+    monkeypatch.setattr(queries, "_stored", {})
+    ranks = queries.QUERIES["win_first_expected_rank"](spark, sf_dir).collect()
+    assert len(ranks) == views.questions(spark, sf_dir).count() and any(r["rank"] for r in ranks)
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_containment_of_few_and_of_many_questions(spark, monkeypatch, small):
+    monkeypatch.setattr(evaluation, "SMALL", small)
+    texts = ["one two three four five six seven", "one two three", "two", None, "x one  two three four", "aone two threeb", ""]
+    questions = ["one two three", "two three four five six sev", "two", "e two t", None, "one  two", "eight"]
+    got = evaluation.containing(
+        spark.createDataFrame(list(enumerate(texts)), "page_id long, text string"), spark.createDataFrame(list(enumerate(questions)), "query_id long, question string")
+    )
+    assert sorted(map(tuple, got.collect())) == sorted((q, p) for q, a in enumerate(questions) for p, t in enumerate(texts) if a is not None and t is not None and a in t)
+    shuffled_texts = got._jdf.queryExecution().executedPlan().toString().count("BatchEvalPython") + got._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
+    assert bool(shuffled_texts) == bool(small)  # few questions: texts are compared where they are read
