@@ -484,3 +484,23 @@ def test_accepted_values_and_their_sql_follow_one_rule(spark, tmp_path):
     con.sql(f"CREATE VIEW benchmark AS SELECT * FROM '{tmp_path}/benchmark.parquet/*.parquet'")
     assert got == dict(con.sql(queries.SQL["fn_answer_contains"]).fetchall())
     assert got == {0: " the ", 1: " de ", 2: " the ", 3: " de ", 4: " de ", 5: None, 6: None, 7: None}
+
+
+def test_coarse_tokens_lay_out_as_fine_ones_do(monkeypatch):
+    import random
+
+    rng, between = random.Random(3), [" "] * 9 + ["\n", "\n\n", "-\n", " - ", "--", "\t", ",", "  ", " -\n", "- ", "\n- ", ",\n", "-\n\n", " , ", "|", "\n| ", "-,", "```\n", "\n12\n", "\x0b", ". "]
+    word = lambda: rng.choice(["deux", "Trois", "mai", "son", "maison", "vingt", "A", "12", "été"])
+    documents = [[(n, "".join(word() + rng.choice(between) for _ in range(rng.randrange(0, 60))), rng.random() < 0.8) for n in range(1, 5)] for _ in range(150)]
+    said = lambda: [[(p.number, p.text, p.positions, p.doubts) for p in layout.laid_out(d, ["porte-feuille"])] for d in documents]
+    assert len(layout.cut_page("a b c\n" * 500)) < 1200 < len(layout.cut("a b c\n" * 500))
+    coarse = said()
+    monkeypatch.setattr(layout, "cut_page", layout.cut)
+    assert coarse == said()
+
+
+def test_small_table_of_pages_is_laid_out_by_more_than_one_task(spark):
+    rows = spark.createDataFrame([(d, 1, "mai-\nson", True) for d in range(60)], "document_id long, page_number int, text string, editable boolean")
+    done = layout.normalised(rows, placed=False)
+    assert done.columns == ["document_id", "page_number", "text"]
+    assert done.select(F.spark_partition_id().alias("p")).distinct().count() > 4 and {r.text for r in done.collect()} == {"maison"}
