@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SCORES
-from ..functions.text import TABLE_SEPARATOR, amounts_match, match_offsets, parse_number, ustrip
+from ..functions.text import TABLE_SEPARATOR, amounts_match, indent, match_offsets, parse_numbers, ustrip
 
 
 def lines(pages: DataFrame) -> DataFrame:
@@ -28,20 +28,14 @@ def table_rows(pages: DataFrame) -> DataFrame:
     by_table = Window.partitionBy("page_id", "table")
     own = own.withColumn("is_separator", F.col("text").rlike(TABLE_SEPARATOR))
     own = own.withColumn("separator", F.min(F.when(F.col("is_separator"), F.col("line"))).over(by_table))
-    parts = F.split("text", r"[|]", -1)
-    starts = F.aggregate(parts, F.expr("struct(0 as at, cast(array() as array<int>) as s)"), lambda a, x: F.struct((a["at"] + F.char_length(x) + 1).alias("at"), F.concat(a["s"], F.array(a["at"])).alias("s")), lambda a: a["s"])
-    cells = F.transform(
-        F.arrays_zip(parts.alias("raw"), starts.alias("at")),
-        lambda c, i: F.struct(
-            ustrip(c["raw"]).alias("text"),
-            (F.col("start") + c["at"] + F.char_length(c["raw"]) - F.char_length(F.regexp_replace(c["raw"], r"(?U)^\s+", ""))).alias("start"),
-            i.alias("i"),
-        ),
-    )
-    cells = F.filter(cells, lambda c: ~((c["text"] == "") & ((c["i"] == 0) | (c["i"] == F.size(parts) - 1))))
+    # A cell's text and place are computed once each, the parts of a row as a column: a lambda computes anew what stands in it.
+    own = own.withColumn("parts", F.split("text", r"[|]", -1))
+    before = lambda i: F.when(i == 0, 0).otherwise(F.char_length(F.call_function("substring_index", F.col("text"), F.lit("|"), i)) + 1)
+    cells = F.transform("parts", lambda p, i: F.struct(ustrip(p).alias("text"), (F.col("start") + before(i) + indent(p)).alias("start"), i.alias("i")))
+    cells = F.filter(cells, lambda c: (c["text"] != "") | ((c["i"] != 0) & (c["i"] != F.size("parts") - 1)))
     cells = F.transform(cells, lambda c: F.struct(c["text"].alias("text"), c["start"].alias("start"), (c["start"] + F.char_length(c["text"])).alias("end")))
-    begin = F.col("start") + F.char_length("text") - F.char_length(F.regexp_replace("text", r"(?U)^\s+", ""))
-    own = own.withColumns({"cells": cells, "row_start": begin, "row_end": begin + F.char_length(ustrip(F.col("text")))})
+    begin = F.col("start") + indent(F.col("text"))
+    own = own.withColumns({"cells": cells, "row_start": begin, "row_end": begin + F.char_length(ustrip(F.col("text")))}).drop("parts", "text")
     header = F.max(F.when(F.col("line") == F.col("separator") - 1, F.col("cells"))).over(by_table)
     own = own.withColumn("header", header)
     data = own.filter(~F.col("is_separator") & (F.col("separator").isNull() | (F.col("line") != F.col("separator") - 1)))
@@ -50,7 +44,7 @@ def table_rows(pages: DataFrame) -> DataFrame:
 
 def with_numbers(rows: DataFrame) -> DataFrame:
     """The rows with the values of their purely numeric cells, in order, and whether three of them multiply."""
-    numbers = F.filter(F.transform("cells", lambda c: parse_number(c["text"])), lambda v: v.isNotNull())
+    numbers = F.array_compact(parse_numbers(F.col("cells.text")))
     rows = rows.withColumn("numbers", numbers)
     a, b, c = (F.get("numbers", F.lit(i)) for i in range(3))
     consistent = amounts_match(a * b, c) | amounts_match(a * c, b) | amounts_match(b * c, a)

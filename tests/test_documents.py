@@ -504,3 +504,22 @@ def test_small_table_of_pages_is_laid_out_by_more_than_one_task(spark):
     done = layout.normalised(rows, placed=False)
     assert done.columns == ["document_id", "page_number", "text"]
     assert done.select(F.spark_partition_id().alias("p")).distinct().count() > 4 and {r.text for r in done.collect()} == {"maison"}
+
+
+def test_white_space_is_that_of_the_pattern(spark):
+    t = F.concat(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"), F.lit("a b"), F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')"))
+    rows = spark.range(1, 0xD800).select(t.alias("t"))
+    pattern = F.regexp_replace("t", r"(?U)^\s+|\s+$", "")
+    assert rows.filter(T.ustrip(F.col("t")) != pattern).count() == 0 and rows.filter(F.col("t") != pattern).count() == len(T.WHITE)
+    assert rows.filter(T.indent(F.col("t")) != F.char_length("t") - F.char_length(F.regexp_replace("t", r"(?U)^\s+", ""))).count() == 0
+
+
+def test_cells_and_numbers_are_computed_once(spark):
+    text = " \u00a0| a\u2003|  | 1 234,50 € |\n|---|---|---|\n|é | 2.000.000 |-3,5|x|\nno table"
+    pages = spark.createDataFrame([(1, text)], "page_id long, text string")
+    numbered = tables.with_numbers(tables.table_rows(pages))
+    plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace") == 0 and plan.count("split(text") <= 3
+    (row,) = numbered.collect()
+    assert [tuple(c) for c in row.cells] == [(c, text.index(c), text.index(c) + len(c)) for c in ("é", "2.000.000", "-3,5", "x")]
+    assert [c.text for c in row.header] == ["a", "", "1 234,50 €"] and list(map(float, row.numbers)) == [2000000.0, -3.5]
