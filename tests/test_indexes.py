@@ -283,3 +283,19 @@ def test_containment_of_few_and_of_many_questions(spark, monkeypatch, small):
     assert sorted(map(tuple, got.collect())) == sorted((q, p) for q, a in enumerate(questions) for p, t in enumerate(texts) if a is not None and t is not None and a in t)
     shuffled_texts = got._jdf.queryExecution().executedPlan().toString().count("BatchEvalPython") + got._jdf.queryExecution().executedPlan().toString().count("MapInPandas")
     assert bool(shuffled_texts) == bool(small)  # few questions: texts are compared where they are read
+
+
+def test_a_batch_of_hits_meets_the_texts_without_a_shuffle_of_them(spark):
+    texts = corpus()
+    chunks = spark.createDataFrame([(i, i // 10, i % 10, t) for i, t in enumerate(texts)], "chunk_id long, document_id long, page_number long, content string")
+    found = spark.createDataFrame([(q, r, (q * 7 + r) % len(texts), 1.0 / r) for q in range(20) for r in range(1, 6)], "query_id long, rank int, chunk_id long, score double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = search.shown(found, chunks)
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.content) for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "Exchange hashpartitioning" not in plan
+    assert got == {(q, r): ((q * 7 + r) % len(texts), texts[(q * 7 + r) % len(texts)]) for q in range(20) for r in range(1, 6)}
