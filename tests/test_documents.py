@@ -523,3 +523,30 @@ def test_cells_and_numbers_are_computed_once(spark):
     (row,) = numbered.collect()
     assert [tuple(c) for c in row.cells] == [(c, text.index(c), text.index(c) + len(c)) for c in ("é", "2.000.000", "-3,5", "x")]
     assert [c.text for c in row.header] == ["a", "", "1 234,50 €"] and list(map(float, row.numbers)) == [2000000.0, -3.5]
+
+
+def test_checks_of_tables_leave_places_and_cells_alone(spark):
+    import random
+
+    rng = random.Random(7)
+    piece = lambda: rng.choice(["", " ", "Total", " somme ", "1 234,50 €", "-3", "2.000.000", "x y", "1,2,", " é", "12", "+7.5", "😀 1"])
+    rows = lambda: "\n".join(rng.choice(["no pipe", "", "|---|---|", "| :-: |", *["|".join(piece() for _ in range(rng.randrange(1, 6))) for _ in range(6)], "| Qté | Total |"]) for _ in range(rng.randrange(1, 12)))
+    texts = [rows() for _ in range(400)]
+    found = tables.table_rows(spark.createDataFrame(list(enumerate(texts)), "page_id long, text string"))
+    numbered = tables.with_totals(tables.with_numbers(found))
+    values = F.array_compact(T.parse_numbers(F.col("cells.text")))
+    numbered = numbered.withColumns({"want": values, "label": F.get("cells", F.lit(0))["text"].rlike("(?i)^(total|somme|montant total)")})
+    got = numbered.collect()
+    assert len(got) > 300
+    for r in got:
+        lines, cut = texts[r.page_id].split("\n"), texts[r.page_id]
+        assert "|" in lines[r.line] and cut[r.row_start : r.row_end] == lines[r.line].strip()
+        assert [c.text for c in r.cells] == r.texts and all(cut[c.start : c.end] == c.text for c in r.cells)
+        assert (r.header is None) == (r.header_texts is None) and (r.header is None or [c.text for c in r.header] == r.header_texts)
+        assert r.numbers == r.want and (r.stated is not None) == bool(r.label and len(r.numbers) == 1)
+        top = r.line
+        while top and "|" in lines[top - 1]:
+            top -= 1
+        assert r.table == sum("|" not in x for x in lines[:top]) - 1
+    plan = tables.sum_blocks(tables.with_numbers(found))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "substring_index(text" not in plan and "aggregate(" not in plan  # into lines, not into cells
