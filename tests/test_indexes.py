@@ -264,6 +264,49 @@ def test_a_batch_against_texts_without_an_index(spark, monkeypatch, k):
     assert got == {(q, n): i for q, rows in want.items() for n, (_, i) in enumerate(sorted((-round(s, 9), i) for i, s in rows.items())[:k], 1)}
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_a_batch_reads_texts_where_they_lie(spark, monkeypatch, small):
+    from pagewright.operators import lexical
+
+    texts = corpus() + ["t3w1 t3w2 the " * 40, "", None]
+    questions = ("t3w1 t3w2 the of", "nowhere", "", "a a to t1w1 t2w2 t3w3", "t3w1 t3w2")
+    rows, queries_ = chunks(spark, texts).repartition(16).localCheckpoint(), asked(spark, *questions)
+    monkeypatch.setattr(lexical, "CHUNKS", 60)
+    monkeypatch.setattr(lexical, "SMALL", small)
+    monkeypatch.setattr(type(rows), "repartition", None)  # no shuffle of texts that lie evenly
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)  # a chunk's terms come in several batches
+    try:
+        got = {(r.query_id, r["rank"]): (r.chunk_id, r.score) for r in lexical.best(rows, queries_, 5).collect()}
+        held = evaluation.containing(rows.withColumnsRenamed({"chunk_id": "page_id", "content": "text"}), queries_).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    want = {q: brute([t or "" for t in texts], text) for q, text in enumerate(questions)}
+    assert got == {(q, n): (i, pytest.approx(-s, abs=1e-8)) for q, found in want.items() for n, (s, i) in enumerate(sorted((-round(s, 9), i) for i, s in found.items())[:5], 1)}
+    assert sorted(map(tuple, held)) == sorted((q, p) for q, a in enumerate(questions) for p, t in enumerate(texts) if t is not None and a in t)
+
+
+def test_only_rows_in_a_few_partitions_are_dealt(spark):
+    rows = chunks(spark, ["x"] * 400).repartition(16).localCheckpoint()
+    assert blocks.spread(rows, "chunk_id") is rows
+    for uneven in (rows.coalesce(2), rows.coalesce(1).union(rows.limit(0))):
+        assert "Exchange hashpartitioning" in blocks.spread(uneven, "chunk_id")._jdf.queryExecution().executedPlan().toString()
+    assert blocks.spread(rows.limit(0), "chunk_id").count() == 0
+
+
+def test_a_block_of_chunks_by_word():
+    import pandas as pd
+
+    from pagewright.operators import lexical
+
+    places = [(5, 4, 0), (5, 4, 7), (5, 4, 0), (5, 4, -1), (3, 0, -1)], [(5, 4, 7), (9, 300, -1)] + [(9, 300, 7)] * 300
+    rows = pd.concat(lexical._counted(pd.DataFrame(p, columns=["chunk_id", "length", "word"]) for p in places))
+    (one,) = lexical._gathered(rows).itertuples(index=False)
+    assert one.chunk_ids.tolist() == [3, 5, 9] and one.lengths.tolist() == [0, 4, 300]
+    assert one.terms.tolist() == [0, 7] and one.counts.tolist() == [1, 2]
+    assert lexical._wide(one.places, 3).tolist() == [1, 1, 2] and lexical._wide(one.tfs, 3).tolist() == [2, 2, 300]
+
+
 def test_a_batch_of_questions_writes_no_index(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(LexicalIndex, "build", None)
     monkeypatch.setattr(VectorIndex, "build", None)
