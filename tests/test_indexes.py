@@ -315,6 +315,45 @@ def test_a_batch_of_questions_writes_no_index(spark, sf_dir, monkeypatch):
     assert len(ranks) == views.questions(spark, sf_dir).count() and any(r["rank"] for r in ranks)
 
 
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_all_scores_without_an_index_or_a_shuffle_of_them(spark, monkeypatch, small):
+    from pagewright.operators import lexical
+
+    monkeypatch.setattr(lexical, "CHUNKS", 60)
+    monkeypatch.setattr(lexical, "SMALL", small)
+    monkeypatch.setattr(lexical, "ROWS", 100)
+    monkeypatch.setattr(lexical.LexicalIndex, "build", None)
+    texts = corpus() + ["t3w1 t3w2 the"] * 9 + ["", None]
+    questions = ("t3w1 t3w2 the of", "t5w0", "nowhere", "", "THE", "the of t3w2 t3w1", "a a to t1w1 t2w2 t3w3")
+    names = asked(spark, *questions).withColumn("query_id", F.concat(F.lit("q"), "query_id"))
+    found = lexical.every(chunks(spark, texts), names)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan  # as many rows as the result has are written once
+    got = found.collect()
+    assert len(got) == len({(r.query_id, r.chunk_id) for r in got})
+    want = {q: brute([t or "" for t in texts], text) for q, text in enumerate(questions)}
+    assert {(r.query_id, r.chunk_id): pytest.approx(r.score, abs=1e-8) for r in got} == {(f"q{q}", i): s for q, rows in want.items() for i, s in rows.items()}
+    assert lexical.every(chunks(spark, texts).limit(0), names).count() == 0
+
+
+def test_nulls_are_as_in_an_index(spark, tmp_path):
+    from pagewright.operators import lexical
+
+    texts, questions = corpus(60) + [None] * 30, ("t3w1 t3w2 the of", "t5w0")
+    index = LexicalIndex.build(chunks(spark, texts), str(tmp_path / "i"))
+    want = {(r.query_id, r.chunk_id): pytest.approx(r.score, abs=1e-8) for r in index.scores(asked(spark, *questions)).collect()}
+    assert want and {(r.query_id, r.chunk_id): r.score for r in lexical.every(chunks(spark, texts), asked(spark, *questions), nulls=False).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["ret_bm25"])
+def test_queries_over_whole_batches_write_no_index(spark, sf_dir, monkeypatch, name):
+    monkeypatch.setattr(LexicalIndex, "build", None)
+    monkeypatch.setattr(VectorIndex, "build", None)
+    monkeypatch.setattr(queries, "_stored", {})
+    found = queries.QUERIES[name](spark, sf_dir)
+    assert {r.query_id for r in found.select("query_id").distinct().collect()} == {r.query_id for r in views.questions(spark, sf_dir).select("query_id").collect()}
+
+
 @pytest.mark.parametrize("small", [0, 100_000])
 def test_containment_of_few_and_of_many_questions(spark, monkeypatch, small):
     monkeypatch.setattr(evaluation, "SMALL", small)
