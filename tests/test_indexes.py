@@ -345,7 +345,7 @@ def test_nulls_are_as_in_an_index(spark, tmp_path):
     assert want and {(r.query_id, r.chunk_id): r.score for r in lexical.every(chunks(spark, texts), asked(spark, *questions), nulls=False).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["ret_bm25"])
+@pytest.mark.parametrize("name", ["ret_bm25", "topk_lexical"])
 def test_queries_over_whole_batches_write_no_index(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(LexicalIndex, "build", None)
     monkeypatch.setattr(VectorIndex, "build", None)
