@@ -345,13 +345,25 @@ def test_nulls_are_as_in_an_index(spark, tmp_path):
     assert want and {(r.query_id, r.chunk_id): r.score for r in lexical.every(chunks(spark, texts), asked(spark, *questions), nulls=False).collect()} == want
 
 
-@pytest.mark.parametrize("name", ["ret_bm25", "topk_lexical"])
+def test_one_batch_is_the_search_over_indexes(spark, tmp_path):
+    from pagewright.functions.models import embedded
+
+    texts = corpus(80)
+    pages = spark.createDataFrame([(i, i // 10, i % 10 + 1, t) for i, t in enumerate(texts)], "chunk_id long, document_id long, page_number long, content string")
+    model, questions = lambda: lambda texts: [[float(t.count(c)) for c in "taw123"] for t in texts], asked(spark, "t3w1 t3w2 the of", "t5w0 t1w1", "nowhere", "")
+    stored = LexicalIndex.build(pages, str(tmp_path / "l")), VectorIndex.build(embedded(pages, model, 6), str(tmp_path / "v"))
+    want = search.search(*stored, pages, questions, model, 6, exact=True).collect()
+    assert len(want) > 10 and sorted(map(tuple, search.one_batch(pages, questions, model, 6).collect())) == sorted(map(tuple, want))
+
+
+@pytest.mark.parametrize("name", ["ret_bm25", "topk_lexical", "ret_search"])
 def test_queries_over_whole_batches_write_no_index(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(LexicalIndex, "build", None)
     monkeypatch.setattr(VectorIndex, "build", None)
     monkeypatch.setattr(queries, "_stored", {})
     found = queries.QUERIES[name](spark, sf_dir)
-    assert {r.query_id for r in found.select("query_id").distinct().collect()} == {r.query_id for r in views.questions(spark, sf_dir).select("query_id").collect()}
+    asked_ = views.table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id") if name == "ret_search" else views.questions(spark, sf_dir)
+    assert {r.query_id for r in found.select("query_id").distinct().collect()} == {r.query_id for r in asked_.select("query_id").collect()}
 
 
 @pytest.mark.parametrize("small", [0, 100_000])
