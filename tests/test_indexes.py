@@ -345,6 +345,32 @@ def test_nulls_are_as_in_an_index(spark, tmp_path):
     assert want and {(r.query_id, r.chunk_id): r.score for r in lexical.every(chunks(spark, texts), asked(spark, *questions), nulls=False).collect()} == want
 
 
+def test_places_over_whole_rankings(spark, sf_dir, monkeypatch):
+    rng = random.Random(6)
+    lex = {(q, c): rng.randrange(40) / 8 for q in range(3) for c in range(300) if rng.random() < 0.7}
+    near = {(q, c): rng.randrange(40) / 8 for q in range(4) for c in range(0, 300, 3)}
+    wanted = [(0, 299), (0, 0), (1, 150), (2, 7), (2, 7), (3, 298)]
+    scores, shares = (lambda rows: spark.createDataFrame([(*key, s) for key, s in rows.items()], "query_id long, chunk_id long, score double")), {}
+    for rows in (lex, near):
+        for q in range(4):
+            for place, (_, c) in enumerate(sorted((-s, c) for (p, c), s in rows.items() if p == q), 1):
+                shares.setdefault((q, c), []).append(1 / (60 + place))
+    order = {q: sorted((-math.floor(sum(s) * 1e9 + 0.5) / 1e9, c) for (p, c), s in shares.items() if p == q) for q in range(4)}
+    want = {(q, c): (rank, (q, c) in wanted) for q, rows in order.items() for rank, (_, c) in enumerate(rows, 1) if rank <= 20 or (q, c) in wanted}
+    found = search.places(scores(lex), scores(near), spark.createDataFrame(wanted, "query_id long, chunk_id long"), 20)
+    assert {(r.query_id, r.chunk_id): (r["rank"], r.wanted) for r in found.collect()} == want and max(rank for rank, _ in want.values()) > 100
+    monkeypatch.setattr(queries, "hits", None)  # the evaluation asks for every page's rank, not for that of the few best
+    asked_ = queries.QUERIES["ret_eval_questions"](spark, sf_dir).collect()
+    held = {r.query_id for r in queries.expected(spark, sf_dir).collect()}
+    assert held and {r.query_id for r in asked_ if r["rank"] is not None} == held
+
+
+def test_no_more_passages_than_fit(spark):
+    rows = [(0, r, r, r % 10, 0, "") for r in range(1, 400)]
+    hits = spark.createDataFrame(rows, "query_id long, rank int, chunk_id long, page_number long, document_id long, content string")
+    assert 100 < len(search.context(hits, 4000).first().sources) <= search.passages(4000) < 160
+
+
 def test_one_batch_is_the_search_over_indexes(spark, tmp_path):
     from pagewright.functions.models import embedded
 
