@@ -3,6 +3,7 @@
 import json
 import random
 from collections import Counter
+from functools import reduce
 
 import duckdb
 import numpy as np
@@ -550,3 +551,29 @@ def test_checks_of_tables_leave_places_and_cells_alone(spark):
         assert r.table == sum("|" not in x for x in lines[:top]) - 1
     plan = tables.sum_blocks(tables.with_numbers(found))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1 and "substring_index(text" not in plan and "aggregate(" not in plan  # into lines, not into cells
+
+
+# One rule a pattern, as the SQL has them.
+RULES_OF_HALVES = ((r"\p{L}+([ \t]+-)", "\x01$1"), (r"\p{L}+(-+(?:[ \t\n]|\z))", "\x01$1"), (r"(-+[ \t\n]+)\p{L}+", "$1\x01"), (r"((?:\A|[ \t\n])-+)\p{L}+", "$1\x01"), (r"\A([ \t\n]*)\p{Ll}\p{L}*", "$1\x01"))
+
+
+def test_halves_in_fewer_passes(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abÉ- -\n\t.") for _ in range(rng.randrange(0, 24))) for _ in range(20_000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    hide = lambda halves: reduce(lambda c, half: F.regexp_replace(c, *half), halves, F.col("t"))
+    assert df.filter(hide(breaks.HALVES) != hide(RULES_OF_HALVES)).limit(3).collect() == []
+
+
+def test_breaks_meet_the_lexicon_without_a_sort_of_lines(spark):
+    text = "ab cd-\nef -\ngh ij--\nkl- \n  mn-\nOP- \r\nqr é-\n- st\n-\nuv wx-"
+    rows = breaks.line_breaks(spark.createDataFrame([(0, 1, text), (0, 2, None), (1, 1, "a-")], "document_id long, page_number long, text string"))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange" not in plan  # a line's next is in the same list
+    got = [(r.line, r.left, r.apart, r.right) for r in rows.orderBy("page_number", "line").collect()]
+    assert got == [(0, "cd", False, "ef"), (1, "ef", True, "gh"), (2, "ij", False, "kl"), (3, "kl", False, "mn"), (4, "mn", False, "OP"), (6, "é", False, "")]
+    found = spark.createDataFrame([(0, 1, 0, "cd", False, "ef"), (0, 1, 1, "ef", True, "gh"), (0, 1, 2, "kl", False, "mn"), (0, 1, 3, "op", False, "qr"), (0, 1, 4, "AB", False, "cd")], "document_id long, page_number long, line int, left string, apart boolean, right string")
+    words = spark.createDataFrame([(0, "cdef"), (0, "kl-mn"), (0, "op"), (1, "opqr")], "document_id long, word string")
+    judged = breaks.judged_breaks(found, words)
+    assert judged._jdf.queryExecution().analyzed().toString().count("Join") == 1
+    assert {r.line: r.kind for r in judged.collect()} == {0: layout.CUT, 1: layout.FILLER, 2: layout.JOINED, 3: layout.DOUBT, 4: layout.DOUBT}
